@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +34,10 @@ SYMBOLS, STATES = 9, 8
 BREAK, IN_L, IN_N, IN_O, JOIN, IN_W, LEFT1, LEFT2 = range(STATES)
 BLOCK = 256
 #: Characters of text that are scanned at once; bounds the arrays of a task.
-CHARS_AT_ONCE = 2_000_000
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHED_PIECES = 1_000_000
+CHARS_AT_ONCE = 1_000_000
+#: Distinct pieces in each of the two generations that a worker remembers; when the younger is
+#: full, it becomes the older one, and what was not met again is forgotten.
+CACHED_PIECES = 120_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +167,10 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.width = np.array([len(x) for x in self.token], np.int32)
-        self._cache: dict[bytes, bytes] = {}
+        blob = b"".join(self.token)
+        self.blob, self.begin = np.frombuffer(blob, np.uint8), np.cumsum(self.width, dtype=np.int64) - self.width
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     @staticmethod
     def parse(content: bytes) -> Vocabulary:
@@ -219,18 +224,21 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         data, starts, before = pieces_of(texts)
-        at, cache = starts.tolist(), self._cache
+        at, cache = starts.tolist(), self._young
         pieces = [data[a:b] for a, b in zip(at, at[1:])]
         for p in set(pieces).difference(cache):
-            cache[p] = np.array(self.merge(p), np.int32).tobytes()
+            cache[p] = self._old.get(p) or np.array(self.merge(p), np.int32).tobytes()
         packed = list(map(cache.__getitem__, pieces))
         if len(cache) > CACHED_PIECES:
-            cache.clear()
+            self._old, self._young = cache, {}
         cut = before.tolist()
         return [np.frombuffer(b"".join(packed[a:b]), np.int32) for a, b in zip(cut, cut[1:])]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of all tokens, each put where its offset says."""
+        width = self.width[ids]
+        source = np.repeat(self.begin[ids] - offsets, width)
+        return self.blob[source + np.arange(len(source))].tobytes()
 
 
 @lru_cache(4)
@@ -287,10 +295,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
         for batch in batches:
-            texts = _strings(batch.column(keep.index(text)))
-            for part in in_parts([len(t) for t in texts], CHARS_AT_ONCE):
-                got = vocabulary.encode(texts[part])
+            sizes = pc.fill_null(pc.binary_length(batch.column(keep.index(text))), 0).to_pylist()
+            for part in in_parts(sizes, CHARS_AT_ONCE):
                 rows = batch.slice(part.start, part.stop - part.start)
+                got = vocabulary.encode(_strings(rows.column(keep.index(text))))
                 columns = [list_column(got, pa.int32())]
                 if offsets:
                     at = []
@@ -307,8 +315,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
     return src.mapInArrow(run, T.StructType(fields))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for; null ids: empty bytes. An id without a rank raises."""
+def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded") -> DataFrame:
+    """Add the bytes that the ids stand for, each token's where its offset says; null ids: empty
+    bytes. An id without a rank raises."""
     keep = [c for c in df.columns if c != decoded]
     src = df.select(*keep)
     content = load_vocabulary(df, path)
@@ -316,15 +325,19 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
         for batch in batches:
-            column = batch.column(keep.index(ids))
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            sizes = [x or 0 for x in column.value_lengths().to_pylist()]
-            at, out = 0, []
-            for n in sizes:
-                out.append(vocabulary.decode(flat[at : at + n]))
-                at += n
-            arrays = [*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, decoded])
+            counts = pc.fill_null(pc.list_value_length(batch.column(keep.index(ids))), 0).to_pylist()
+            for part in in_parts(counts, CHARS_AT_ONCE // 4):
+                rows = batch.slice(part.start, part.stop - part.start)
+                flat, at = (rows.column(keep.index(c)).flatten().to_numpy(zero_copy_only=False) for c in (ids, offsets))
+                # Offsets start anew with each text; here the texts stand one behind the other.
+                sizes = np.array(counts[part], np.int64)
+                ends = np.cumsum(sizes)
+                total = np.concatenate([[0], np.cumsum(vocabulary.width[flat], dtype=np.int64)])
+                before = total[ends - sizes]
+                data = vocabulary.decode(flat, at + np.repeat(before, sizes))
+                out = [data[a:b] for a, b in zip(before.tolist(), total[ends].tolist())]
+                arrays = [*(rows.column(i) for i in range(len(keep))), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, decoded])
 
     fields = [*src.schema.fields, T.StructField(decoded, T.BinaryType(), False)]
     return src.mapInArrow(run, T.StructType(fields))
