@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, decontamination, jaccard_join, lm_scoring, substring_dedup, toxicity
+from vertexloom.llm import bpe, chat, decontamination, jaccard_join, lm_scoring, substring_dedup, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,6 +23,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, path).drop("text"), path))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.render(chat.paths(chat.chain(rows))))
+
+
+def _op1_sql() -> str:
+    def escaped(c: str) -> str:
+        out = f"replace({c}, chr(92), chr(92) || chr(92))"
+        for mark in chat.CONTROL:
+            out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+        return out
+
+    marks = len(chat.TURN + chat.TEXT + chat.END)
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({marks} + length({escaped("role")}) + length({escaped("text")}))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.scores(_read(spark, sf_dir, "documents"), order=2, alpha=0.4)
     return scored.withColumn("log_score", F.round("log_score", 4))
@@ -76,6 +103,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_lm_scoring": op2_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -84,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": _op1_sql(),
     "op2_lm_scoring": OP2_SQL,
 }
