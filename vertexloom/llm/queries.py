@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, chat, decontamination, jaccard_join, lm_scoring, substring_dedup, toxicity
+from vertexloom.llm import bpe, chat, decontamination, jaccard_join, licenses, lm_scoring, substring_dedup, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -97,6 +97,28 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
+def _op6_sql(threshold: float = 0.8) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.TEMPLATES.items())
+    words = r"string_split(trim(regexp_replace(lower({0}), '[^\pL\pN]+', ' ', 'g')), ' ')"
+    grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    return f"""
+WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, {words.format("text")} AS w FROM (VALUES {rows}) AS v(name, text))),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
+      UNION ALL
+      SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: contains(p, chr(10)))) FROM documents),
+x AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("unit")} AS w FROM u) WHERE len(w) > 1),
+m AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(x.g, t.g)) / (len(x.g) + len(t.g)) AS dice
+      FROM x JOIN t ON len(x.g) >= len(t.g) * {threshold} / (2 - {threshold}) AND len(x.g) <= len(t.g) * (2 - {threshold}) / {threshold})
+SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units FROM m WHERE dice >= {threshold} GROUP BY doc_id, name
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"), window=50)
 
@@ -107,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -114,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _op1_sql(),
     "op2_lm_scoring": OP2_SQL,
+    "op6_license_scan": _op6_sql(),
 }
