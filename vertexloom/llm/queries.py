@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, chat, decontamination, jaccard_join, licenses, lm_scoring, substring_dedup, toxicity
+from vertexloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, licenses, lm_scoring, substring_dedup, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -119,6 +119,10 @@ SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units
 """
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"), window=50)
 
@@ -130,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_license_scan": op6_license_scan,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
