@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, licenses, lm_scoring, substring_dedup, toxicity
+from vertexloom.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, licenses, lm_scoring, substring_dedup, token_shards, toxicity, workspace
 
+#: The vocabulary of the tokenising queries, among the files of the installed public tokenizers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -123,6 +124,14 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace.Workspace(spark, "shards").folder
+    docs = _read(spark, sf_dir, "documents")
+    layout = token_shards.write_shards(docs, f"{folder}/tokens", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    read = token_shards.read_shards(spark, layout)
+    return read.select("slot", "shard", "record", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"), window=50)
 
@@ -135,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_token_shards": op8_token_shards,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
