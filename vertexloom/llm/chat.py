@@ -60,24 +60,23 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     hit = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p"))
     nodes = nodes.join(first, hit, "left").drop("t").withColumn("up", F.col("p")).drop("p")
     nodes = work.save(nodes, "nodes")
+    at_root = F.col("up").isNull()
     jumps = nodes.select("tree_id", "message_id", "copy", "up", "up_copy", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    levels, open_before, step = [], -1, 0
+    ranked, levels, open_before, step = jumps.filter(at_root), [], -1, 0
     while True:
-        jumps = work.save(jumps, f"jump{step}")
-        levels.append(jumps)
-        still = jumps.filter("up is not null").count()
+        # Only messages that have not reached their root are joined again.
+        still = work.save(jumps.filter(~at_root), f"jump{step}")
+        n = still.count()
         # As many as before: only circles are left.
-        if still in (0, open_before):
+        if n in (0, open_before):
             break
-        open_before = still
-        far = jumps.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), F.col("up").alias("u2"), F.col("up_copy").alias("c2"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        levels.append(still)
+        open_before, step = n, step + 1
+        far = ranked.unionByName(still).select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), F.col("up").alias("u2"), F.col("up_copy").alias("c2"), F.col("total").alias("more"), F.col("steps").alias("further"))
         on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")) & (F.col("up_copy") == F.col("c"))
-        jumps = jumps.join(far, on, "left").select(
-            "tree_id", "message_id", "copy", F.col("u2").alias("up"), F.col("c2").alias("up_copy"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-        )
-        step += 1
-    ranked = levels[-1].filter("up is null")
+        jumps = still.join(far, on).select("tree_id", "message_id", "copy", F.col("u2").alias("up"), F.col("c2").alias("up_copy"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"))
+        jumps = work.save(jumps, f"far{step}")
+        ranked = ranked.unionByName(jumps.filter(at_root))
     parents = nodes.filter("up is not null").select("tree_id", F.col("up").alias("message_id"), F.col("up_copy").alias("copy")).distinct()
     p = parents.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"))
     leaves = ranked.join(p, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")) & (F.col("copy") == F.col("c")), "left_anti")
@@ -88,11 +87,10 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     # The messages of each path, from the leaf up: a set of those fewer than 2^k steps away doubles by jumping 2^k steps.
     leaf = F.struct(F.col("message_id").alias("message"), F.col("copy").alias("copy")).alias("leaf")
     members = leaves.select("tree_id", "rank", leaf, "message_id", "copy", (F.col("steps") - 1).alias("depth"))
-    reach = levels[:-1] if len(levels) > 1 else []
-    for k, level in enumerate(reach):
+    for k, level in enumerate(levels):
         if k % 4 == 3:
             members = work.save(members, f"members{k}")
-        jump = level.filter("up is not null").select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), "up", "up_copy")
+        jump = level.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), "up", "up_copy")
         on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")) & (F.col("copy") == F.col("c"))
         above = members.join(jump, on).select("tree_id", "rank", "leaf", F.col("up").alias("message_id"), F.col("up_copy").alias("copy"), (F.col("depth") - (1 << k)).alias("depth"))
         members = members.unionByName(above)
