@@ -120,7 +120,7 @@ class CsrSource(DataSource):
         return "eid bigint, src bigint, dst bigint" + (", w double" if self.options.get("weighted", "false") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return CsrReader(dict(self.options))
+        return CsrReader(self.options)
 
 
 def read_edges(spark: SparkSession, path: str, long: bool | None = None, weighted: bool = False, edges_per_task: int = EDGES_A_TASK) -> DataFrame:
@@ -195,7 +195,7 @@ class NumbersSink(DataSource):
         return "value double"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return NumbersWriter(dict(self.options))
+        return NumbersWriter(self.options)
 
 
 def _write(values: DataFrame, order: str, path: str, dtype: str) -> None:
