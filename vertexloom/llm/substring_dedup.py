@@ -19,6 +19,7 @@ and each has its own result. Equality of word sequences is that of 64-bit hashes
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,6 +274,8 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     work = Workspace(docs.sparkSession, "substrings")
     scanned = work.save(scan(docs, window), "scanned")
     cut = work.save(rewritten(docs, scanned, work, window).select("doc_id", "text_hash", "kept").dropDuplicates(["doc_id", "text_hash"]), "cut")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"))
-    joined = docs.join(cut, (F.col("doc_id") == F.col("_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_hash")), "left")
-    return joined.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    own = uuid.uuid4().hex  # no column of docs has this name
+    cut = cut.select(F.struct("doc_id", "text_hash", "kept").alias(own))
+    hit = (F.col("doc_id") == F.col(f"{own}.doc_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(f"{own}.text_hash"))
+    joined = docs.join(cut, hit, "left")
+    return joined.select(*[F.coalesce(f"{own}.kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

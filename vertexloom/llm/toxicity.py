@@ -9,9 +9,10 @@ quadratic penalty, is then trained on the posterior labels and scores every text
 
 Voters and models are fitted on at most ``max_rows`` labelled rows, those with the least hash of
 their id; labels serve to choose voters and to start the fit. All else covers every row and the
-whole of its text. Texts that are null or empty have the score of a text without features. Without
-labelled rows of both kinds no voter is chosen, and every text has the share of toxic rows, or 0.5
-without any, as its score. Labels that are null are left out; of several for one id the largest counts.
+whole of its text. Texts that are null or empty have the score of a text without features. With
+labelled rows of one kind only no voter is chosen, and every text has the share of toxic rows as its
+score; without any labelled row the lexicon alone scores, each of its words alike. Labels that are null
+are left out; of several for one id the largest counts.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "toxic").collect()
     if not chosen:
-        return Model({}, 0.0)
+        return Model({w: 3.0 for w in LEXICON}, -3.0)
     # At most max_rows pairs of numbers, so they can be broadcast.
     sample = spark.createDataFrame([(r["doc_id"], r["toxic"], i) for i, r in enumerate(chosen)], "doc_id long, toxic int, row long")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("row", "toxic", "text")
