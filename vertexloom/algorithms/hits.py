@@ -38,7 +38,7 @@ def hits(graph, max_iter: int = 50, tol: float | None = None) -> DataFrame:
             receivers = state.filter("active").select(F.col("id").alias("to"))
             along = along.join(F.broadcast(receivers) if small else receivers, "to", "left_semi")
         sums = along.join(F.broadcast(senders) if small else senders, "frm").groupBy("to").agg(F.sum(F.when(F.col("for_hub"), F.col("authority"))).alias("h"), F.sum(F.when(~F.col("for_hub"), F.col("hub"))).alias("a"))
-        raw = state.join(sums, state["id"] == sums["to"], "left").select(
+        raw = state.join(F.broadcast(sums) if small else sums, state["id"] == sums["to"], "left").select(
             "id", "active", F.col("hub").alias("old_hub"), F.col("authority").alias("old_authority"), "delta_hub", "delta_authority",
             F.when(F.col("active"), F.coalesce("h", zero)).otherwise(F.col("hub")).alias("hub"), F.when(F.col("active"), F.coalesce("a", zero)).otherwise(F.col("authority")).alias("authority"),
         ).persist(StorageLevel.MEMORY_AND_DISK)

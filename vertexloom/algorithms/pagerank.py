@@ -68,7 +68,7 @@ def _rounds(graph, n: int, rounds: int, damping: float, base: float, first: floa
         old = state
         sent = state.filter("share is not null").select(F.col("id").alias("frm"), (F.col("rank") * F.col("share")).alias("part"))
         got = edges.join(F.broadcast(sent) if small else sent, "frm").groupBy("to").agg(F.sum("part").alias("part"))
-        state = vertices.join(got, vertices["id"] == got["to"], "left").select("id", "share", (F.lit(base) + damping * F.coalesce("part", F.lit(0.0))).alias("rank"))
+        state = vertices.join(F.broadcast(got) if small else got, vertices["id"] == got["to"], "left").select("id", "share", (F.lit(base) + damping * F.coalesce("part", F.lit(0.0))).alias("rank"))
     before = old.select(F.col("id").alias("_id"), F.col("rank").alias("_old"))
     out = state.join(before, F.col("id") == F.col("_id")).select("id", "rank", F.abs(F.col("rank") - F.col("_old")).alias("delta"))
     out = work.save(out, "result")

@@ -3,9 +3,10 @@
 Edges are hashed by receiver once and kept, so that combining messages needs no shuffle in any round
 while the senders' state can be broadcast, which the number of vertices decides. Larger states are
 joined by shuffle: edges are then hashed by sender, and a round shuffles the state and the partly
-combined messages. The state is hashed by id once and keeps that partitioning. Each round ends in a
-checkpoint of the state in the shared folder, so plans don't grow and a lost executor costs one
-round at most; the number of changed vertices and of the edges that they would send along comes back.
+combined messages, never the edges. Combined messages are no more than vertices, so where the state
+can be broadcast they can be too. Each round ends in a checkpoint of the state in the shared folder,
+so plans don't grow and a lost executor costs one round at most; the number of changed vertices
+and of the edges that they would send along comes back.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def run(program: VertexProgram, graph) -> Result:
             along = along.join(F.broadcast(receivers) if small else receivers, "to", "left_semi")
         sent = along.join(F.broadcast(senders) if small else senders, "frm").select("to", program.message.alias("_message"))
         got = sent.groupBy("to").agg(program.aggregate())
-        both = state.join(got, state["id"] == got["to"], "left").drop("to")
+        both = state.join(F.broadcast(got) if small else got, state["id"] == got["to"], "left").drop("to")
         may = F.col("_active") if program.active == "gather" else F.lit(True)
         new = both.select("id", "_fan", *[F.col(c).alias(f"old_{c}") for c in names], *[(F.when(may, program.apply[c]).otherwise(F.col(c)) if c in program.apply else F.col(c)).alias(c) for c in names], may.alias("_may"))
         differs = program.changed if program.changed is not None else _differs(names)

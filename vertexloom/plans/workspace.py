@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as it is partitioned, which a plan over it makes use of."""
+    """``df`` written to the shared folder, partition by partition, and read back from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

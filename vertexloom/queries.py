@@ -176,28 +176,29 @@ def degree_histogram(spark, sf):
     return access.degree_histogram(part_chain(spark, sf))
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    """Every seventh vertex, and one of them twice."""
-    return spark.range(0, 70, 7).union(spark.range(7, 8))
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part, and the small ones twice."""
+    parts = graphs.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return parts.select("id").union(parts.filter("p_size <= 10").select("id"))
 
 
-ASKED = "a AS (SELECT unnest(range(0, 70, 7)) AS id UNION ALL SELECT 7)"
+ASKED = "a AS (SELECT p_partkey AS id FROM part UNION ALL SELECT p_partkey FROM part WHERE p_size <= 10)"
 
 
 @query(f"WITH {PART_CHAIN}, {ASKED} SELECT id, dst AS nbr, eid, 'out' AS dir FROM a JOIN e ON e.src = a.id")
 def out_nbrs_csr(spark, sf):
-    return part_chain(spark, sf, ids=True).neighbors(_asked(spark), "out")
+    return part_chain(spark, sf, ids=True).neighbors(_asked(spark, sf), "out")
 
 
 @query(f"WITH {PART_CHAIN}, {ASKED} SELECT id, src AS nbr, eid, 'in' AS dir FROM a JOIN e ON e.dst = a.id")
 def in_nbrs_csr(spark, sf):
-    return part_chain(spark, sf, ids=True).neighbors(_asked(spark), "in")
+    return part_chain(spark, sf, ids=True).neighbors(_asked(spark, sf), "in")
 
 
 @query(f"""WITH {PART_CHAIN}, {ASKED} SELECT id, dst AS nbr, eid, 'out' AS dir FROM a JOIN e ON e.src = a.id
 UNION ALL SELECT id, src, eid, 'in' FROM a JOIN e ON e.dst = a.id""")
 def all_nbrs(spark, sf):
-    return part_chain(spark, sf, ids=True).neighbors(_asked(spark), "all")
+    return part_chain(spark, sf, ids=True).neighbors(_asked(spark, sf), "all")
 
 
 @query(f"WITH {PART_CHAIN} SELECT src AS id, eid FROM e")
@@ -221,21 +222,17 @@ def _strings(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-@query(f"""WITH {GEO_TREE}, a AS (SELECT id FROM v WHERE id < {graphs.SUPPLIER}),
-d AS (SELECT dst AS id, list(src ORDER BY src, eid) AS n, list(eid ORDER BY src, eid) AS x FROM e GROUP BY dst)
-SELECT a.id, coalesce(array_to_string(n, ','), '') AS nbrs, coalesce(array_to_string(x, ','), '') AS eids FROM a LEFT JOIN d USING (id)""")
+@query(f"""WITH {GEO_TREE}, d AS (SELECT dst AS id, list(src ORDER BY src, eid) AS n, list(eid ORDER BY src, eid) AS x FROM e GROUP BY dst)
+SELECT v.id, coalesce(array_to_string(n, ','), '') AS nbrs, coalesce(array_to_string(x, ','), '') AS eids FROM v LEFT JOIN d USING (id)""")
 def in_nbrs_array(spark, sf):
-    g = geo_tree(spark, sf, ids=True)
-    return _strings(g.neighbors(g.filter_vertices(f"id < {graphs.SUPPLIER}"), "in", "array"), "nbrs", "eids")
+    return _strings(geo_tree(spark, sf, ids=True).neighbors(mode="in", form="array"), "nbrs", "eids")
 
 
-@query(f"""WITH {GEO_TREE}, d AS (SELECT dst AS id, list(src ORDER BY src) AS n FROM e WHERE src < {graphs.SUPPLIER} GROUP BY dst),
-a AS (SELECT id, coalesce(n, []::BIGINT[]) AS n FROM v LEFT JOIN d USING (id) WHERE id < {graphs.NATION}), w AS (SELECT max(len(n)) AS w FROM a)
+@query(f"""WITH {PART_CHAIN}, d AS (SELECT src AS id, list(dst ORDER BY dst) AS n FROM e GROUP BY src),
+a AS (SELECT id, coalesce(n, []::BIGINT[]) AS n FROM v LEFT JOIN d USING (id)), w AS (SELECT max(len(n)) AS w FROM a)
 SELECT id, array_to_string([CASE WHEN i <= len(n) THEN n[i] ELSE -1 END for i in range(1, w + 1)], ',') AS nbrs, len(n) AS n_real FROM a, w""")
 def nbrs_padded(spark, sf):
-    g = geo_tree(spark, sf, ids=True)
-    nations = Graph(g.vertices, g.edges.filter(f"src < {graphs.SUPPLIER}"))
-    out = nations.neighbors(g.filter_vertices(f"id < {graphs.NATION}"), "in", "padded")
+    out = part_chain(spark, sf, ids=True).neighbors(mode="out", form="padded")
     return _strings(out.select("id", "nbrs", F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_real")), "nbrs")
 
 
@@ -267,9 +264,9 @@ def _priced(spark, sf) -> Graph:
     return Graph(parts, part_chain(spark, sf).edges)
 
 
-@query("SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_partkey IN (SELECT unnest(range(0, 70, 7))) UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_partkey = 7")
+@query("SELECT p_partkey AS id, p_retailprice AS price FROM part UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_size <= 10")
 def get_vertex_attr(spark, sf):
-    return _priced(spark, sf).vertex_attr(_asked(spark), "price")
+    return _priced(spark, sf).vertex_attr(_asked(spark, sf), "price")
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_retailprice > 500")
@@ -284,9 +281,10 @@ def set_vertex_attr(spark, sf):
     return _filled(g.update_vertices(updates, "price").vertices, "price")
 
 
-@query(f"WITH {USER_NEXT} SELECT eid, w FROM e WHERE eid IN (SELECT unnest(range(0, 100, 3)))")
+@query(f"WITH {USER_NEXT} SELECT eid, w FROM e")
 def get_edge_attr(spark, sf):
-    return user_next(spark, sf, ids=True).edge_attr(spark.range(0, 100, 3).withColumnRenamed("id", "eid"), "w")
+    g = user_next(spark, sf, ids=True)
+    return g.edge_attr(g.edges.select("eid"), "w")
 
 
 @query(f"WITH {USER_NEXT} SELECT eid FROM e WHERE w < 500")
@@ -322,12 +320,12 @@ def range_padded(spark, sf):
     return _strings(kernels.padded_ranges(ranges, 6), "values").select("o_orderkey", "values")
 
 
-@query("""WITH c AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem)
-SELECT l_suppkey, array_to_string(list(l_quantity::BIGINT ORDER BY r) FILTER (WHERE r <= 8), ',') AS "values" FROM c GROUP BY l_suppkey HAVING count(*) >= 8""")
+@query("""WITH c AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem),
+x AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY r) AS x FROM c GROUP BY l_suppkey)
+SELECT l_suppkey, array_to_string([CASE WHEN i <= len(x) THEN x[i] ELSE -1 END for i in range(1, 9)], ',') AS "values" FROM x""")
 def csr_to_dense(spark, sf):
     lines = graphs.table(spark, sf, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), "l_quantity")
-    dense = kernels.to_dense(lines, "l_suppkey", "at", "l_quantity", 8).filter(F.forall("mask", lambda m: m))
-    return _strings(dense, "values").select("l_suppkey", "values")
+    return _strings(kernels.to_dense(lines, "l_suppkey", "at", "l_quantity", 8), "values").select("l_suppkey", "values")
 
 
 def _scatter_sql(expr: str, empty: str) -> str:
