@@ -1,45 +1,19 @@
-"""Connected components of a table of links, by alternating large and small stars.
-
-Each round moves every link towards the least id that its ends can see. A round is joins and
-aggregates over the links, so that a hub's links are pre-aggregated or split as skewed join
-partitions and never meet in one task. The rounds grow with the logarithm of the components' size.
-"""
+"""Connected components of links: by joins over a table, and by union-find within a task."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from vertexloom.llm.workspace import Workspace
-
 
-def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """``links`` (a, b) of long ids -> (id, component), for every id of a link; component: the least
-    id that links reach. Loops, nulls and repeated links are allowed; no links: no rows."""
-    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs = work.save(pairs.distinct(), f"{name}0")
-    mark, step = _mark(pairs), 0
-    while mark[0]:
-        step += 1
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.withColumnRenamed("m", "v")).distinct()
-        after = work.save(small, f"{name}{step}")
-        work.drop(f"{name}{step - 1}")
-        pairs, (before, mark) = after, (mark, _mark(after))
-        if mark == before:
-            break
-    ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+from vertexloom.algorithms.wcc import stars
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    """Number and checksum of the links, to see whether a round changed any."""
-    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def components(links: DataFrame) -> DataFrame:
+    """``links`` (a, b) of long ids -> (id, component), for every id of a link between different ids;
+    component: the least id that links reach. Nulls and repeated links are allowed; no links: no rows.
+    Alternating large and small stars: a logarithmic number of rounds, each joins and aggregates, so
+    that a hub's links are pre-aggregated or split as skewed join partitions."""
+    return stars(links).withColumnRenamed("label", "component")
 
 
 class Forest:

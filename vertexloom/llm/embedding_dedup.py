@@ -204,7 +204,7 @@ def dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.995) ->
         found = work.save(met.applyInArrow(_compare(threshold), "id long, n long, other long"), "found")
         work.drop("assigned")
         partners = found.filter("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("partners"))
-        linked = work.save(components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), work, "links"), "linked")
+        linked = work.save(components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "linked")
         known = classes.select("x", "y", "rep", "weight").join(partners, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
         known = known.select(F.col("x").alias("cx"), F.col("y").alias("cy"), (F.coalesce("partners", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
         both = rows.join(known, (F.col("v").isNotNull()) & (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), "left")

@@ -303,7 +303,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataF
     tasks = max(1, int(volume // TASK_BYTES) + 1)
     signed = owners.join(sets.select("rep", "bitmap"), "rep").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
     plausible = signed.groupBy("task").applyInArrow(_block_links(rule), "a long, b long")
-    clusters = work.save(components(plausible, work, "plausible"), "clusters")
+    clusters = work.save(components(plausible), "clusters")
 
     sized = clusters.join(members.filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles"), "id")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
@@ -316,7 +316,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataF
     placed = placed.withColumn("task", F.coalesce(corner, F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")))
     full = placed.select("task", F.col("component").alias("cluster"), F.col("id").alias("rep")).join(sets.select("rep", "tokens"), "rep")
     links = full.groupBy("task").applyInArrow(_cluster_links(rule), "a long, b long")
-    linked = work.save(components(links, work, "links"), "linked")
+    linked = work.save(components(links), "linked")
 
     found = members.join(linked.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

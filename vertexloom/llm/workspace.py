@@ -1,37 +1,5 @@
-"""Tables in the shared folder that the cluster names, to cut lineage where a plan is used twice."""
+"""Written tables in the cluster's shared folder; see ``vertexloom.plans.workspace``."""
 
-from __future__ import annotations
+from vertexloom.plans.workspace import Workspace, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one is set."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vertexloom-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-class Workspace:
-    """Written tables of one run of an operator, below a folder of its own."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: a lost executor costs a read, not the stages before."""
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "shared_folder"]
