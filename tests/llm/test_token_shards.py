@@ -30,13 +30,22 @@ def test_round_trip_and_resuming(spark, docs, tmp_path):
         want += [(str(doc), i // 16, ids[i : i + 16]) for i in range(0, len(ids), 16)]
     rows = token_shards.read_shards(spark, layout).collect()
     got = [(str(r["doc_id"]), r["part"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in rows]
-    assert sorted(got) == sorted(want) and layout["total"] == len(want) and layout["shards"] > 5
+    assert sorted(got) == sorted(want) and layout["total"] == len(want) and len(layout["shards"]) > 5
     assert sorted(r["slot"] for r in rows) == list(range(len(want)))
-    assert all(r["slot"] == r["shard"] * layout["per_shard"] + r["record"] for r in rows)
-    some = token_shards.read_shards(spark, layout, first=7, count=layout["per_shard"] + 3)
-    assert sorted(r["slot"] for r in some.collect()) == list(range(7, 10 + layout["per_shard"]))
+    start = dict(zip(layout["shards"], layout["starts"]))
+    assert all(r["slot"] == start[r["shard"]] + r["record"] for r in rows)
+    some = token_shards.read_shards(spark, token_shards.read_layout(spark, str(tmp_path / "t"), 16), first=7, count=300)
+    assert sorted(map(str, some.collect())) == sorted(str(r) for r in rows if 7 <= r["slot"] < 307)
+    again = token_shards.write_shards(docs.repartition(2), str(tmp_path / "u"), PATH, public_tokenizers.PATTERN, length=16, shard_bytes=4000)
+    assert sorted(map(str, token_shards.read_shards(spark, again).collect())) == sorted(map(str, rows))
     files = list((tmp_path / "t").glob("shard=*/part-*"))
-    assert len(files) == layout["shards"] and sum(f.stat().st_size for f in files) == layout["stride"] * len(want)
+    assert len(files) == len(layout["shards"]) and sum(f.stat().st_size for f in files) == layout["stride"] * len(want)
+
+
+def test_ids_far_apart(spark, tmp_path):
+    rows = [(-(1 << 63) + 1, "a b c " * 50), ((1 << 63) - 1, "d e"), (0, "f")]
+    layout = token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), PATH, public_tokenizers.PATTERN, length=16)
+    assert {r["doc_id"] for r in token_shards.read_shards(spark, layout).collect()} == {r[0] for r in rows}
 
 
 def test_empty(spark, nothing, tmp_path):

@@ -1,19 +1,22 @@
 """Training-order materialisation: token sequences in fixed-stride shards, in a keyed random order.
 
-Texts are encoded and cut into sequences of ``length`` tokens, the last one of a text padded. Each
-sequence gets a running number: its place in its task, after the sequences of earlier tasks, of which
-only the counts are gathered. A Feistel network over the least even number of bits that holds all
-numbers permutes them under a key; results that are too large go through it again until they
-fit (cycle-walking), which permutes exactly the numbers below the total. The result is the
-sequence's global slot. Shard s holds the slots from s * per_shard on, in order, as records of one
-stride, so slot n is found by arithmetic: a reader that stopped goes on at any slot.
+Texts are encoded and cut into sequences of ``length`` tokens, the last one of a text padded. Sequence
+p of a document has the number (doc_id - least id) * parts + p, where parts is how many the longest
+text can have; it depends on the data alone, so a task that is run again deals its sequences to the
+same places. A Feistel network over the least even number of bits that holds all numbers permutes
+them under a key; results that are too large go through it again until they fit (cycle-walking),
+which permutes exactly the numbers of the domain. Equal ranges of the permuted numbers are the
+shards. Within a shard sequences stand in the order of their permuted numbers, as records of one
+stride; a sequence's global slot is its place in this order over all shards. A reader finds slot n by
+the shards' counts and arithmetic, so one that stopped goes on at any slot.
 
 A record is doc_id (int64, little endian), part (int32), number of tokens (int32), a flag byte (1: the
 row has an id), the tokens (uint16, padded with ``PAD``) and a line feed, which lets Spark's own
 writer commit the files to any store it can write to. Shards are written as ``shard=<s>/part-*``.
 
-Null and empty texts give no sequence. Rows with null or repeated ids give theirs like any other. An
-empty table gives no shard.
+Null and empty texts give no sequence. Rows with a null id are numbered by their text's hash; these and
+rows that share an id may have equal numbers, and then stand side by side, ordered by their records. Ids
+so far apart that their numbers need more than 62 bits are hashed first. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -26,13 +29,11 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import packing
 from vertexloom.llm.bpe import load_vocabulary
-from vertexloom.llm.workspace import Workspace
 
 HEAD, PAD, ROUNDS = 17, 50256, 6
 
@@ -60,71 +61,87 @@ def _encoding(content: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-SEQUENCE = pa.schema({"task": pa.int64(), "place": pa.int64(), "doc_id": pa.int64(), "part": pa.int32(), "n_tokens": pa.int32(), "tokens": pa.binary()})
+def _numbers(docs: DataFrame, length: int) -> tuple[DataFrame, int, int]:
+    """Rows (first, doc_id, text), where ``first`` numbers a row's first sequence; the number of numbers, and
+    of bytes of text."""
+    t = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.octet_length("text")).alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    # A token has a byte at least.
+    parts = max(1, -(-(t["longest"] or 0) // length))
+    a, b = t["a"] or 0, t["b"] or 0
+    wide = (b - a + 1) * parts >= 1 << 62
+    span = (1 << 62) // parts if wide else b - a + 1
+    hashed = F.pmod(F.coalesce(F.xxhash64("doc_id") if wide else F.lit(None).cast("long"), F.xxhash64("text")), F.lit(span))
+    place = hashed if wide else F.coalesce(F.col("doc_id") - F.lit(a), hashed)
+    return docs.select((place * parts).alias("first"), "doc_id", "text"), span * parts, t["bytes"] or 0
 
 
-def sequences(docs: DataFrame, path: str, pattern: str, length: int) -> DataFrame:
-    """The sequences of each text, compressed, with their task and place in it."""
-    content = load_vocabulary(docs, path)
+def sequences(rows: DataFrame, path: str, pattern: str, length: int, domain: int, shards: int, key: int) -> DataFrame:
+    """The sequences of each text, with their shard and permuted number, compressed."""
+    content = load_vocabulary(rows, path)
+    schema = pa.schema({"shard": pa.int64(), "number": pa.int64(), "doc_id": pa.int64(), "part": pa.int32(), "n_tokens": pa.int32(), "tokens": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, task, place = _encoding(content.value, pattern), TaskContext.get().partitionId(), 0
+        encoding = _encoding(content.value, pattern)
         pack = zstandard.ZstdCompressor(1, write_content_size=True, write_checksum=False).compress
-        for chunk in packing.chunks(batches, 1, 2 << 20):
-            ids, rows = chunk.column(0).to_pylist(), []
-            for doc_id, raw in zip(ids, packing.text_bytes(chunk.column(1))):
+        for chunk in packing.chunks(batches, 2, 2 << 20):
+            out = []
+            for first, doc_id, raw in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), packing.text_bytes(chunk.column(2))):
                 if raw:
                     tokens = encoding.encode_to_numpy(raw.decode("utf-8", "replace"), allowed_special=set(), disallowed_special=()).astype("<u2")
-                    for part, first in enumerate(range(0, len(tokens), length)):
-                        own = tokens[first : first + length]
-                        rows.append((doc_id, part, len(own), pack(own.tobytes())))
-            columns = {k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "part", "n_tokens", "tokens"))}
-            yield pa.RecordBatch.from_pydict({"task": np.full(len(rows), task), "place": np.arange(place, place + len(rows)), **columns}, schema=SEQUENCE)
-            place += len(rows)
+                    for part, at in enumerate(range(0, len(tokens), length)):
+                        own = tokens[at : at + length]
+                        out.append((first + part, doc_id, part, len(own), pack(own.tobytes())))
+            number = permute(np.array([o[0] for o in out], np.uint64), domain, key)
+            shard = [int(x) * shards // domain for x in number.tolist()]
+            rest = {k: [o[i] for o in out] for i, k in enumerate(("doc_id", "part", "n_tokens", "tokens"), 1)}
+            yield pa.RecordBatch.from_pydict({"shard": shard, "number": number, **rest}, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "task long, place long, doc_id long, part int, n_tokens int, tokens binary")
+    return rows.mapInArrow(run, "shard long, number long, doc_id long, part int, n_tokens int, tokens binary")
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, length: int = 256, key: int = 20240229, shard_bytes: int = 32 << 20) -> dict:
-    """Write all shards below ``folder``; returns what a reader needs to know of them."""
-    work = Workspace(docs.sparkSession, "sequences")
-    cut = work.save(sequences(docs, path, pattern, length), "cut")
-    counts = {r["task"]: r["n"] for r in cut.groupBy("task").agg(F.count("*").alias("n")).collect()}
-    tasks = sorted(counts)
-    before = dict(zip(tasks, np.cumsum([0] + [counts[t] for t in tasks]).tolist()))
-    total, stride = sum(counts.values()), HEAD + 2 * length + 1
-    per_shard = max(1, shard_bytes // stride)
-    layout = {"folder": folder, "total": total, "length": length, "stride": stride, "per_shard": per_shard, "shards": -(-total // per_shard)}
-    if not total:
-        return layout
-    starts = docs.sparkSession.sparkContext.broadcast(before)  # a number for each task
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                slot = permute(np.array([starts.value[t] for t in b.column(0).to_pylist()]) + b.column(1).to_numpy(), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *b.columns[2:]], names=["shard", "slot", *b.schema.names[2:]])
+def _records(length: int):
+    """Rows of ``sequences`` to (shard, number, value): the records without their line feed."""
+    stride = HEAD + 2 * length + 1
+    kind = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("tokens", "<u2", (length,)), ("end", "u1")])
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        kind = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("tokens", "<u2", (length,)), ("end", "u1")])
         for b in batches:
             out = np.zeros(b.num_rows, kind)
             out["doc_id"], out["known"] = b.column(2).fill_null(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            out["part"], out["n"], out["tokens"], out["end"] = b.column(3).to_numpy(), b.column(4).to_numpy(), PAD, 10
+            out["part"], out["n"], out["tokens"] = b.column(3).to_numpy(), b.column(4).to_numpy(), PAD
             for i, packed in enumerate(b.column(5).to_pylist()):
                 own = np.frombuffer(unpack(packed), "<u2")
                 out["tokens"][i, : len(own)] = own
             data = pa.py_buffer(np.ascontiguousarray(out.view((np.uint8, stride))[:, : stride - 1]).tobytes())
             ends = pa.py_buffer((np.arange(b.num_rows + 1, dtype=np.int32) * (stride - 1)).tobytes())
             value = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, data])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), value], names=["shard", "slot", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), value], names=["shard", "number", "value"])
+
+    return run
 
-    slotted = cut.mapInArrow(place, "shard long, slot long, doc_id long, part int, n_tokens int, tokens binary")
-    dealt = slotted.repartition(int(layout["shards"]), "shard")
-    made = dealt.mapInArrow(records, "shard long, slot long, value binary").sortWithinPartitions("shard", "slot")
+
+def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, length: int = 256, key: int = 20240229, shard_bytes: int = 32 << 20) -> dict:
+    """Write all shards, of about ``shard_bytes``, below ``folder``; returns what a reader needs to know."""
+    rows, domain, size = _numbers(docs, length)
+    stride = HEAD + 2 * length + 1
+    shards = max(1, -(-size // shard_bytes))  # about a byte of record for a byte of text
+    layout = {"folder": folder, "length": length, "stride": stride, "total": 0, "shards": [], "starts": []}
+    if not size:
+        return layout
+    dealt = sequences(rows, path, pattern, length, domain, shards, key).repartition(shards, "shard")
+    made = dealt.mapInArrow(_records(length), "shard long, number long, value binary").sortWithinPartitions("shard", "number", "value")
     made.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(folder)
-    return layout
+    return read_layout(docs.sparkSession, folder, length)
+
+
+def read_layout(spark: SparkSession, folder: str, length: int) -> dict:
+    """What a reader needs to know of written shards: a count for each, from the files' sizes."""
+    stride = HEAD + 2 * length + 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "length").collect()
+    sizes = sorted((int(f["path"].rpartition("shard=")[2].partition("/")[0]), f["length"] // stride) for f in files)
+    starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    return {"folder": folder, "length": length, "stride": stride, "total": starts[-1], "shards": [s for s, _ in sizes], "starts": starts[:-1]}
 
 
 READ = "slot long, shard long, record long, doc_id long, part int, n_tokens int, tokens binary"
@@ -132,11 +149,13 @@ READ = "slot long, shard long, record long, doc_id long, part int, n_tokens int,
 
 def read_shards(spark: SparkSession, layout: dict, first: int = 0, count: int | None = None) -> DataFrame:
     """The sequences of slots ``first`` to ``first + count - 1``; only their shards are opened."""
-    per_shard, stride, total = layout["per_shard"], layout["stride"], layout["total"]
+    stride, total = layout["stride"], layout["total"]
     stop = total if count is None else min(total, first + count)
-    wanted = [f"{layout['folder']}/shard={s}" for s in range(first // per_shard, -(-stop // per_shard))] if first < stop else []
-    if not wanted:
+    ends = [*layout["starts"][1:], total]
+    begins = {k: a for k, a, b in zip(layout["shards"], layout["starts"], ends) if a < stop and b > first}
+    if not begins:
         return spark.createDataFrame([], READ)
+    wanted = [f"{layout['folder']}/shard={k}" for k in begins]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("rest", "u1", (stride - HEAD,))])
@@ -144,7 +163,7 @@ def read_shards(spark: SparkSession, layout: dict, first: int = 0, count: int |
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 shard = int(path.rpartition("shard=")[2].partition("/")[0])
                 rows = np.frombuffer(content.as_buffer(), kind)
-                slots = shard * per_shard + np.arange(len(rows))
+                slots = begins[shard] + np.arange(len(rows))
                 at = np.flatnonzero((slots >= first) & (slots < stop))
                 for some in np.array_split(at, len(at) // 20_000 + 1):
                     r = rows[some]
