@@ -169,3 +169,13 @@ def test_parts_conserve_edges(case, k, method):
         assert max(r["n_edges"] for r in sizes) <= 2 * min(r["n_edges"] for r in sizes)
     with pytest.raises(ValueError):
         partition.assign_parts(g, k, "random")
+
+
+def test_sums_hear_each_message_once(spark):
+    """Walks of each length from vertex 0: only who received sends on."""
+    g = graph(spark, 4, [(0, 1), (0, 2), (1, 3), (2, 3)])
+    p = VertexProgram(
+        init={"walks": F.when(F.col("id") == 0, 1.0)}, message=F.col("from_walks"), combine="sum", apply={"walks": F.col("msg")},
+        changed=F.col("walks").isNotNull(), start=F.col("id") == 0, max_iter=2,
+    )
+    assert column(p.run(g).vertices, "walks") == [None, None, None, 2.0]

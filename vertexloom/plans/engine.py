@@ -70,7 +70,8 @@ def run(program: VertexProgram, graph) -> Result:
     while (program.fixed or active) and (program.max_iter is None or rounds < program.max_iter):
         senders = state
         if program.active == "changed":
-            pushing = not program.push_pull or load < program.push_ratio * n_edges
+            # Pulling hears old messages again, which only a minimum or maximum bears.
+            pushing = not program.push_pull or program.combine not in ("min", "max") or load < program.push_ratio * n_edges
             push, pull = push + pushing, pull + (not pushing)
             senders = state.filter("_active") if pushing else state
         senders = senders.select(F.col("id").alias("frm"), *[F.col(c).alias(f"from_{c}") for c in names])
