@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vertexloom_shipped", False):
+        return
+    package = Path(__file__).parent.parent
+    path = Path(tempfile.mkdtemp(prefix="vertexloom-")) / "vertexloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(path))  # the driver serves it to the executors
+    sc._vertexloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one is set."""
     sc = spark.sparkContext
@@ -28,6 +44,7 @@ class Workspace:
     """Written tables of one run, below a folder of its own."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

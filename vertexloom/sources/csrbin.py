@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from vertexloom.functions import prefix
 from vertexloom.operators import etl
+from vertexloom.plans.workspace import ship
 
 #: Edges, or vertices, of a partition.
 EDGES_A_TASK = 8_000_000
@@ -128,6 +129,7 @@ def read_edges(spark: SparkSession, path: str, long: bool | None = None, weighte
     for name in ("csr_vlist", "csr_elist", *["csr_wlist"] * weighted):
         if _locate(path, name) is None:
             raise FileNotFoundError(f"{path}/{name}.bin")
+    ship(spark)
     spark.dataSource.register(CsrSource)
     options = {"path": path, "weighted": str(weighted).lower(), "edgesPerTask": str(edges_per_task)}
     if long is not None:
@@ -199,6 +201,7 @@ class NumbersSink(DataSource):
 
 
 def _write(values: DataFrame, order: str, path: str, dtype: str) -> None:
+    ship(values.sparkSession)
     values.sparkSession.dataSource.register(NumbersSink)
     ordered = values.repartitionByRange(order).sortWithinPartitions(order).select("value")
     ordered.write.format("numbers").mode("append").options(path=path, dtype=dtype).save()
