@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vertexloom.llm.workspace import ship
+
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE_JOINS, SPACE_ALONE, SPACE_RUN, RESET = range(9)
 SYMBOLS, STATES = 9, 8
 #: States: a break follows; in letters; in numbers; in others; after a joining space; in white
@@ -248,6 +250,7 @@ def _parsed(content: bytes) -> Vocabulary:
 
 def load_vocabulary(df: DataFrame, path: str):
     """Broadcast a rank file's content; its size is that of a vocabulary and checked here."""
+    ship(df.sparkSession)
     with open(path, "rb") as f:
         content = f.read(64 << 20)
     if len(content) == 64 << 20:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm import packing
 from vertexloom.llm.packing import Words
+from vertexloom.llm.workspace import ship
 
 #: Shingles of the items that are looked for in one pass, 16 bytes each.
 BLOCK_SHINGLES = 2_000_000
@@ -80,6 +81,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, shingle: int, num: int, den: int) -> Iterator[Index]:
     """Indexes of blocks of items; the sizes of blocks are checked before a block is fetched."""
+    ship(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").filter("text is not null")
     weight = F.octet_length("text") / 4 + 1
     total = items.agg(F.sum(weight)).first()[0] or 0

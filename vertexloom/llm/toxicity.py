@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm import packing
-from vertexloom.llm.workspace import Workspace
+from vertexloom.llm.workspace import Workspace, ship
 
 #: Words that a text is often toxic by.
 LEXICON = """
@@ -218,6 +218,7 @@ def _apart(features: list[str]) -> list[str]:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score and predicted added (columns of these names are replaced)."""
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     text = keep.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)

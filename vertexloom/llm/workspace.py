@@ -1,5 +1,5 @@
 """Written tables in the cluster's shared folder; see ``vertexloom.plans.workspace``."""
 
-from vertexloom.plans.workspace import Workspace, shared_folder
+from vertexloom.plans.workspace import Workspace, shared_folder, ship
 
-__all__ = ["Workspace", "shared_folder"]
+__all__ = ["Workspace", "shared_folder", "ship"]
