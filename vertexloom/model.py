@@ -39,8 +39,9 @@ class Graph:
         return Graph(vertices, edges, directed)
 
     @staticmethod
-    def read_csr(spark: SparkSession, path: str, long: bool = False, weighted: bool = False, directed: bool = False) -> Graph:
-        """From CSR files; vertices are all numbers below their count, so also those without edges."""
+    def read_csr(spark: SparkSession, path: str, long: bool | None = None, weighted: bool = False, directed: bool = False) -> Graph:
+        """From CSR files; vertices are all numbers below their count, so also those without edges.
+        ``long``: offsets are int64; without it the files tell."""
         from vertexloom.sources import csrbin
 
         return Graph(csrbin.read_vertices(spark, path, long), csrbin.read_edges(spark, path, long, weighted), directed)
