@@ -30,8 +30,8 @@ from vertexloom.llm import packing
 from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.workspace import Workspace
 
-#: N-grams of a shard, at least.
-SHARD_NGRAMS = 2_000_000
+#: N-grams of a shard, about; bytes of text of a chunk, whose repeated n-grams are sent once.
+SHARD_NGRAMS, CHUNK_BYTES = 2_000_000, 6 << 20
 
 CHUNK = pa.schema({"chunk": pa.int64(), "n_words": pa.int64(), "doc_id": pa.list_(pa.int64()), "texts": pa.binary(), "ends": pa.list_(pa.int64())})
 SENT = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
@@ -69,10 +69,10 @@ def _texts(row: dict) -> list[bytes]:
 def _gather(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for chunk in packing.chunks(batches, 1):
+        for chunk in packing.chunks(batches, 1, CHUNK_BYTES):
             texts = [t or b"" for t in packing.text_bytes(chunk.column(1))]
             ends = np.cumsum([len(t) for t in texts]).tolist()
-            row = {"chunk": number, "n_words": sum(len(t.split()) for t in texts), "doc_id": chunk.column(0).to_pylist(), "texts": packing.pack(np.frombuffer(b"".join(texts), "u1")), "ends": ends}
+            row = {"chunk": number, "n_words": sum(len(t.split()) for t in texts), "doc_id": chunk.column(0).to_pylist(), "texts": packing.pack(np.frombuffer(b"".join(texts), "u1"), 3), "ends": ends}
             yield pa.RecordBatch.from_pylist([row], schema=CHUNK)
             number += 1
 

@@ -102,8 +102,8 @@ def distinct_sets(shingles: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[n
     return s, np.searchsorted(d, np.arange(n_docs + 1))
 
 
-def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+def pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), level)
 
 
 def unpack(b: bytes, dtype: str) -> np.ndarray:

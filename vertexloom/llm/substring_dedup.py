@@ -135,7 +135,7 @@ def _gather(rows: DataFrame) -> DataFrame:
             anchors = chunk.column(3)
             row = {
                 "chunk": number, "doc_id": chunk.column(0).to_pylist(), "text_hash": chunk.column(1).to_pylist(),
-                "texts": packing.pack(np.frombuffer(b"".join(texts), "u1")), "ends": np.cumsum([len(t) for t in texts]).tolist(),
+                "texts": packing.pack(np.frombuffer(b"".join(texts), "u1"), 3), "ends": np.cumsum([len(t) for t in texts]).tolist(),
                 "anchors": packing.pack(anchors.flatten().to_numpy()), "cuts": np.cumsum(anchors.value_lengths().to_numpy()).tolist(),
             }
             yield pa.RecordBatch.from_pylist([row], schema=_Chunk.arrow)
