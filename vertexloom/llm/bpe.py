@@ -36,10 +36,10 @@ SYMBOLS, STATES = 9, 8
 BREAK, IN_L, IN_N, IN_O, JOIN, IN_W, LEFT1, LEFT2 = range(STATES)
 BLOCK = 256
 #: Characters of text that are scanned at once; bounds the arrays of a task.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 400_000
 #: Distinct pieces in each of the two generations that a worker remembers; when the younger is
 #: full, it becomes the older one, and what was not met again is forgotten.
-CACHED_PIECES = 120_000
+CACHED_PIECES = 80_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
-        for batch in batches:
+        for batch in filter(len, batches):
             sizes = pc.fill_null(pc.binary_length(batch.column(keep.index(text))), 0).to_pylist()
             for part in in_parts(sizes, CHARS_AT_ONCE):
                 rows = batch.slice(part.start, part.stop - part.start)
@@ -312,6 +312,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
                 kept = [rows.column(i) for i, c in enumerate(keep) if c not in new]
                 names = [c for c in keep if c not in new]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*names, *new])
+            del batch, rows  # before the next one comes
 
     fields = [f for f in src.schema.fields if f.name not in new]
     fields += [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in new]
@@ -327,7 +328,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
-        for batch in batches:
+        for batch in filter(len, batches):
             counts = pc.fill_null(pc.list_value_length(batch.column(keep.index(ids))), 0).to_pylist()
             for part in in_parts(counts, CHARS_AT_ONCE // 4):
                 rows = batch.slice(part.start, part.stop - part.start)
@@ -341,6 +342,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
                 out = [data[a:b] for a, b in zip(before.tolist(), total[ends].tolist())]
                 arrays = [*(rows.column(i) for i in range(len(keep))), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, decoded])
+            del batch, rows, arrays  # before the next one comes
 
     fields = [*src.schema.fields, T.StructField(decoded, T.BinaryType(), False)]
     return src.mapInArrow(run, T.StructType(fields))

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 
 #: Bytes of text that a task takes up at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -128,22 +129,28 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text; a longer text is a batch of its own."""
+    """The same rows in batches of about ``limit`` bytes of text; a longer text is a batch of its own.
+
+    Rows that wait for the next batch are copied, so that the batch that they came in can go."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lengths = [len(x) if x else 0 for x in text_bytes(batch.column(text))]
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         first = 0
         for i, n in enumerate(lengths):
             if size and size + n > limit:
-                held.append(batch.slice(first, i - first))
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield _joined([*held, batch.slice(first, i - first)])
                 held, size, first = [], 0, i
             size += n + 64
-        held.append(batch.slice(first))
-    held = [b for b in held if b.num_rows]
+        if first < batch.num_rows:
+            held.append(batch.take(pa.array(range(first, batch.num_rows), pa.int32())))
+        del batch
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def sharded(key: np.ndarray, shards: int) -> np.ndarray:
@@ -158,11 +165,11 @@ def by_shard(sorted_keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]
         yield int(s), slice(int(cut[s]), int(cut[s + 1]))
 
 
-def map_chunks(f: Callable[[pa.RecordBatch], Iterator[dict]], text: int, schema: pa.Schema):
+def map_chunks(f: Callable[[pa.RecordBatch], Iterator[dict]], text: int, schema: pa.Schema, limit: int = CHUNK_BYTES):
     """For mapInArrow: ``f`` gives the columns of some output batches for each chunk of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, text):
+        for chunk in chunks(batches, text, limit):
             for columns in f(chunk):
                 yield pa.RecordBatch.from_pydict(columns, schema=schema)
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ weak whore worthless wretched
 """.split()
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
+#: Bytes of text taken up at once; words whose features a worker remembers before it starts anew.
+CHUNK_BYTES, KNOWN_WORDS = 1 << 20, 100_000
 #: Bounds of the model: labelled rows, candidates, voters, features of the classifier. Features
 #: need a log-likelihood ratio that chance gives one in 100,000.
 MAX_ROWS, CANDIDATES, MAX_VOTERS, MAX_FEATURES, MIN_RATIO = 20_000, 4096, 128, 256, 20
@@ -62,7 +65,7 @@ def _features(docs: DataFrame) -> DataFrame:
         each = [sorted({f for w in set(WORD.findall(_text(t))) for f in features_of_word(w)}) for t in texts]
         yield {"row": chunk.column(0), "toxic": chunk.column(1), "features": each}
 
-    return docs.select("row", "toxic", "text").mapInArrow(packing.map_chunks(run, 2, arrow), "row long, toxic int, features array<string>")
+    return docs.select("row", "toxic", "text").mapInArrow(packing.map_chunks(run, 2, arrow, CHUNK_BYTES // 2), "row long, toxic int, features array<string>")
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -147,7 +150,7 @@ class Model:
                 f = known[w] = tuple(x for x in features_of_word(w) if x in self.weights)
             if f:
                 hits.update(f)
-        if len(known) > 300_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         z = self.bias + sum(map(self.weights.__getitem__, sorted(hits)))
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
@@ -185,10 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     arrow = pa.schema({"toxic": pa.int32(), "at": pa.list_(pa.int32())})
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = wanted.value
+        known = pa.array(list(wanted.value))
         for batch in batches:
-            at = [[place[f] for f in x if f in place] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "at": at}, schema=arrow)
+            column = batch.column(1)
+            at = pc.index_in(column.flatten(), value_set=known)
+            row = pc.list_parent_indices(column).to_numpy()
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(row[hit], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), at.drop_null())], schema=arrow)
 
     rows = seen.orderBy("row").select("toxic", "features").mapInArrow(narrow, "toxic int, at array<int>").collect()
     names = list(wanted.value)
@@ -224,7 +231,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in packing.chunks(batches, text):
+        for chunk in packing.chunks(batches, text, CHUNK_BYTES):
             scores = [shared.value.score(_text(t)) for t in packing.text_bytes(chunk.column(text))]
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
 
