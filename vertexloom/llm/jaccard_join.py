@@ -37,8 +37,9 @@ from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.workspace import Workspace
 
 #: Keys of a shard, signature bytes of a task, and shingles of a cluster that are compared in one task.
-SHARD_KEYS, TASK_BYTES, CLUSTER_SHINGLES = 2_000_000, 16 << 20, 2_000_000
-FANOUT = 16
+SHARD_KEYS, TASK_BYTES, CLUSTER_SHINGLES = 1_000_000, 4 << 20, 256_000
+#: Children of a tree's node; bytes of bitmaps that are compared at once.
+FANOUT, SLICE_BYTES = 16, 1 << 20
 
 
 class Rule:
@@ -175,7 +176,10 @@ class SignatureTree:
     def plausible(self, rule: Rule, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
         """Whether some set below node a may reach the threshold with one below node b."""
         ors, bits, low, high = self.levels[level]
-        common = np.bitwise_count(ors[a] & ors[b]).sum(1, dtype=np.int64)
+        common = np.empty(len(a), np.int64)
+        at_once = max(1, SLICE_BYTES // (ors.shape[1] * 8))
+        for s in range(0, len(a), at_once):
+            common[s : s + at_once] = np.bitwise_count(ors[a[s : s + at_once]] & ors[b[s : s + at_once]]).sum(1, dtype=np.int64)
         ok = (low[a] * rule.num <= high[b] * rule.den) & (low[b] * rule.num <= high[a] * rule.den)
         # A set of size x that has y as partner lacks at most x - needed(x + y) of its shingles there.
         for p, q in ((a, b), (b, a)):
@@ -205,29 +209,52 @@ class SignatureTree:
                     stack.append((level - 1, x[keep], y[keep]))
 
 
+class _Members:
+    """The members of a block within the forest of all ids of a task."""
+
+    def __init__(self, forest: Forest, at: np.ndarray):
+        self.forest, self.at = forest, at.tolist()
+        self.parts = len({forest.find(i) for i in self.at})
+
+    def find(self, i: int) -> int:
+        return self.forest.find(self.at[i])
+
+    def union(self, i: int, j: int) -> None:
+        self.parts -= self.forest.union(self.at[i], self.at[j])
+
+
+def _star_links(ids: np.ndarray, forest: Forest) -> pa.Table:
+    """A link from each id to the least one of its tree: the same links from whichever task."""
+    roots = forest.roots()
+    apart = np.flatnonzero(roots != np.arange(len(ids)))
+    return pa.table({"a": ids[apart], "b": ids[roots[apart]]})
+
+
 def _block_links(rule: Rule):
+    """Plausible pairs; one forest for all blocks of the task, as connected ones need no second link."""
+
     def run(group: pa.Table) -> pa.Table:
         key = group["key"].to_numpy()
         order = np.argsort(key, kind="stable")
-        ids, sizes = group["rep"].to_numpy()[order], group["n_shingles"].to_numpy()[order]
+        ids, place = np.unique(group["rep"].to_numpy()[order], return_inverse=True)
+        sizes = group["n_shingles"].to_numpy()[order]
         maps = group["bitmap"].take(pa.array(order)).to_pylist()
         cut = [0, *(np.flatnonzero(np.diff(key[order])) + 1).tolist(), len(order)]
-        out = set()
+        forest = Forest(len(ids))
         for a, b in zip(cut, cut[1:]):
-            forest = Forest(b - a)
-            tree = SignatureTree(_folded([np.frombuffer(m, np.uint8) for m in maps[a:b]]), sizes[a:b])
-            for i, j in tree.pairs(rule, forest):
-                if forest.union(i, j):
-                    x, y = int(ids[a + i]), int(ids[a + j])
-                    out.add((min(x, y), max(x, y)))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            members = _Members(forest, place[a:b])
+            if members.parts > 1:
+                tree = SignatureTree(_folded([np.frombuffer(m, np.uint8) for m in maps[a:b]]), sizes[a:b])
+                for i, j in tree.pairs(rule, members):
+                    members.union(i, j)
+        return _star_links(ids, forest)
 
     return run
 
 
-def _overlap_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among some sets, by inverted lists."""
-    n, forest, out = len(sets), Forest(len(sets)), []
+def _overlap_links(forest: Forest, at: list[int], sets: list[np.ndarray], rule: Rule) -> None:
+    """Join in ``forest`` all places of ``at`` whose sets exact links connect, by inverted lists."""
+    n, parts = len(sets), len({forest.find(i) for i in at})
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
@@ -236,29 +263,29 @@ def _overlap_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[
     listed = owner[order]
     rank = np.empty(len(flat), np.int64)
     rank[order] = np.repeat(np.arange(len(ends)), ends - begin)
-    at = np.cumsum(sizes) - sizes
+    first = np.cumsum(sizes) - sizes
     for i in range(n):
-        if forest.parts == 1:
+        if parts == 1:
             break
-        mine = rank[at[i] : at[i] + sizes[i]]
+        mine = rank[first[i] : first[i] + sizes[i]]
         count = ends[mine] - begin[mine]
         where = np.arange(count.sum()) + np.repeat(begin[mine] - (np.cumsum(count) - count), count)
         overlap = np.bincount(listed[where], minlength=n)
         for j in np.flatnonzero(rule.linked(overlap, sizes + sizes[i])).tolist():
-            if forest.union(i, j):
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+            parts -= forest.union(at[i], at[j])
 
 
 def _cluster_links(rule: Rule):
     def run(group: pa.Table) -> pa.Table:
-        cluster, out = group["cluster"].to_numpy(), []
+        cluster = group["cluster"].to_numpy()
         order = np.argsort(cluster, kind="stable")
-        ids, sets = group["rep"].to_numpy()[order], group["tokens"].take(pa.array(order)).to_pylist()
+        ids, place = np.unique(group["rep"].to_numpy()[order], return_inverse=True)
+        packed = group["tokens"].take(pa.array(order)).to_pylist()
         cut = [0, *(np.flatnonzero(np.diff(cluster[order])) + 1).tolist(), len(order)]
+        forest = Forest(len(ids))
         for a, b in zip(cut, cut[1:]):
-            out += _overlap_links(ids[a:b], [packing.unpack_sorted(s) for s in sets[a:b]], rule)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            _overlap_links(forest, place[a:b].tolist(), [packing.unpack_sorted(s) for s in packed[a:b]], rule)
+        return _star_links(ids, forest)
 
     return run
 
@@ -286,7 +313,8 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataF
     scanned = work.save(scan(docs, shingle, rule, shards), "scanned")
     rows = scanned.filter("shard is null").select("doc_id", "n_shingles", "digest")
     filled = rows.filter("doc_id is not null and n_shingles > 0")
-    least = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # Written, so that both sides of the next join are plain exchanges, of which large ones can be split.
+    least = work.save(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     members = work.save(filled.join(least, "digest").select("doc_id", "rep", "n_shingles").distinct(), "members")
 
     shared = scanned.filter("shard is not null").groupBy("shard").applyInArrow(_shared, "key long, doc_id long")
