@@ -9,6 +9,11 @@ template's bigrams that some of a few anchor words, chosen to be in enough of th
 texts and units without any anchor are passed over before they are normalised. The templates are few, fixed texts
 and go into the plan as literals, so that a scan is one pass without any shuffle of texts.
 
+``notices`` also takes the whole text and each window of it that has as many words as a template, so
+that a notice is met across blank lines, in comments and inside longer lines. A text has a window that
+can match only if it has ``needed`` of the template's bigrams, and a window is only compared if so many
+of its places have one; both are exact.
+
 Null and empty texts, and units of fewer than two words, match nothing. A row with a null id is
 reported under the null id. Rows that share an id are reported together.
 """
@@ -45,8 +50,12 @@ TEMPLATES = {
 COMMON = set("a an and any are as at be by for from in is it may not of on or out that the this to under use with you".split())
 
 
+def _template_words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def _template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = _template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -55,7 +64,7 @@ def anchors(grams: dict[str, list[str]], threshold: float) -> list[str]:
 
     A match has ``needed`` of the template's bigrams or more; words are taken, those in the most
     bigrams first among the less common ones, until fewer than ``needed`` bigrams are left without one."""
-    needed = {name: math.ceil(len(g) * threshold / (2 - threshold) - 1e-9) for name, g in grams.items()}
+    needed = {name: _needed(len(g), threshold) for name, g in grams.items()}
     left = {name: [x.split() for x in g] for name, g in grams.items()}
     out: list[str] = []
     while open_ := [name for name in left if len(left[name]) >= needed[name]]:
@@ -86,10 +95,63 @@ def normalised_words(unit: Column) -> Column:
     return F.when(text != "", F.split(text, " "))
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(words: Column) -> Column:
     """The distinct pairs of neighbouring words; null below two words."""
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs))
+    return F.when(F.size(words) > 1, F.array_distinct(_pairs(words)))
+
+
+def _needed(size: int, threshold: float) -> int:
+    """How many of a template's bigrams every match has."""
+    return math.ceil(size * threshold / (2 - threshold) - 1e-9)
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _unit_tests(grams: dict[str, list[str]], threshold: float) -> Column:
+    """The templates that the column ``grams`` matches as a whole."""
+    size = F.size("grams")
+    tests = []
+    for name, g in grams.items():
+        bounds = (size >= len(g) * threshold / (2 - threshold)) & (size <= len(g) * (2 - threshold) / threshold)
+        dice = 2.0 * F.size(F.array_intersect("grams", F.array(*[F.lit(x) for x in g]))) / (size + len(g))
+        tests.append(F.when(bounds, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
+    return F.filter(F.array(*tests), lambda t: t["dice"] >= threshold)
+
+
+def _window_tests(grams: dict[str, list[str]], lengths: dict[str, int], threshold: float) -> Column:
+    """The matches of the windows of the column ``pairs``, longer than a window, one for each start."""
+    pairs = F.col("pairs")
+    texts = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*[F.lit(x) for x in g]).alias("g"), F.lit(lengths[n] - 1).alias("length"), F.lit(_needed(len(g), threshold)).alias("needed")) for n, g in grams.items()])
+
+    def starts(t: Column, hits: Column) -> Column:
+        """Where a window begins that has ``needed`` places with a bigram of the template."""
+        first = lambda k: F.greatest(hits[k + t["needed"] - 1] - t["length"] + 1, F.lit(0))
+        last = lambda k: F.least(hits[k], F.size(pairs) - t["length"])
+        near = F.filter(F.sequence(F.lit(0), F.size(hits) - t["needed"]), lambda k: first(k) <= last(k))
+        return F.array_distinct(F.flatten(F.transform(near, lambda k: F.sequence(first(k), last(k)))))
+
+    def match(t: Column, window: Column) -> Column:
+        dice = 2.0 * F.size(F.array_intersect(window, t["g"])) / (F.size(window) + F.size(t["g"]))
+        return F.struct(t["license"].alias("license"), dice.alias("dice"))
+
+    def matches(t: Column) -> Column:
+        hits = F.filter(F.transform(pairs, lambda x, i: F.when(F.array_contains(t["g"], x), i)), lambda i: i.isNotNull())
+        windows = lambda i: _let(F.array_distinct(F.slice(pairs, i + 1, t["length"])), lambda w: match(t, w))
+        return _let(hits, lambda h: F.filter(F.transform(starts(t, h), windows), lambda m: m["dice"] >= threshold))
+
+    can = F.filter(texts, lambda t: (F.size(pairs) > t["length"]) & (F.size(F.array_intersect(F.col("common"), t["g"])) >= t["needed"]))
+    return F.flatten(F.transform(can, matches))
+
+
+def _found(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("doc_id", F.col("t.license").alias("license")).agg(F.max("t.dice").alias("dice"), F.count("*").alias("n_units"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -105,11 +167,26 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     units = units.select("doc_id", normalised_words(F.col("unit")).alias("words")).filter(F.size("words") - 1 >= low)
     units = units.select("doc_id", bigrams(F.col("words")).alias("grams"))
     units = units.filter(F.arrays_overlap("grams", F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])))
-    size = F.size("grams")
-    tests = []
-    for name, g in grams.items():
-        bounds = (size >= len(g) * threshold / (2 - threshold)) & (size <= len(g) * (2 - threshold) / threshold)
-        dice = 2.0 * F.size(F.array_intersect("grams", F.array(*[F.lit(x) for x in g]))) / (size + len(g))
-        tests.append(F.when(bounds, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
-    found = units.select("doc_id", F.explode(F.filter(F.array(*tests), lambda t: t["dice"] >= threshold)).alias("t"))
-    return found.groupBy("doc_id", F.col("t.license").alias("license")).agg(F.max("t.dice").alias("dice"), F.count("*").alias("n_units"))
+    return _found(units.select("doc_id", F.explode(_unit_tests(grams, threshold)).alias("t")))
+
+
+def notices(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """As ``scan``, with the whole text and its windows of each template's number of words as units too."""
+    lines = F.split("text", "\n")
+    paragraphs = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.contains(p, F.lit("\n")))
+    grams = {name: g for name, text in templates.items() if (g := _template_bigrams(text))}
+    lengths = {name: len(_template_words(templates[name])) for name in grams}
+    low = min((len(g) * threshold / (2 - threshold) for g in grams.values()), default=0)
+    words = anchors(grams, threshold)
+    known = F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])
+    part = F.transform(F.concat(lines, paragraphs), lambda u: F.struct(u.alias("unit"), F.lit(False).alias("whole")))
+    whole = F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole")))
+    units = docs.filter(_anchored(F.col("text"), words)).select("doc_id", F.explode(F.concat(part, whole)).alias("u")).select("doc_id", "u.unit", "u.whole")
+    units = units.filter(F.col("whole") | _anchored(F.col("unit"), words))
+    # An array of one is exploded so that no later filter makes Spark normalise the texts once more.
+    units = units.select("doc_id", "whole", F.explode(F.array(normalised_words(F.col("unit")))).alias("words")).filter(F.size("words") - 1 >= low)
+    units = units.select("doc_id", "whole", F.explode(F.array(_pairs(F.col("words")))).alias("pairs"))
+    units = units.select("doc_id", "whole", "pairs", F.explode(F.array(F.array_intersect("pairs", known))).alias("common")).filter(F.size("common") >= low)
+    units = units.select("doc_id", "whole", "pairs", "common", F.explode(F.array(F.array_distinct("pairs"))).alias("grams"))
+    inside = F.when(F.col("whole"), _window_tests(grams, lengths, threshold)).otherwise(F.array().cast("array<struct<license:string,dice:double>>"))
+    return _found(units.select("doc_id", F.explode(F.concat(_unit_tests(grams, threshold), inside)).alias("t")))

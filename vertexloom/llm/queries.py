@@ -120,6 +120,34 @@ SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units
 """
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.notices(_read(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
+def _op6_notices_sql(threshold: float = 0.8) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.TEMPLATES.items())
+    words = r"string_split(trim(regexp_replace(lower({0}), '[^\pL\pN]+', ' ', 'g')), ' ')"
+    pairs = "[w[i] || ' ' || w[i + 1] for i in range(1, len(w))]"
+    return f"""
+WITH t AS (SELECT name, len(w) - 1 AS n, list_distinct({pairs}) AS g FROM (SELECT name, {words.format("text")} AS w FROM (VALUES {rows}) AS v(name, text))),
+u AS (SELECT doc_id, false AS whole, unnest(string_split(text, chr(10))) AS unit FROM documents
+      UNION ALL
+      SELECT doc_id, false, unnest(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: contains(p, chr(10)))) FROM documents
+      UNION ALL
+      SELECT doc_id, true, text FROM documents),
+p AS MATERIALIZED (SELECT doc_id, whole, {pairs} AS p FROM (SELECT doc_id, whole, {words.format("unit")} AS w FROM u) WHERE len(w) > 1),
+x AS (SELECT doc_id, list_distinct(p) AS q, name, g FROM p JOIN t
+      ON len(list_distinct(p)) >= len(g) * {threshold} / (2 - {threshold}) AND len(list_distinct(p)) <= len(g) * (2 - {threshold}) / {threshold}
+      UNION ALL
+      SELECT doc_id, unnest([list_distinct(p[i:i + n - 1]) for i in range(1, len(p) - n + 2)]), name, g FROM p JOIN t
+      ON whole AND len(p) > n AND len(list_intersect(p, g)) >= len(g) * {threshold} / (2 - {threshold})),
+m AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(q, g)) / (len(q) + len(g)) AS dice FROM x)
+SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units FROM m WHERE dice >= {threshold} GROUP BY doc_id, name
+"""
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -142,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_license_notices": op6_license_notices,
     "op6_license_scan": op6_license_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_shards": op8_token_shards,
@@ -152,5 +181,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _op1_sql(),
     "op2_lm_scoring": OP2_SQL,
+    "op6_license_notices": _op6_notices_sql(),
     "op6_license_scan": _op6_sql(),
 }
