@@ -4,7 +4,8 @@
 2. ngram_jaccard: of each group of documents that five-word shingles with a Jaccard similarity of 0.8
    or more connect, the one with the least id stays. Empty texts are in no group.
 3. substring_dedup: words in windows of 50 that a document with a smaller id has too are cut out.
-4. decontamination: documents that contain 0.8 or more of a benchmark item's five-word shingles go.
+4. decontamination: documents that contain 0.8 or more of a benchmark item's five-word shingles go, and
+   those that contain an item of fewer words.
 5. byte_bpe: texts are encoded, and decoded again as a check.
 
 Rows with a null id are in no group and lose no words; rows that share an id stay or go together in
@@ -49,7 +50,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, num=4, den=5)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shingle=5, num=4, den=5, inside=True)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

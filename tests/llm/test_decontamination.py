@@ -60,3 +60,29 @@ def test_empty_tables(spark, docs, nothing):
     assert decontamination.search(nothing, item).count() == decontamination.clean(nothing, item).count() == 0
     assert decontamination.clean(docs, item).count() == docs.count() - 2
     assert decontamination.clean(docs, item).columns == docs.columns
+
+
+def test_short_items_inside_longer_texts(spark, tmp_path):
+    import corpus_pipeline
+    from vertexloom.llm.queries import QUERIES
+
+    rng = random.Random(5)
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, "one two three four five six"), (5, ""), (6, None), (7, "beta gamma")]
+    docs = [(0, f"{prose(rng, 400)} alpha {prose(rng, 30)}"), (1, "x beta\nGAMMA y z q"), (2, "beta x gamma beta"), (3, f"{prose(rng, 9)} one two three four"), (4, "beta gamma")]
+    docs += [(5, "one two three"), (6, "beta"), (7, "gamma beta one two three four five six"), (8, None), (9, ""), (10, "alpha"), (11, "alphas")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for i, t in docs:
+        w = words(t, lower=True)
+        for j, u in items:
+            x, k = shingles(u), min(5, len(words(u)))
+            n = len(x & {tuple(w[a : a + k]) for a in range(len(w) - k + 1)})
+            if x and 5 * n >= 4 * len(x):
+                want.append((i, j, n, len(x)))
+    assert {(0, 1), (1, 2), (3, 3), (7, 3), (7, 4), (10, 1)} <= {r[:2] for r in want}
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op5_benchmark_decontamination"](spark, str(tmp_path))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    kept = corpus_pipeline.decontamination_stage(spark, d, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {r[0] for r in want}

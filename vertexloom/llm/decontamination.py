@@ -11,7 +11,8 @@ The index of at most ``BLOCK_SHINGLES`` is broadcast; more items are taken in bl
 one pass over the documents each. There is no shuffle.
 
 Words are lower-cased (A-Z). An item with fewer words than a shingle is one shingle, its whole
-sequence, and so is only found in texts with just this sequence. Null and empty items are found
+sequence of k words. With ``inside`` it is looked up among the k-word sequences of all texts; without,
+it is only found in texts with just this sequence. Null and empty items are found
 nowhere; null and empty texts contain nothing. Rows with null or repeated ids are treated each for
 itself.
 """
@@ -36,8 +37,10 @@ BLOCK_SHINGLES = 2_000_000
 class Index:
     """The sketches and full shingle sets of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[bytes | None], shingle: int, num: int, den: int):
-        sets, cuts = packing.distinct_sets(*Words(texts, lower=True).shingles(shingle), len(ids))
+    def __init__(self, ids: list[int], texts: list[bytes | None], shingle: int, num: int, den: int, inside: bool = False):
+        words = Words(texts, lower=True)
+        sets, cuts = packing.distinct_sets(*words.shingles(shingle), len(ids))
+        self.short = np.unique(words.counts[(words.counts > 0) & (words.counts < shingle)]).tolist() if inside else []
         self.ids, self.sizes, self.shingle = ids, np.diff(cuts), shingle
         self.needed = -(-self.sizes * num // den)
         upper = self._upper_sizes(int(self.sizes.max(initial=0)))
@@ -61,7 +64,13 @@ class Index:
 
     def search(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents, items and the number of the item's shingles found, for enough of them."""
-        token, doc = Words(texts, lower=True).shingles(self.shingle)
+        words = Words(texts, lower=True)
+        token, doc = words.shingles(self.shingle)
+        for k in self.short:
+            some, of = words.sequences(k)
+            at = np.flatnonzero(self.coarse[some >> np.uint64(42)])
+            at = at[np.isin(some[at], self.sketches)]
+            token, doc = np.append(token, some[at]), np.append(doc, of[at])
         near = np.flatnonzero(self.coarse[token >> np.uint64(42)])
         near = near[np.isin(token[near], self.sketches)]
         hit = np.zeros(len(texts), bool)
@@ -79,7 +88,7 @@ class Index:
         return d[ok], item[ok], found[ok]
 
 
-def _blocks(benchmark: DataFrame, shingle: int, num: int, den: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, shingle: int, num: int, den: int, inside: bool) -> Iterator[Index]:
     """Indexes of blocks of items; the sizes of blocks are checked before a block is fetched."""
     ship(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").filter("text is not null")
@@ -88,17 +97,17 @@ def _blocks(benchmark: DataFrame, shingle: int, num: int, den: int) -> Iterator[
     blocks = int(total // BLOCK_SHINGLES) + 1
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield Index([r["item_id"] for r in part], [r["text"].encode() for r in part], shingle, num, den)
+        yield Index([r["item_id"] for r in part], [r["text"].encode() for r in part], shingle, num, den, inside)
 
 
 FOUND = pa.schema({"doc_id": pa.int64(), "item_id": pa.int64(), "n_found": pa.int64(), "n_item_shingles": pa.int64()})
 
 
-def search(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, inside: bool = False) -> DataFrame:
     """A row for each document and item of which it contains num / den or more: doc_id, item_id,
     n_found, n_item_shingles, containment."""
     out = None
-    for index in _blocks(benchmark, shingle, num, den):
+    for index in _blocks(benchmark, shingle, num, den, inside):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(chunk: pa.RecordBatch, shared=shared) -> Iterator[dict]:
@@ -112,10 +121,10 @@ def search(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 4
     return out.withColumn("containment", F.col("n_found") / F.col("n_item_shingles"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, inside: bool = False) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
     text = docs.columns.index("text")
-    for index in _blocks(benchmark, shingle, num, den):
+    for index in _blocks(benchmark, shingle, num, den, inside):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

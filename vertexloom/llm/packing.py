@@ -70,6 +70,11 @@ class Words:
             full, doc = np.append(full, mix(whole)), np.append(doc, short.astype(np.int32))
         return full, doc
 
+    def sequences(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """All n-grams, hashed as ``shingles`` does the whole sequence of a document of n words, and their documents."""
+        ok = self.room(n)
+        return mix(self.ngrams(n)[ok] + np.uint64(n)), self.doc[ok]
+
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """By doubling: the hash of 2k words joins two hashes of k words."""

@@ -137,7 +137,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontamination.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), inside=True)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
