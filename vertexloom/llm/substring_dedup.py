@@ -7,9 +7,11 @@ depth. Suffixes that can't repeat are left out first: of the ``ANCHOR``-word seq
 the one with the least hash is its anchor; equal windows have equal anchors, so only windows whose
 anchor occurs in several documents become suffixes. Each chunk of documents sends a suffix once,
 with the least id of its own documents, so that a passage of a third of all documents is one entry
-a chunk. A shard's sorted suffixes are its tree: neighbours that agree to full depth are one deep
-internal node, a repeat, and its value is the least id below it. Chunks get the values back and cut
-what a smaller id has.
+a chunk. No tree is built in a shard: instead of word order and common-prefix depths, suffixes are
+sorted by two hashes (of the first ``PREFIX`` words and of the whole window), and equal pairs are what
+would be a node at full depth. Its value is the least id below it. This is hash grouping of fixed
+windows: it finds the repeats of the window's length, and a longer one as overlapping windows, not
+maximal repeats as such. Chunks get the values back and cut what a smaller id has.
 
 Texts with fewer words than a window, null and empty texts lose nothing. Rows with a null id
 neither lose words nor take any from others. Rows that share an id take nothing from each other,
