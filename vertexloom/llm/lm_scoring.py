@@ -6,6 +6,10 @@ of the n-gram's hash. A shard is one partition of the count tables: its task add
 all chunks and joins them to the n-grams that each chunk asks for. Chunks then sum the logarithms of
 each document's backoff scores.
 
+Most n-grams occur in one chunk only, whose own count is then the whole one. So the shards are first
+sent short hashes, as long as the corpus needs for one in 4096 to coincide by chance, and answer which
+of them another chunk has too. Only these n-grams are sent by their whole hash and counted.
+
 The score of a word after its n-1 words before is count(n-gram) / count(context) for the longest
 n-gram with a count, times ``alpha`` for each order that was skipped; that of a single word is
 count / number of words, and that of an unknown word alpha / (number of words + 1). With
@@ -13,7 +17,9 @@ count / number of words, and that of an unknown word alpha / (number of words +
 Words are lower-cased (A-Z). N-grams don't cross documents.
 
 Null and empty texts have no words and score null. Every row is scored for itself, also rows with
-null or repeated ids; a repeated row counts as another document. An empty table gives no rows.
+null or repeated ids; a repeated row counts as another document. An empty table gives no rows. A text
+of any length is scored whole, a long one as a chunk of its own. Columns other than doc_id and text are
+not looked at, whatever their names. Equality of n-grams is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.workspace import Workspace
 
 #: N-grams of a shard, about; bytes of text of a chunk, whose repeated n-grams are sent once.
-SHARD_NGRAMS, CHUNK_BYTES = 2_000_000, 6 << 20
+SHARD_NGRAMS, CHUNK_BYTES = 2_000_000, 4 << 20
+#: Bits by which short hashes are longer than the number of n-grams needs.
+SPARE_BITS = 12
 
 CHUNK = pa.schema({"chunk": pa.int64(), "n_words": pa.int64(), "doc_id": pa.list_(pa.int64()), "texts": pa.binary(), "ends": pa.list_(pa.int64())})
-SENT = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
 
 
 class _Ngrams:
@@ -66,9 +73,21 @@ def _texts(row: dict) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _gather(docs: DataFrame) -> DataFrame:
+class _Short:
+    """The distinct short hashes of a chunk's n-grams: the first ``bits`` bits, 32 at least."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        short = keys >> np.uint64(64 - bits) << np.uint64(64 - bits)
+        new = np.ones(len(keys), bool)
+        new[1:] = short[1:] != short[:-1]
+        self.keys, self.of = short[new], np.cumsum(new) - 1
+
+
+def _gather(docs: DataFrame, first: int = 0) -> DataFrame:
+    """Chunks, numbered from ``first``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = first + (TaskContext.get().partitionId() << 32)
         for chunk in packing.chunks(batches, 1, CHUNK_BYTES):
             texts = [t or b"" for t in packing.text_bytes(chunk.column(1))]
             ends = np.cumsum([len(t) for t in texts]).tolist()
@@ -79,35 +98,76 @@ def _gather(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, n_words long, doc_id array<long>, texts binary, ends array<long>")
 
 
-def _send(gathered: DataFrame, order: int, shards: int, ask: bool, tell: bool) -> DataFrame:
-    """For each chunk and shard its distinct n-grams; with their counts if the chunk is to be
-    counted, with the chunk's number if it wants an answer."""
+def _short_keys(gathered: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
+    """For each chunk and shard its distinct short hashes."""
+    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = _Ngrams(_texts(row), order)
-                each = [(s, packing.pack_sorted(x.keys[a]), packing.pack(x.counts[a].astype(np.uint32))) for s, a in packing.by_shard(x.keys, shards)]
-                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"] if ask else None] * len(each), "shard": [e[0] for e in each], "keys": [e[1] for e in each], "counts": [e[2] if tell else None for e in each]}, schema=SENT)
+                keys = _Short(_Ngrams(_texts(row), order).keys, bits).keys
+                each = [(s, packing.pack_sorted(keys[a] >> np.uint64(64 - bits))) for s, a in packing.by_shard(keys, shards)]
+                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]] * len(each), "shard": [e[0] for e in each], "keys": [e[1] for e in each]}, schema=schema)
 
-    return gathered.mapInArrow(run, "chunk long, shard long, keys binary, counts binary")
+    return gathered.mapInArrow(run, "chunk long, shard long, keys binary")
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """The counts of a shard, joined to what each chunk asks for."""
-    rows = group.to_pylist()
-    keys = [packing.unpack_sorted(r["keys"]) for r in rows]
+def _met(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys of all chunks in a row: which place each has in their order, and where a new one begins there."""
     flat = np.concatenate(keys)
-    count = np.concatenate([packing.unpack(r["counts"], "<u4").astype(np.int64) if r["counts"] is not None else np.zeros(len(k), np.int64) for r, k in zip(rows, keys)])
     order = np.argsort(flat, kind="stable")
     new = np.ones(len(flat), bool)
     new[1:] = flat[order][1:] != flat[order][:-1]
+    return order, new
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """For each chunk a bit for each of its short hashes: whether another chunk has it."""
+    keys = [packing.unpack_sorted(k) for k in group["keys"].to_pylist()]
+    order, new = _met(keys)
+    several = np.empty(len(order), bool)
+    several[order] = ~(new & np.append(new[1:], True))
+    bits = [packing.pack_bits(x) for x in np.split(several, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "shared": pa.array(bits, pa.binary())})
+
+
+def _asked(order: int, shards: int, bits: int, first_train: int):
+    """What a chunk sends of the n-grams that it shares: their hashes and counts, and which they are."""
+    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "which": pa.binary(), "keys": pa.binary(), "counts": pa.binary()})
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        chunk = next(r for r in rows if r["texts"] is not None)
+        x = _Ngrams(_texts(chunk), order)
+        short = _Short(x.keys, bits)
+        shared, place = np.zeros(len(short.keys), bool), dict(packing.by_shard(short.keys, shards))
+        for r in rows:
+            if r["texts"] is None:
+                at = place[r["shard"]]
+                shared[at] = packing.unpack_bits(r["shared"], at.stop - at.start)
+        which = shared[short.of]
+        # Where other texts are to be counted, these are not.
+        counts = x.counts if not first_train or chunk["chunk"] >= first_train else np.zeros_like(x.counts)
+        out = []
+        for s, a in packing.by_shard(x.keys, shards):
+            own = which[a]
+            if own.any():
+                out.append({"chunk": chunk["chunk"], "shard": s, "which": packing.pack_bits(own), "keys": packing.pack_sorted(x.keys[a][own]), "counts": packing.pack_ints(counts[a][own])})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """The counts of a shard, joined to what each chunk asks for."""
+    keys = [packing.unpack_sorted(k) for k in group["keys"].to_pylist()]
+    order, new = _met(keys)
+    count = np.concatenate([packing.unpack_ints(c) for c in group["counts"].to_pylist()])
     total = np.add.reduceat(count[order], np.flatnonzero(new))
-    back = np.empty(len(flat), np.int64)
+    back = np.empty(len(count), np.uint64)
     back[order] = total[np.cumsum(new) - 1]
-    answers = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
-    out = [(r["chunk"], r["shard"], packing.pack(a)) for r, a in zip(rows, answers) if r["chunk"] is not None]
-    return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([o[1] for o in out], pa.int64()), "counts": pa.array([o[2] for o in out], pa.binary())})
+    answers = [packing.pack_ints(a) for a in np.split(back, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "which": group["which"], "counts": pa.array(answers, pa.binary())})
 
 
 def _score(order: int, shards: int, total: int, alpha: float, leave_out: bool):
@@ -117,11 +177,13 @@ def _score(order: int, shards: int, total: int, alpha: float, leave_out: bool):
         rows = group.to_pylist()
         chunk = next(r for r in rows if r["texts"] is not None)
         x = _Ngrams(_texts(chunk), order)
-        counts = np.zeros(len(x.keys), np.int64)
+        # What no other chunk has occurs here only, or not at all in texts that are counted.
+        counts = x.counts.astype(np.int64) if leave_out else np.zeros(len(x.keys), np.int64)
         place = dict(packing.by_shard(x.keys, shards))
         for r in rows:
             if r["texts"] is None:
-                counts[place[r["shard"]]] = packing.unpack(r["counts"], "<i8")
+                at = place[r["shard"]]
+                counts[at][packing.unpack_bits(r["which"], at.stop - at.start)] = packing.unpack_ints(r["counts"]).astype(np.int64)
         words, n = x.words, len(x.words.hash)
         own = x.own() if leave_out else [np.zeros(len(a), np.int64) for a in x.at]
         seen = [counts[node] - o for node, o in zip(x.node, own)]
@@ -146,18 +208,21 @@ def _score(order: int, shards: int, total: int, alpha: float, leave_out: bool):
     return run
 
 
-def scores(docs: DataFrame, train: DataFrame | None = None, order: int = 2, alpha: float = 0.4) -> DataFrame:
+def scores(docs: DataFrame, train: DataFrame | None = None, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_score (sum of natural logarithms), n_backed_off
     (words scored by less than the longest n-gram there is room for). The counts are those of ``train``;
     without it, those of all other rows of ``docs``."""
-    work = Workspace(docs.sparkSession, "lm")
+    work, first_train = Workspace(docs.sparkSession, "lm"), 1 << 62 if train is not None else 0
     asking = work.save(_gather(docs), "chunks")
-    telling = work.save(_gather(train), "train") if train is not None else asking
+    telling = work.save(_gather(train, first_train), "train") if train is not None else asking
     total = telling.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, round(total * order / SHARD_NGRAMS))
-    sent = _send(asking, order, shards, ask=True, tell=train is None)
+    bits = min(64, max(32, (total * order).bit_length() + SPARE_BITS))
+    every = asking if train is None else asking.unionByName(telling)
+    shared = _short_keys(every, order, shards, bits).groupBy("shard").applyInArrow(_shared, "chunk long, shard long, shared binary")
+    sent = every.unionByName(shared, allowMissingColumns=True).groupBy("chunk").applyInArrow(_asked(order, shards, bits, first_train), "chunk long, shard long, which binary, keys binary, counts binary")
+    answers = sent.groupBy("shard").applyInArrow(_answer, "chunk long, shard long, which binary, counts binary")
     if train is not None:
-        sent = sent.unionByName(_send(telling, order, shards, ask=False, tell=True))
-    answers = sent.groupBy("shard").applyInArrow(_answer, "chunk long, shard long, counts binary")
+        answers = answers.filter(F.col("chunk") < first_train)
     both = asking.unionByName(answers, allowMissingColumns=True)
     return both.groupBy("chunk").applyInArrow(_score(order, shards, total, alpha, train is None), "doc_id long, n_words long, log_score double, n_backed_off long")

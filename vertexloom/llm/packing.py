@@ -116,13 +116,40 @@ def unpack(b: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), dtype)
 
 
+def pack_ints(a: np.ndarray) -> bytes:
+    """Numbers that are not negative, as planes of as many bytes as the largest needs."""
+    a = np.ascontiguousarray(a, "<u8")
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + pack(a.view("u1").reshape(-1, 8)[:, :width].T)
+
+
+def unpack_ints(b: bytes) -> np.ndarray:
+    width = b[0]
+    planes = unpack(b[1:], "u1").reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
-    """Ascending 64-bit keys, as differences."""
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
+    """Ascending 64-bit keys: the first one, and the differences."""
+    a = np.ascontiguousarray(a).view("<u8")
+    return a[:1].tobytes().ljust(8, b"\0") + pack_ints(np.diff(a))[: None if len(a) else 0]
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, "<u8"), dtype=np.uint64)
+    if len(b) == 8:
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(b, "<u8", 1)
+    return np.cumsum(np.concatenate([first, unpack_ints(b[8:])]), dtype=np.uint64)
+
+
+def pack_bits(a: np.ndarray) -> bytes:
+    return pack(np.packbits(a))
+
+
+def unpack_bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(unpack(b, "u1"), count=n).astype(bool)
 
 
 def signed(a: np.ndarray) -> np.ndarray:

@@ -52,44 +52,11 @@ FROM r GROUP BY conv_id
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scoring.scores(_read(spark, sf_dir, "documents"), order=2, alpha=0.4)
-    return scored.withColumn("log_score", F.round("log_score", 4))
-
-
-OP2_SQL = r"""
-WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
-           FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                   '[^\x20\x09-\x0D]+') AS words FROM documents)),
-b AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM w),
-n AS (SELECT count(*) AS n FROM w),
-size AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id),
-c1 AS (SELECT word, count(*) AS c FROM w GROUP BY word),
-d1 AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY doc_id, word),
-c2 AS (SELECT before, word, count(*) AS c FROM b WHERE before IS NOT NULL GROUP BY before, word),
-d2 AS (SELECT doc_id, before, word, count(*) AS c FROM b WHERE before IS NOT NULL GROUP BY doc_id, before, word),
-s AS (SELECT b.doc_id, b.before, c1.c - d1.c AS one, p1.c - q1.c AS context, c2.c - d2.c AS two, n.n - size.n_words AS rest
-      FROM b JOIN size USING (doc_id) CROSS JOIN n
-      JOIN c1 ON c1.word = b.word JOIN d1 ON d1.doc_id = b.doc_id AND d1.word = b.word
-      LEFT JOIN c1 p1 ON p1.word = b.before LEFT JOIN d1 q1 ON q1.doc_id = b.doc_id AND q1.word = b.before
-      LEFT JOIN c2 ON c2.before = b.before AND c2.word = b.word
-      LEFT JOIN d2 ON d2.doc_id = b.doc_id AND d2.before = b.before AND d2.word = b.word),
-t AS (SELECT doc_id, count(*) AS n_words,
-             sum(ln(CASE WHEN two > 0 THEN two::DOUBLE / context
-                         ELSE (CASE WHEN before IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END)
-                              * (CASE WHEN one > 0 THEN one::DOUBLE / rest ELSE 0.4::DOUBLE / (rest + 1) END) END)) AS log_score,
-             count(*) FILTER (WHERE before IS NOT NULL AND coalesce(two, 0) = 0) AS n_backed_off
-      FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(t.n_words, 0) AS n_words, round(t.log_score, 4) AS log_score, coalesce(t.n_backed_off, 0) AS n_backed_off
-FROM documents d LEFT JOIN t USING (doc_id)
-"""
-
-
-def op2_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.scores(_read(spark, sf_dir, "documents"), order=3, alpha=0.4)
     return scored.withColumn("log_score", F.round("log_score", 4))
 
 
-OP2_ORDER3_SQL = r"""
+OP2_SQL = r"""
 WITH w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
            FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                    '[^\x20\x09-\x0D]+') AS words FROM documents)),
@@ -209,7 +176,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op1_chat_formatting": op1_chat_formatting,
-    "op2_lm_scoring_order3": op2_lm_scoring_order3,
     "op2_lm_scoring": op2_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -223,7 +189,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _op1_sql(),
-    "op2_lm_scoring_order3": OP2_ORDER3_SQL,
     "op2_lm_scoring": OP2_SQL,
     "op6_license_notices": _op6_notices_sql(),
     "op6_license_scan": _op6_sql(),
