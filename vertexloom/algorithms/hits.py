@@ -26,18 +26,15 @@ def hits(graph, max_iter: int = 50, tol: float | None = None) -> DataFrame:
     small = engine.is_small(n, 5)
     one = graph.edges.select(F.col("dst").alias("frm"), F.col("src").alias("to"), F.lit(True).alias("for_hub"))
     two = graph.edges.select(F.col("src").alias("frm"), F.col("dst").alias("to"), F.lit(False).alias("for_hub"))
-    edges = engine.place_edges(one.unionByName(two), small)
+    edges = engine.Placed(one.unionByName(two), small)
     start = F.lit(1.0 / max(n, 1))
     zero = F.lit(0.0)
     state = graph.vertices.select("id", start.alias("hub"), start.alias("authority"), zero.alias("delta_hub"), zero.alias("delta_authority"), F.lit(True).alias("active"))
     state = checkpointed(state.repartition(parts, "id"))
     for r in range(1, max_iter + 1):
         senders = state.select(F.col("id").alias("frm"), "hub", "authority")
-        along = edges
-        if tol is not None:
-            receivers = state.filter("active").select(F.col("id").alias("to"))
-            along = along.join(F.broadcast(receivers) if small else receivers, "to", "left_semi")
-        sums = along.join(F.broadcast(senders) if small else senders, "frm").groupBy("to").agg(F.sum(F.when(F.col("for_hub"), F.col("authority"))).alias("h"), F.sum(F.when(~F.col("for_hub"), F.col("hub"))).alias("a"))
+        receivers = state.filter("active").select(F.col("id").alias("to")) if tol is not None else None
+        sums = edges.sent(senders, ["for_hub", "hub", "authority"], receivers).groupBy("to").agg(F.sum(F.when(F.col("for_hub"), F.col("authority"))).alias("h"), F.sum(F.when(~F.col("for_hub"), F.col("hub"))).alias("a"))
         raw = state.join(F.broadcast(sums) if small else sums, state["id"] == sums["to"], "left").select(
             "id", "active", F.col("hub").alias("old_hub"), F.col("authority").alias("old_authority"), "delta_hub", "delta_authority",
             F.when(F.col("active"), F.coalesce("h", zero)).otherwise(F.col("hub")).alias("hub"), F.when(F.col("active"), F.coalesce("a", zero)).otherwise(F.col("authority")).alias("authority"),
@@ -50,7 +47,7 @@ def hits(graph, max_iter: int = 50, tol: float | None = None) -> DataFrame:
         new = raw.select("id", hub.alias("hub"), authority.alias("authority"), F.when(F.col("active"), F.abs(hub - F.col("old_hub"))).otherwise(F.col("delta_hub")).alias("delta_hub"), F.when(F.col("active"), F.abs(authority - F.col("old_authority"))).otherwise(F.col("delta_authority")).alias("delta_authority"), "active")
         if tol is not None:
             moved = new.filter(F.col("active") & ((F.col("delta_hub") > tol) | (F.col("delta_authority") > tol))).select(F.col("id").alias("frm"))
-            woken = edges.join(moved, "frm", "left_semi").select(F.col("to").alias("id")).distinct().withColumn("_woken", F.lit(True))
+            woken = edges.reached(moved).withColumn("_woken", F.lit(True))
             new = new.drop("active").join(woken, "id", "left").withColumn("active", F.coalesce("_woken", F.lit(False))).drop("_woken")
         state = checkpointed(new)
         raw.unpersist()

@@ -58,7 +58,7 @@ def _rounds(graph, n: int, rounds: int, damping: float, base: float, first: floa
     spark = graph.vertices.sparkSession
     work, parts = Workspace(spark, "pagerank"), engine.partitions(spark)
     small = engine.is_small(n, 2)
-    edges = engine.place_edges(engine.directed_edges(graph.edges.select("src", "dst"), "out" if direction == "in" else "in"), small)
+    edges = engine.Placed(engine.directed_edges(graph.edges.select("src", "dst"), "out" if direction == "in" else "in"), small)
     vertices = _with_share(graph, direction).repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
     state = vertices.withColumn("rank", F.lit(first))
     old = state
@@ -67,7 +67,7 @@ def _rounds(graph, n: int, rounds: int, damping: float, base: float, first: floa
             state = work.save(state, f"ranks{r}") if not small or r < rounds else state.persist(StorageLevel.MEMORY_AND_DISK)
         old = state
         sent = state.filter("share is not null").select(F.col("id").alias("frm"), (F.col("rank") * F.col("share")).alias("part"))
-        got = edges.join(F.broadcast(sent) if small else sent, "frm").groupBy("to").agg(F.sum("part").alias("part"))
+        got = edges.sent(sent, ["part"]).groupBy("to").agg(F.sum("part").alias("part"))
         state = vertices.join(F.broadcast(got) if small else got, vertices["id"] == got["to"], "left").select("id", "share", (F.lit(base) + damping * F.coalesce("part", F.lit(0.0))).alias("rank"))
     before = old.select(F.col("id").alias("_id"), F.col("rank").alias("_old"))
     out = state.join(before, F.col("id") == F.col("_id")).select("id", "rank", F.abs(F.col("rank") - F.col("_old")).alias("delta"))

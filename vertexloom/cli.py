@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vertexloom import algorithms
 from vertexloom.algorithms.bfs import summary
@@ -31,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--directed", action="store_true")
     p.add_argument("--long", action="store_true", help="offsets are int64")
     p.add_argument("--push-pull", action="store_true")
+    p.add_argument("--partitions", type=int, help="partitions of edges and shuffles")
+    p.add_argument("--trace", help="folder for Spark's event log of the run")
     p.add_argument("--preset", choices=sorted(synthetic.PRESETS), default="small")
     p.add_argument("--seed", type=int, default=42)
     return p
@@ -48,13 +51,19 @@ def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The result; written too if there is an output."""
+    if a.partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", a.partitions)
     if a.algorithm in ("convert", "generate"):
+        loops = duplicates = 0
         if a.algorithm == "generate":
             g = synthetic.preset(spark, a.preset, a.seed)
         else:
-            g = Graph.from_edges(text.read_edgelist(spark, a.input), directed=False, drop_loops=True, renumber=True)
+            lines = text.read_edgelist(spark, a.input)
+            g = Graph.from_edges(lines, directed=False, drop_loops=True, renumber=True)
+            loops, rest = lines.agg(F.count_if(F.col("src") == F.col("dst")), F.count_if(F.col("src") != F.col("dst"))).first()
+            duplicates = 2 * rest - g.num_edges()
         csrbin.write_csr(g, a.output, a.long)
-        return spark.createDataFrame([(g.num_vertices(), g.num_edges())], "vertices long, edges long")
+        return spark.createDataFrame([(g.num_vertices(), g.num_edges(), loops, duplicates)], "vertices long, edges long, loops long, duplicates long")
     g = load(spark, a)
     weight = {"csr": "w", "edgelist": "w"}.get(a.format, a.weight) if a.weight else None
     if a.algorithm == "pr":
@@ -74,7 +83,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    out = run(SparkSession.builder.appName("vertexloom").getOrCreate(), a)
+    builder = SparkSession.builder.appName("vertexloom")
+    if a.trace:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.trace)
+    out = run(builder.getOrCreate(), a)
     if a.algorithm in ("bfs", "sssp"):
         out = summary(out)
     elif a.algorithm == "wcc":

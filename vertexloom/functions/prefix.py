@@ -35,3 +35,14 @@ def running(df: DataFrame, order: list[str], value: Column, name: str, inclusive
 def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add each row's place, from 0, in ``order``, which should be a total order."""
     return running(df, order, F.lit(1), name)
+
+
+def following(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """Add the value that ``column`` has in the next row in ``order``, a total order; null in the last row."""
+    rows, keys = _ranged(df, order)
+    # The first row of each partition follows the last one of the partition before: a row for each partition.
+    firsts = rows.groupBy("_part").agg(F.min_by(column, F.struct(*keys)).alias("_first"))
+    firsts = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_first"))
+    inside = F.lead(F.struct(column)).over(Window.partitionBy("_part").orderBy(*keys))
+    joined = rows.withColumn("_next", inside).join(F.broadcast(firsts), "_part")
+    return joined.withColumn(name, F.when(F.col("_next").isNotNull(), F.col(f"_next.{column}")).otherwise(F.col("_first"))).drop("_part", "_next", "_first")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions import prefix
 from vertexloom.model import Graph
 from vertexloom.operators import etl
 
@@ -57,17 +58,16 @@ v AS (SELECT 2 * c_custkey AS id FROM customer UNION ALL SELECT 2 * p_partkey +
 
 
 def user_next(spark: SparkSession, sf_dir: str, ids: bool = False) -> Graph:
-    """Users whose events follow each other, weighted by the least value in cents; directed. The
-    order is by hour, so that no task has to see all events."""
-    events = table(spark, sf_dir, "events").filter("user_id is not null").withColumn("hour", F.date_trunc("hour", "ts"))
-    w = Window.partitionBy("hour").orderBy("ts", "event_id")
-    pairs = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.round(F.col("value") * 100).cast("long").alias("w"))
+    """Users whose events follow each other, weighted by the least value in cents; directed."""
+    events = table(spark, sf_dir, "events").filter("user_id is not null").select("ts", "event_id", "user_id", "value")
+    pairs = prefix.following(events, ["ts", "event_id"], "user_id", "dst")
+    pairs = pairs.select(F.col("user_id").alias("src"), "dst", F.round(F.col("value") * 100).cast("long").alias("w"))
     edges = pairs.filter("dst is not null and src <> dst and w is not null").groupBy("src", "dst").agg(F.min("w").alias("w"))
     return _graph(events.select(F.col("user_id").alias("id")).distinct(), edges, ids)
 
 
 USER_NEXT = """e0 AS (SELECT src, dst, min(w) AS w FROM (
-    SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS dst, CAST(round(value * 100) AS BIGINT) AS w
+    SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, CAST(round(value * 100) AS BIGINT) AS w
     FROM events WHERE user_id IS NOT NULL)
   WHERE dst IS NOT NULL AND src <> dst AND w IS NOT NULL GROUP BY src, dst),
 e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst, w) - 1 AS eid, src, dst, w FROM e0),

@@ -7,6 +7,11 @@ combined messages, never the edges. Combined messages are no more than vertices,
 can be broadcast they can be too. Each round ends in a checkpoint of the state in the shared folder,
 so plans don't grow and a lost executor costs one round at most; the number of changed vertices
 and of the edges that they would send along comes back.
+
+The edges of hubs, vertices with more edges than a partition should have, would all be hashed to one
+partition, and a cached relation is not split at run time. They are kept apart, spread by both ends:
+their partly combined messages are shuffled, a row for each hub and partition, and where state is joined
+by shuffle the state of the hubs, fewer than partitions, is broadcast to them.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from vertexloom.plans.workspace import checkpointed
 
 #: A state of at most so many bytes (rows times columns times 16) is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: A vertex with fewer edges is no hub, however few edges there are in all.
+HUB_EDGES = 100_000
 
 
 def directed_edges(edges: DataFrame, direction: str) -> DataFrame:
@@ -40,9 +47,53 @@ def is_small(rows: int, columns: int) -> bool:
     return rows * (columns + 1) * 16 <= BROADCAST_BYTES
 
 
-def place_edges(edges: DataFrame, small: bool) -> DataFrame:
-    """Cached edges, hashed by receiver if senders can be broadcast, else by sender."""
-    return edges.repartition(partitions(edges.sparkSession), "to" if small else "frm").persist(StorageLevel.MEMORY_AND_DISK)
+class Placed:
+    """Cached edges (frm, to, ...), hashed by receiver if senders can be broadcast, else by sender; those of hubs apart."""
+
+    def __init__(self, edges: DataFrame, small: bool, hub_share: float = 4.0):
+        self.small, n = small, partitions(edges.sparkSession)
+        end = "to" if small else "frm"
+        rows = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        degree = rows.groupBy(end).agg(F.count("*").alias("_n"))
+        self.count = degree.agg(F.sum("_n")).first()[0] or 0
+        self.hubs = degree.filter(F.col("_n") > max(HUB_EDGES, hub_share * self.count / n)).select(end)
+        self.hubs = checkpointed(self.hubs) if self.hubs.take(1) else None
+        if self.hubs is None:
+            parts = [rows.repartition(n, end)]
+        else:  # at most partitions / hub_share ids
+            few = F.broadcast(self.hubs)
+            parts = [rows.join(few, end, "left_anti").repartition(n, end), rows.join(few, end, "left_semi").repartition(n, "frm", "to")]
+        self.parts = [p.persist(StorageLevel.MEMORY_AND_DISK) for p in parts]
+        for p in self.parts:
+            p.count()
+        rows.unpersist()
+
+    def sent(self, senders: DataFrame, message, receivers: DataFrame | None = None) -> DataFrame:
+        """(to, message columns): the edges whose sender is in ``senders`` (frm, ...), whose receiver in ``receivers`` (to)."""
+        out = None
+        for i, part in enumerate(self.parts):
+            if receivers is not None:
+                part = part.join(F.broadcast(receivers) if self.small else receivers, "to", "left_semi")
+            own = senders
+            if i and not self.small:
+                own = F.broadcast(senders.join(F.broadcast(self.hubs), "frm", "left_semi"))
+            rows = part.join(F.broadcast(own) if self.small else own, "frm").select("to", *message)
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def reached(self, senders: DataFrame) -> DataFrame:
+        """(id): who is at the other end of an edge from ``senders`` (frm)."""
+        return self.sent(senders, []).select(F.col("to").alias("id")).distinct()
+
+    def fan(self) -> DataFrame:
+        """(id, _fan): along how many edges each vertex sends."""
+        each = [p.groupBy("frm").agg(F.count("*").alias("_fan")) for p in self.parts]
+        out = each[0] if len(each) == 1 else each[0].unionByName(each[1]).groupBy("frm").agg(F.sum("_fan").alias("_fan"))
+        return out.withColumnRenamed("frm", "id")
+
+    def unpersist(self) -> None:
+        for p in self.parts:
+            p.unpersist()
 
 
 def _differs(names: list[str]) -> Column:
@@ -52,54 +103,66 @@ def _differs(names: list[str]) -> Column:
     return out
 
 
+def _scattered(program: VertexProgram, edges: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
+    """Edges after a round: those next to a vertex that took part, as ``scatter`` says, are updated."""
+    s, d = (state.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in names], F.col("_may").alias(f"_{e}_may")) for e in ("src", "dst"))
+    touched = {"out": F.col("_src_may"), "in": F.col("_dst_may"), "both": F.col("_src_may") | F.col("_dst_may")}[program.scatter or "both"]
+    new = {n: F.when(touched, c).otherwise(F.col(n)) if n in edges.columns else F.when(touched, c) for n, c in program.edge_update.items()}
+    both = edges.join(s, "src").join(d, "dst")
+    return both.select(*[c for c in edges.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+
+
 def run(program: VertexProgram, graph) -> Result:
     began, spark = time.time(), graph.vertices.sparkSession
     names = list(program.init)
+    vertices = program.prepare(graph) if program.prepare else graph.vertices
     start = F.coalesce(program.start, F.lit(False)) if program.start is not None else F.lit(True)
-    state = graph.vertices.select("id", *[c.alias(n) for n, c in program.init.items()], start.alias("_active"))
+    state = vertices.select("id", *[c.alias(n) for n, c in program.init.items()], start.alias("_active"))
     state = state.repartition(partitions(spark), "id").persist(StorageLevel.MEMORY_AND_DISK)
     small = is_small(state.count(), len(names))
-    edges = place_edges(directed_edges(graph.edges, program.direction), small)
-    fan = edges.groupBy(F.col("frm").alias("id")).agg(F.count("*").alias("_fan"))
-    first, state = state, checkpointed(state.join(fan, "id", "left").select("id", *names, "_active", F.coalesce("_fan", F.lit(0)).alias("_fan")))
+    final_edges = graph.edges
+    edges = Placed(directed_edges(final_edges, program.direction), small)
+    wakes = edges if program.scatter in (None, program.direction) or program.active != "gather" else Placed(directed_edges(final_edges.select("src", "dst"), program.scatter), small)
+    first, state = state, checkpointed(state.join(edges.fan(), "id", "left").select("id", *names, "_active", F.coalesce("_fan", F.lit(0)).alias("_fan")))
     first.unpersist()
-    n_edges = edges.count()
     active, load = state.agg(F.count_if("_active"), F.sum(F.when(F.col("_active"), F.col("_fan")))).first()
     load, push, pull, rounds = load or 0, 0, 0, 0
-    changed_name = "_changed"
     while (program.fixed or active) and (program.max_iter is None or rounds < program.max_iter):
-        senders = state
+        senders, receivers = state, None
         if program.active == "changed":
             # Pulling hears old messages again, which only a minimum or maximum bears.
-            pushing = not program.push_pull or program.combine not in ("min", "max") or load < program.push_ratio * n_edges
+            pushing = not program.push_pull or program.combine not in ("min", "max") or load < program.push_ratio * edges.count
             push, pull = push + pushing, pull + (not pushing)
             senders = state.filter("_active") if pushing else state
+        if program.frontier is not None:
+            senders = senders.filter(program.frontier)
         senders = senders.select(F.col("id").alias("frm"), *[F.col(c).alias(f"from_{c}") for c in names])
-        along = edges
         if program.active == "gather":
             receivers = state.filter("_active").select(F.col("id").alias("to"))
-            along = along.join(F.broadcast(receivers) if small else receivers, "to", "left_semi")
-        sent = along.join(F.broadcast(senders) if small else senders, "frm").select("to", program.message.alias("_message"))
-        got = sent.groupBy("to").agg(program.aggregate())
+        got = edges.sent(senders, [program.message.alias("_message")], receivers).groupBy("to").agg(program.aggregate())
         both = state.join(F.broadcast(got) if small else got, state["id"] == got["to"], "left").drop("to")
         may = F.col("_active") if program.active == "gather" else F.lit(True)
-        new = both.select("id", "_fan", *[F.col(c).alias(f"old_{c}") for c in names], *[(F.when(may, program.apply[c]).otherwise(F.col(c)) if c in program.apply else F.col(c)).alias(c) for c in names], may.alias("_may"))
+        new = both.select("id", "_fan", F.col("_active").alias("_was"), *[F.col(c).alias(f"old_{c}") for c in names], *[(F.when(may, program.apply[c]).otherwise(F.col(c)) if c in program.apply else F.col(c)).alias(c) for c in names], may.alias("_may"))
         differs = program.changed if program.changed is not None else _differs(names)
-        new = new.withColumn(changed_name, F.col("_may") & F.coalesce(differs, F.lit(False)))
+        new = new.withColumn("_changed", F.col("_may") & F.coalesce(differs, F.lit(False)))
+        more = F.coalesce(program.activate, F.lit(False)) if program.activate is not None else F.lit(False)
+        new = new.withColumn("_more", more)
         rounds += 1
-        if program.active == "gather":
-            new = checkpointed(new.select("id", *names, "_fan", changed_name))
-            woken = edges.join(new.filter(changed_name).select(F.col("id").alias("frm")), "frm", "left_semi").select(F.col("to").alias("id")).distinct()
-            new = new.join(woken.withColumn("_active", F.lit(True)), "id", "left").select("id", *names, F.coalesce("_active", F.lit(False)).alias("_active"), "_fan")
+        if program.hold is not None and program.hold(rounds):
+            new = new.select("id", *names, F.col("_was").alias("_active"), "_fan", "_may")
+        elif program.active == "gather":
+            new = checkpointed(new.select("id", *names, "_fan", "_may", "_changed", "_more"))
+            woken = wakes.reached(new.filter("_changed").select(F.col("id").alias("frm")))
+            new = new.join(woken.withColumn("_active", F.lit(True)), "id", "left").select("id", *names, (F.coalesce("_active", F.lit(False)) | F.col("_more")).alias("_active"), "_fan", "_may")
         else:
-            new = new.select("id", *names, F.col(changed_name).alias("_active"), "_fan")
+            new = new.select("id", *names, (F.col("_changed") | F.col("_more")).alias("_active"), "_fan", "_may")
         state = checkpointed(new)
+        if program.edge_update:
+            final_edges = checkpointed(_scattered(program, final_edges, state, names))
+            edges.unpersist()
+            edges = Placed(directed_edges(final_edges, program.direction), small)
         active, load = state.agg(F.count_if("_active"), F.sum(F.when(F.col("_active"), F.col("_fan")))).first()
         load = load or 0
     edges.unpersist()
-    final_edges = graph.edges
-    if program.edge_update:
-        s, d = (state.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in names]) for e in ("src", "dst"))
-        rest = [c for c in final_edges.columns if c not in program.edge_update]
-        final_edges = final_edges.join(s, "src").join(d, "dst").select(*rest, *[c.alias(n) for n, c in program.edge_update.items()])
+    wakes.unpersist()
     return Result(state.select("id", *names), final_edges, rounds, not active, push, pull, time.time() - began)

@@ -23,9 +23,16 @@ class VertexProgram:
 
     active: "changed": who changed sends, all receive; "all": everybody sends in every round;
     "gather": active vertices recompute from all their neighbours, and who changed activates the
-    receivers of its messages. ``edge_update`` sets edge attributes after the last step of a round, over
-    ``src_<state>``, ``dst_<state>`` and the edge's columns.
+    vertices at the other end of its edges. activate: over the new state, ``old_<state>`` and ``_changed``;
+    who is true is active in the next round too. hold: given the number of the round that ends, whether
+    the active vertices stay the same in the next one. frontier: over the state; only senders for which it holds send.
 
+    ``edge_update`` sets edge attributes at the end of each round, over ``src_<state>``, ``dst_<state>`` and
+    the edge's columns; the next round's messages read them. scatter: out, in or both: the edges at which
+    vertices that took part in a round update edges and, with "gather", activate others; by default
+    edges are updated at both ends, and the receivers of a vertex's messages are activated.
+
+    prepare: from the graph to its vertices with further columns, which ``init`` may use.
     max_iter: rounds at most, None: until nothing changes. fixed: exactly max_iter rounds.
     """
 
@@ -42,10 +49,17 @@ class VertexProgram:
     push_pull: bool = True
     push_ratio: float = 1 / 15
     edge_update: dict[str, Column] = field(default_factory=dict)
+    scatter: str | None = None
+    activate: Column | None = None
+    hold: Callable[[int], bool] | None = None
+    frontier: Column | None = None
+    prepare: Callable[..., DataFrame] | None = None
 
     def __post_init__(self):
         if self.direction not in ("out", "in", "both"):
             raise ValueError(f"unknown direction {self.direction!r}")
+        if self.scatter not in (None, "out", "in", "both"):
+            raise ValueError(f"unknown direction {self.scatter!r}")
         if self.active not in ("changed", "all", "gather"):
             raise ValueError(f"unknown activation {self.active!r}")
         if self.fixed and self.max_iter is None:

@@ -25,10 +25,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one, but only if driver and
+    executors are one process (local master), as in tests: no other executor could read it."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    folder = folder or tempfile.mkdtemp(prefix="vertexloom-")
+    if not folder:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="vertexloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from vertexloom import graphs
 from vertexloom.algorithms import bfs, hits, pagerank, sssp, wcc
+from vertexloom.algorithms import get_program
 from vertexloom.algorithms.bfs import summary
+from vertexloom.algorithms.pagerank import run as pagerank_run
 from vertexloom.functions import kernels, prefix
 from vertexloom.graphs import CUST_PART, GEO_TREE, PART_CHAIN, USER_NEXT, cust_part, geo_tree, part_chain, user_next
 from vertexloom.model import Graph
@@ -133,6 +135,18 @@ def validate_graph(spark, sf):
     return etl.violations(g.vertices, g.edges)
 
 
+@query("""SELECT 'src is no vertex' AS rule, 900000001::BIGINT AS id UNION ALL SELECT 'dst is no vertex', 900000002 UNION ALL SELECT 'vertex id is null', -1
+UNION ALL SELECT 'vertex id repeats', r_regionkey::BIGINT FROM region UNION ALL SELECT 'edge id repeats', 900000003""")
+def validate_broken_graph(spark, sf):
+    """Regions stand twice among the vertices, one id is null, and of four added edges two lead nowhere and two share an id."""
+    g = geo_tree(spark, sf, ids=True)
+    some = g.vertices.agg(F.min("id")).first()[0]
+    bad = spark.createDataFrame([(900000001, -5, some), (900000002, some, -6), (900000003, some, some), (900000003, some, some)], "eid long, src long, dst long")
+    twice = graphs.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    vertices = g.vertices.union(twice).union(spark.createDataFrame([(None,)], "id long"))
+    return _filled(etl.violations(vertices, g.edges.unionByName(bad)), "id")
+
+
 # Access
 
 
@@ -236,6 +250,63 @@ def nbrs_padded(spark, sf):
     return _strings(out.select("id", "nbrs", F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_real")), "nbrs")
 
 
+def _padded_sql(rows: str, order: str, value: str, graph: str) -> str:
+    return f"""WITH {graph}, n AS ({rows}), d AS (SELECT id, list({value} ORDER BY {order}) AS n FROM n GROUP BY id),
+a AS (SELECT id, coalesce(n, []::BIGINT[]) AS n FROM v LEFT JOIN d USING (id)), w AS (SELECT max(len(n)) AS w FROM a)
+SELECT id, array_to_string([CASE WHEN i <= len(n) THEN n[i] ELSE -1 END for i in range(1, w + 1)], ',') AS cells, len(n)::BIGINT AS n_real FROM a, w"""
+
+
+def _padded(g: Graph, mode: str, column: str) -> DataFrame:
+    out = g.neighbors(mode=mode, form="padded")
+    return _strings(out.select("id", F.col(column).alias("cells"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_real")), "cells")
+
+
+OUT, IN = "SELECT src AS id, dst AS nbr, eid, 'out' AS dir FROM e", "SELECT dst AS id, src AS nbr, eid, 'in' AS dir FROM e"
+
+
+@query(_padded_sql(IN, "nbr, eid", "nbr", PART_CHAIN))
+def in_nbrs_padded(spark, sf):
+    return _padded(part_chain(spark, sf, ids=True), "in", "nbrs")
+
+
+@query(_padded_sql(f"{OUT} UNION ALL {IN}", "dir, nbr, eid", "nbr", PART_CHAIN))
+def all_nbrs_padded(spark, sf):
+    return _padded(part_chain(spark, sf, ids=True), "all", "nbrs")
+
+
+@query(_padded_sql(OUT, "nbr, eid", "eid", PART_CHAIN))
+def out_edges_padded(spark, sf):
+    return _padded(part_chain(spark, sf, ids=True), "out", "eids")
+
+
+@query(_padded_sql(IN, "nbr, eid", "eid", PART_CHAIN))
+def in_edges_padded(spark, sf):
+    return _padded(part_chain(spark, sf, ids=True), "in", "eids")
+
+
+@query(_padded_sql(f"{OUT} UNION ALL {IN}", "dir, nbr, eid", "eid", PART_CHAIN))
+def all_edges_padded(spark, sf):
+    return _padded(part_chain(spark, sf, ids=True), "all", "eids")
+
+
+@query(f"WITH {PART_CHAIN} {OUT}")
+def all_out_nbrs_csr(spark, sf):
+    return part_chain(spark, sf, ids=True).neighbors(mode="out")
+
+
+@query(f"WITH {PART_CHAIN} {IN}")
+def all_in_nbrs_csr(spark, sf):
+    return part_chain(spark, sf, ids=True).neighbors(mode="in")
+
+
+@query(f"WITH {PART_CHAIN} SELECT count(*) AS vertices, (SELECT count(*) FROM e) AS edges FROM v")
+def persisted_graph_size(spark, sf):
+    g = part_chain(spark, sf, ids=True).persist()
+    sizes = spark.createDataFrame([(g.num_vertices(), g.num_edges())], "vertices long, edges long")
+    g.unpersist()
+    return sizes
+
+
 PICK = "part WHERE p_size <= 10"
 
 
@@ -323,9 +394,22 @@ def range_padded(spark, sf):
 @query("""WITH c AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem),
 x AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY r) AS x FROM c GROUP BY l_suppkey)
 SELECT l_suppkey, array_to_string([CASE WHEN i <= len(x) THEN x[i] ELSE -1 END for i in range(1, 9)], ',') AS "values" FROM x""")
+def csr_to_dense_truncated(spark, sf):
+    return _strings(kernels.to_dense(_by_supplier(spark, sf), "l_suppkey", "at", "l_quantity", 8), "values").select("l_suppkey", "values")
+
+
+def _by_supplier(spark, sf):
+    return graphs.table(spark, sf, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), "l_quantity")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem),
+x AS (SELECT l_suppkey, list(l_quantity::BIGINT ORDER BY r) AS x FROM c GROUP BY l_suppkey), w AS (SELECT max(len(x)) AS w FROM x)
+SELECT l_suppkey, array_to_string([CASE WHEN i <= len(x) THEN x[i] ELSE -1 END for i in range(1, w + 1)], ',') AS "values", len(x)::BIGINT AS n_real FROM x, w""")
 def csr_to_dense(spark, sf):
-    lines = graphs.table(spark, sf, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), "l_quantity")
-    return _strings(kernels.to_dense(lines, "l_suppkey", "at", "l_quantity", 8), "values").select("l_suppkey", "values")
+    lines = _by_supplier(spark, sf)
+    width = lines.groupBy("l_suppkey").count().agg(F.max("count")).first()[0] or 0
+    out = kernels.to_dense(lines, "l_suppkey", "at", "l_quantity", width)
+    return _strings(out.select("l_suppkey", "values", F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_real")), "values")
 
 
 def _scatter_sql(expr: str, empty: str) -> str:
@@ -419,12 +503,22 @@ def partition_exchange_plan(spark, sf):
     return partition.exchange_plan(g, partition.assign_parts(g, 8, "ebp"))
 
 
-@query()
+def _greedy_sql(weight: str) -> str:
+    """One vertex after another, the heaviest first, to the first part with the least load."""
+    return f"""WITH RECURSIVE {PART_CHAIN}, g AS (SELECT v.id, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id),
+o AS MATERIALIZED (SELECT id, {weight} AS w, row_number() OVER (ORDER BY {weight} DESC, id) AS r FROM g),
+x(r, id, part, loads) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::INTEGER, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT o.r, o.id, (list_position(loads, list_min(loads)) - 1)::INTEGER,
+    list_transform(loads, lambda l, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN l + o.w ELSE l END) FROM x JOIN o ON o.r = x.r + 1)
+SELECT id, part FROM x WHERE r > 0"""
+
+
+@query(_greedy_sql("deg"))
 def partition_greedy(spark, sf):
     return partition.assign_parts(part_chain(spark, sf), 8, "greedy")
 
 
-@query()
+@query(_greedy_sql("deg + 4"))
 def partition_degree_alpha(spark, sf):
     return partition.assign_parts(part_chain(spark, sf), 8, "greedy_alpha", alpha=4)
 
@@ -465,19 +559,24 @@ def pagerank_topk(spark, sf):
     return _rounded(pagerank(part_chain(spark, sf), 10), "rank").select("id", "rank").orderBy(F.desc("rank"), "id").limit(20)
 
 
-def _pagerank_delta_sql(rounds: int, tol: str) -> str:
+def _pagerank_delta_sql(rounds: int, tol: str, graph: str) -> str:
     steps = ["r0 AS MATERIALIZED (SELECT v.id, 1.0::DOUBLE AS rank, 0.0::DOUBLE AS delta, TRUE AS act, c.n FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) c ON c.src = v.id)"]
     for i in range(1, rounds + 1):
         steps.append(f"""m{i} AS MATERIALIZED (SELECT o.id, o.rank AS old, o.delta AS old_delta, o.act, o.n, (1 - 0.85)::DOUBLE + 0.85::DOUBLE * coalesce(s.x, 0) AS new FROM r{i - 1} o
   LEFT JOIN (SELECT e.dst, sum(p.rank / p.n) AS x FROM e JOIN r{i - 1} p ON p.id = e.src GROUP BY e.dst) s ON s.dst = o.id),
 r{i} AS MATERIALIZED (SELECT id, CASE WHEN act THEN new ELSE old END AS rank, CASE WHEN act THEN abs(new - old) ELSE old_delta END AS delta,
   id IN (SELECT e.dst FROM e JOIN m{i} x ON x.id = e.src WHERE x.act AND abs(x.new - x.old) > {tol}) AS act, n FROM m{i})""")
-    return f"WITH {USER_NEXT}, " + ",\n".join(steps) + f" SELECT id, round(rank, 6) AS rank, round(delta, 6) AS delta FROM r{rounds}"
+    return f"WITH {graph}, " + ",\n".join(steps) + f" SELECT id, round(rank, 6) AS rank, round(delta, 6) AS delta FROM r{rounds}"
 
 
-@query(_pagerank_delta_sql(8, "0.05"))
+@query(_pagerank_delta_sql(8, "0.001", PART_CHAIN))
 def pagerank_delta(spark, sf):
-    return _rounded(pagerank(user_next(spark, sf), 8, tol=0.05), "rank", "delta")
+    return _rounded(pagerank(part_chain(spark, sf), 8, tol=0.001), "rank", "delta")
+
+
+@query(_pagerank_delta_sql(8, "0.01", USER_NEXT))
+def pagerank_delta_partly_active(spark, sf):
+    return _rounded(pagerank(user_next(spark, sf), 8, tol=0.01), "rank", "delta")
 
 
 # Searches
@@ -552,6 +651,18 @@ def wcc_labels(spark, sf):
     return wcc(cust_part(spark, sf), method="labels")
 
 
+def _wcc_capped_sql(rounds: int) -> str:
+    steps = ["r0 AS (SELECT id, id AS l FROM v)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS MATERIALIZED (SELECT o.id, least(o.l, coalesce(m.l, o.l)) AS l FROM r{i - 1} o LEFT JOIN (SELECT e.dst AS id, min(p.l) AS l FROM e JOIN r{i - 1} p ON p.id = e.src GROUP BY 1) m USING (id))")
+    return f"WITH {CUST_PART}, " + ",\n".join(steps) + f" SELECT id, l AS label FROM r{rounds}"
+
+
+@query(_wcc_capped_sql(3))
+def wcc_capped(spark, sf):
+    return wcc(cust_part(spark, sf), max_iter=3)
+
+
 @query(_wcc_sql("SELECT id, l AS label FROM r"))
 def wcc_stars(spark, sf):
     return wcc(cust_part(spark, sf))
@@ -591,6 +702,53 @@ def hits_top_hubs(spark, sf):
     return _rounded(hits(part_chain(spark, sf), 5), "hub").select("id", "hub").orderBy(F.desc("hub"), "id").limit(10)
 
 
+def _hits_active_sql(rounds: int, tol: float) -> str:
+    steps = ["s0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS h, 1.0::DOUBLE / (SELECT count(*) FROM v) AS a, 0.0::DOUBLE AS dh, 0.0::DOUBLE AS da, TRUE AS act FROM v)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""u{i} AS MATERIALIZED (SELECT o.id, o.act, o.h AS oh, o.a AS oa, o.dh, o.da, CASE WHEN o.act THEN coalesce(x.x, 0)::DOUBLE ELSE o.h END AS h, CASE WHEN o.act THEN coalesce(y.y, 0)::DOUBLE ELSE o.a END AS a FROM s{i - 1} o
+  LEFT JOIN (SELECT e.src AS id, sum(p.a) AS x FROM e JOIN s{i - 1} p ON p.id = e.dst GROUP BY 1) x USING (id)
+  LEFT JOIN (SELECT e.dst AS id, sum(p.h) AS y FROM e JOIN s{i - 1} p ON p.id = e.src GROUP BY 1) y USING (id)),
+n{i} AS MATERIALIZED (SELECT sqrt(sum(h * h)) AS h, sqrt(sum(a * a)) AS a FROM u{i}),
+t{i} AS MATERIALIZED (SELECT u.id, u.act, CASE WHEN act THEN u.h / n.h ELSE u.h END AS h, CASE WHEN act THEN u.a / n.a ELSE u.a END AS a,
+  CASE WHEN act THEN abs(u.h / n.h - u.oh) ELSE u.dh END AS dh, CASE WHEN act THEN abs(u.a / n.a - u.oa) ELSE u.da END AS da FROM u{i} u, n{i} n),
+s{i} AS MATERIALIZED (SELECT id, h, a, dh, da, id IN (SELECT e.dst FROM e JOIN t{i} x ON x.id = e.src WHERE x.act AND (x.dh > {tol} OR x.da > {tol})
+  UNION ALL SELECT e.src FROM e JOIN t{i} x ON x.id = e.dst WHERE x.act AND (x.dh > {tol} OR x.da > {tol})) AS act FROM t{i})""")
+    return f"WITH {USER_NEXT}, " + ",\n".join(steps) + f" SELECT id, round(h, 6) AS hub, round(a, 6) AS authority, round(dh, 6) AS delta_hub, round(da, 6) AS delta_authority FROM s{rounds}"
+
+
+@query(_hits_active_sql(6, 0.002))
+def hits_partly_active(spark, sf):
+    return _rounded(hits(user_next(spark, sf), 6, tol=0.002), "hub", "authority", "delta_hub", "delta_authority")
+
+
+# Programs by name
+
+
+@query(_bfs_sql(PART_CHAIN, "0"))
+def named_bfs(spark, sf):
+    return _filled(get_program("BFS", sources=[0])(part_chain(spark, sf)), "dist")
+
+
+@query(_pagerank_sql(5, "0.85", "(1 - 0.85)::DOUBLE / (SELECT count(*) FROM v)"))
+def named_pagerank(spark, sf):
+    return _rounded(get_program("PageRank", max_iter=5)(part_chain(spark, sf)), "rank", "delta")
+
+
+@query(_sssp_sql("1"))
+def named_sssp(spark, sf):
+    return _filled(get_program("SSSP", source=0)(user_next(spark, sf)), "dist")
+
+
+@query(_wcc_sql("SELECT id, l AS label FROM r"))
+def named_components(spark, sf):
+    return get_program("ConnectedComponents")(cust_part(spark, sf))
+
+
+@query(_hits_sql(3, "SELECT id, round(h, 6) AS hub, round(a, 6) AS authority, round(dh, 6) AS delta_hub, round(da, 6) AS delta_authority FROM s{0}"))
+def named_hits(spark, sf):
+    return _rounded(get_program("HITS", max_iter=3)(part_chain(spark, sf)), "hub", "authority", "delta_hub", "delta_authority")
+
+
 # Programs of one's own
 
 
@@ -620,6 +778,76 @@ def gas_edge_update(spark, sf):
     return p.run(user_next(spark, sf, ids=True)).edges.select("eid", "src", "dst", "w")
 
 
+def _scatter_rounds_sql(rounds: int) -> str:
+    """A vertex takes the least sum of a neighbour's value and the edge's weight; then each edge takes on the difference of its ends."""
+    steps = ["s0 AS (SELECT id, (id % 7)::BIGINT AS x FROM v)", "e_0 AS (SELECT eid, src, dst, w FROM e)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT o.id, coalesce(m.m, o.x) AS x FROM s{i - 1} o LEFT JOIN (SELECT e.dst AS id, min(p.x + e.w) AS m FROM e_{i - 1} e JOIN s{i - 1} p ON p.id = e.src GROUP BY 1) m USING (id))")
+        steps.append(f"e_{i} AS MATERIALIZED (SELECT e.eid, e.src, e.dst, abs(e.w - a.x + b.x) % 1000 AS w FROM e_{i - 1} e JOIN s{i} a ON a.id = e.src JOIN s{i} b ON b.id = e.dst)")
+    return f"WITH {USER_NEXT}, " + ",\n".join(steps)
+
+
+def _scatter_program(spark, sf):
+    p = VertexProgram(
+        init={"x": F.col("id") % 7}, message=F.col("from_x") + F.col("w"), combine="min", apply={"x": F.coalesce("msg", "x")}, active="all", max_iter=4, fixed=True,
+        edge_update={"w": F.abs(F.col("w") - F.col("src_x") + F.col("dst_x")) % 1000},
+    )
+    return p.run(user_next(spark, sf, ids=True))
+
+
+@query(_scatter_rounds_sql(4) + " SELECT id, x FROM s4")
+def gas_scatter_each_round(spark, sf):
+    return _scatter_program(spark, sf).vertices
+
+
+@query(_scatter_rounds_sql(4) + " SELECT eid, src, dst, w FROM e_4")
+def gas_scatter_edges(spark, sf):
+    return _scatter_program(spark, sf).edges.select("eid", "src", "dst", "w")
+
+
+def _activation_sql(rounds: int) -> str:
+    """Active vertices count the neighbours whose edges lead to them; those that changed wake who leads to
+    them, multiples of 5 stay awake, and after the second round the active ones stay for one more."""
+    steps = ["r0 AS (SELECT id, 1::BIGINT AS x, id % 3 = 0 AS act FROM v)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT o.id, o.act, CASE WHEN o.act THEN coalesce(s.x, 0) % 101 ELSE o.x END AS x, o.act AND o.x <> coalesce(s.x, 0) % 101 AS ch FROM r{i - 1} o
+  LEFT JOIN (SELECT e.dst AS id, sum(p.x)::BIGINT AS x FROM e JOIN r{i - 1} p ON p.id = e.src GROUP BY 1) s USING (id))""")
+        act = "act" if i == 2 else f"(id % 5 = 0 OR id IN (SELECT e.src FROM e JOIN m{i} y ON y.id = e.dst WHERE y.ch))"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT id, x, {act} AS act FROM m{i})")
+    return f"WITH {GEO_TREE}, " + ",\n".join(steps) + f" SELECT id, x FROM r{rounds}"
+
+
+@query(_activation_sql(4))
+def gas_activation(spark, sf):
+    p = VertexProgram(
+        init={"x": F.lit(1).cast("long")}, message=F.col("from_x"), combine="sum", apply={"x": F.coalesce("msg", F.lit(0)) % 101}, active="gather", start=F.col("id") % 3 == 0,
+        direction="out", scatter="in", activate=F.col("id") % 5 == 0, hold=lambda r: r == 2, max_iter=4, fixed=True,
+    )
+    return p.run(geo_tree(spark, sf)).vertices
+
+
+@query(f"WITH {PART_CHAIN}, c AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src), m AS (SELECT e.dst AS id, round(sum(1.0::DOUBLE / c.n), 6) AS x FROM e JOIN c ON c.id = e.src WHERE c.n > 20 GROUP BY 1) SELECT v.id, coalesce(m.x, 0) AS x FROM v LEFT JOIN m USING (id)")
+def gas_prepared_context(spark, sf):
+    """Degrees are added to the vertices first; only senders with more than 20 edges send."""
+
+    def prepare(g):
+        return g.vertices.join(g.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+
+    p = VertexProgram(
+        init={"x": F.lit(0.0), "n": F.col("n")}, message=1.0 / F.col("from_n"), combine="sum", apply={"x": F.coalesce("msg", F.lit(0.0))},
+        active="all", max_iter=1, fixed=True, prepare=prepare, frontier=F.col("n") > 20,
+    )
+    return _rounded(p.run(part_chain(spark, sf)).vertices.select("id", "x"), "x")
+
+
+@query(f"WITH {PART_CHAIN} SELECT 4::INTEGER AS iterations, FALSE AS converged")
+def program_metrics(spark, sf):
+    return pagerank_run(part_chain(spark, sf), max_iter=4).summary().select("iterations", "converged")
+
+
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) AS place FROM orders")
 def dense_index(spark, sf):
     return prefix.dense_index(graphs.table(spark, sf, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+from vertexloom import source_queries  # noqa: E402, F401  registers its queries here

@@ -1,4 +1,5 @@
-"""CSR files: ``csr_vlist`` (offsets), ``csr_elist`` (int32 neighbours), ``csr_wlist`` (float32 weights).
+"""CSR files: ``csr_vlist`` (offsets), ``csr_elist`` (int32 neighbours), ``csr_wlist`` (float32 weights),
+and the same by destination, ``csc_vlist`` and ``csc_elist``.
 
 The reader is a data source whose partitions are equal ranges of edge positions, so that a vertex
 with very many edges is read by several tasks. A task finds the vertices of its range by bisecting
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -28,7 +29,7 @@ BATCH = 1 << 20
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 def _locate(path: str, name: str) -> str | None:
@@ -68,13 +69,13 @@ class Numbers:
         return a
 
 
-def offsets_type(path: str, long: bool | None = None) -> str:
+def offsets_type(path: str, long: bool | None = None, kind: str = "csr") -> str:
     """int32 or int64 offsets; without ``long`` the one whose last offset is the number of edges."""
     if long is not None:
         return "<i8" if long else "<i4"
-    edges = Numbers(path, "csr_elist", "<i4").n
+    edges = Numbers(path, f"{kind}_elist", "<i4").n
     for dtype in ("<i4", "<i8"):
-        x = Numbers(path, "csr_vlist", dtype)
+        x = Numbers(path, f"{kind}_vlist", dtype)
         if x.file.size() % x.dtype.itemsize == 0 and x.n and x.read(0, 1)[0] == 0 and x.read(x.n - 1, x.n)[0] == edges:
             return dtype
     raise ValueError("the last offset is not the number of edges")
@@ -89,8 +90,9 @@ class _Range(InputPartition):
 class CsrReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.weighted = options["path"], options.get("weighted", "false") == "true"
-        self.dtype = offsets_type(self.path, None if "long" not in options else options["long"] == "true")
-        self.edges = Numbers(self.path, "csr_elist", "<i4").n
+        self.kind = options.get("kind", "csr")
+        self.dtype = offsets_type(self.path, None if "long" not in options else options["long"] == "true", self.kind)
+        self.edges = Numbers(self.path, f"{self.kind}_elist", "<i4").n
         self.per_task = int(options.get("edgesPerTask", EDGES_A_TASK))
         if self.weighted and Numbers(self.path, "csr_wlist", "<f4").n != self.edges:
             raise ValueError("there are not as many weights as edges")
@@ -99,14 +101,14 @@ class CsrReader(DataSourceReader):
         return [_Range(a, min(a + self.per_task, self.edges)) for a in range(0, self.edges, self.per_task)] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        offsets, targets = Numbers(self.path, "csr_vlist", self.dtype), Numbers(self.path, "csr_elist", "<i4")
+        offsets, targets = Numbers(self.path, f"{self.kind}_vlist", self.dtype), Numbers(self.path, f"{self.kind}_elist", "<i4")
         weights = Numbers(self.path, "csr_wlist", "<f4") if self.weighted else None
         for first in range(part.first, part.stop, BATCH):
             stop = min(first + BATCH, part.stop)
             low, high = offsets.bisect(first) - 1, offsets.bisect(stop - 1)
             ends = np.clip(offsets.read(low, high + 1), first, stop).astype(np.int64)
-            src = np.repeat(np.arange(low, high), np.diff(ends))
-            columns = {"eid": np.arange(first, stop), "src": src, "dst": targets.read(first, stop).astype(np.int64)}
+            own, other = np.repeat(np.arange(low, high), np.diff(ends)), targets.read(first, stop).astype(np.int64)
+            columns = {"eid": np.arange(first, stop), "src": own if self.kind == "csr" else other, "dst": other if self.kind == "csr" else own}
             if weights:
                 columns["w"] = weights.read(first, stop).astype(np.float64)
             yield pa.RecordBatch.from_pydict(columns)
@@ -142,9 +144,27 @@ def read_vertices(spark: SparkSession, path: str, long: bool | None = None) -> D
     return spark.range(max(0, Numbers(path, "csr_vlist", offsets_type(path, long)).n - 1))
 
 
-def read_csc_map(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(pos, eid): the CSR edge at each CSC position; needs no CSC files."""
-    return etl.csc_positions(edges)
+def read_csc(spark: SparkSession, path: str, long: bool | None = None, edges_per_task: int = EDGES_A_TASK) -> DataFrame:
+    """(pos, src, dst): the edges in the order of the CSC files."""
+    for name in ("csc_vlist", "csc_elist"):
+        if _locate(path, name) is None:
+            raise FileNotFoundError(f"{path}/{name}.bin")
+    ship(spark)
+    spark.dataSource.register(CsrSource)
+    options = {"path": path, "kind": "csc", "edgesPerTask": str(edges_per_task)}
+    if long is not None:
+        options["long"] = str(long).lower()
+    return spark.read.format("csrbin").options(**options).load().withColumnRenamed("eid", "pos")
+
+
+def read_csc_map(spark: SparkSession, edges: DataFrame, path: str | None = None) -> DataFrame:
+    """(pos, eid): the CSR edge at each CSC position. Without CSC files at ``path`` the order by destination,
+    source and edge id; with them theirs, where edges with the same ends keep the order of their ids."""
+    if path is None or _locate(path, "csc_elist") is None:
+        return etl.csc_positions(edges)
+    nth = lambda order: F.row_number().over(Window.partitionBy("src", "dst").orderBy(order)).alias("nth")
+    given = read_csc(spark, path).select("pos", "src", "dst", nth("pos"))
+    return given.join(edges.select("eid", "src", "dst", nth("eid")), ["src", "dst", "nth"]).select("pos", "eid")
 
 
 @dataclass
@@ -207,9 +227,15 @@ def _write(values: DataFrame, order: str, path: str, dtype: str) -> None:
     ordered.write.format("numbers").mode("append").options(path=path, dtype=dtype).save()
 
 
-def write_csr(graph, path: str, long: bool = True, weight: str | None = None) -> None:
-    """Write offsets (int64, or int32), int32 neighbours and, with ``weight``, float32 weights. The
-    vertices' ids are to be 0 to n - 1 (``renumber`` makes them so)."""
+def write_csr(graph, path: str, long: bool = True, weight: str | None = None, csc: bool = False) -> None:
+    """Write offsets (int64, or int32), int32 neighbours and, with ``weight``, float32 weights; with ``csc``
+    also the files by destination. The vertices' ids are to be 0 to n - 1 (``renumber`` makes them so)."""
+    if csc:
+        begin = etl.offsets(graph.vertices, graph.edges, "dst")
+        total = graph.edges.agg(F.count("*").alias("value")).select(F.lit((1 << 63) - 1).alias("id"), "value")
+        _write(begin.select("id", F.col("begin").alias("value")).union(total), "id", f"{path}/csc_vlist.bin", "<i8" if long else "<i4")
+        into = prefix.dense_index(graph.edges.select("dst", "src"), ["dst", "src"], "place")
+        _write(into.select("place", F.col("src").alias("value")), "place", f"{path}/csc_elist.bin", "<i4")
     begin = etl.offsets(graph.vertices, graph.edges)
     total = graph.edges.agg(F.count("*").alias("value")).select(F.lit((1 << 63) - 1).alias("id"), "value")
     _write(begin.select("id", F.col("begin").alias("value")).union(total), "id", f"{path}/csr_vlist.bin", "<i8" if long else "<i4")
