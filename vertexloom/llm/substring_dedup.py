@@ -1,21 +1,27 @@
 """Substring dedup: windows of words that occur in a document with a smaller id are cut out.
 
-Suffixes (word positions of documents) are put into suffix trees cut off at the window's depth. The
-trees are partitioned by prefix: a suffix belongs to the shard of its first ``PREFIX`` words, and a
-shard that is too large for one task is split by the longer prefix that its suffixes have at full
-depth. Suffixes that can't repeat are left out first: of the ``ANCHOR``-word sequences in a window
-the one with the least hash is its anchor; equal windows have equal anchors, so only windows whose
-anchor occurs in several documents become suffixes. Each chunk of documents sends a suffix once,
-with the least id of its own documents, so that a passage of a third of all documents is one entry
-a chunk. No tree is built in a shard: instead of word order and common-prefix depths, suffixes are
-sorted by two hashes (of the first ``PREFIX`` words and of the whole window), and equal pairs are what
-would be a node at full depth. Its value is the least id below it. This is hash grouping of fixed
-windows: it finds the repeats of the window's length, and a longer one as overlapping windows, not
-maximal repeats as such. Chunks get the values back and cut what a smaller id has.
-
-Texts with fewer words than a window, null and empty texts lose nothing. Rows with a null id
-neither lose words nor take any from others. Rows that share an id take nothing from each other,
-and each has its own result. Equality of word sequences is that of 64-bit hashes.
+Suffixes (word positions of documents) are put into suffix trees that are partitioned by prefix.
+
+1. Suffixes that can't repeat are left out: of the word sequences of half a window's length in a window
+   the one with the least hash is its anchor; equal windows have equal anchors, so only windows whose
+   anchor occurs in several documents are looked at further. For each of their windows a shard of the
+   windows' hashes finds out whether it repeats, and whether it is preceded by different words.
+2. A suffix begins where a repeated window has different words before it (a maximal repeat begins there),
+   and at content-chosen places in between, one at least among as many windows as a window has words. It
+   ends where its windows stop to repeat, or after ``most`` words, three windows; what is longer goes
+   on at the next such place, which all its copies share.
+3. Suffixes are grouped by their first words; a group that is too large for a task is split by longer
+   prefixes, up to a window's length. A chunk of documents sends equal suffixes once, so that a passage of
+   a third of all documents is one suffix a chunk. Each group builds its suffix tree: suffixes in the order
+   of their words, depths of common prefixes, nodes. A node has its depth and the least id below it.
+4. A document loses, from each of its suffixes, as many words as the deepest node above it has that has a
+   smaller id below. Nodes preceded by different words are the maximal repeats (``maximal_repeats``).
+
+Texts with fewer words than a window, null and empty texts lose nothing; an empty table gives no rows.
+Texts of any length are taken whole, a long one as a chunk of its own. Rows with a null id neither lose
+words nor take any from others. Rows that share an id take nothing from each other, and each has its
+own result. Columns other than doc_id and text are only passed through, whatever their names. Words and
+windows are equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -34,23 +40,28 @@ from vertexloom.llm import packing
 from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.workspace import Workspace
 
-#: Words of a suffix that choose its shard; suffixes that a shard should have at most.
-PREFIX, SHARD_SUFFIXES = 16, 2_000_000
+#: Windows of a shard, and words of a group's suffixes, about.
+SHARD_WINDOWS, GROUP_WORDS = 2_000_000, 4_000_000
 
 
 def _anchors(words: Words, window: int, anchor: int) -> np.ndarray:
     """For each position the least hash of the ``anchor``-word sequences in the window from there."""
-    least, reach, span = words.ngrams(anchor), 1, window - anchor + 1
-    while reach * 2 <= span:
-        least, reach = _least(least, reach), reach * 2
-    return _least(least, span - reach) if span > reach else least
+    return _slide(words.ngrams(anchor), window - anchor + 1, np.minimum)
+
 
+def _slide(a: np.ndarray, span: int, of) -> np.ndarray:
+    """The least or greatest (``of``: minimum, maximum) of ``span`` values from each position on."""
 
-def _least(a: np.ndarray, shift: int) -> np.ndarray:
-    out = a.copy()
-    if shift < len(a):
-        np.minimum(a[: len(a) - shift], a[shift:], out=out[: len(a) - shift])
-    return out
+    def ahead(a: np.ndarray, shift: int) -> np.ndarray:
+        out = a.copy()
+        if shift < len(a):
+            of(a[: len(a) - shift], a[shift:], out=out[: len(a) - shift])
+        return out
+
+    reach = 1
+    while reach * 2 <= span:
+        a, reach = ahead(a, reach), reach * 2
+    return ahead(a, span - reach) if span > reach else a
 
 
 def _digest(words: list[bytes]) -> str:
@@ -88,26 +99,21 @@ def repeated_anchors(scanned: DataFrame) -> DataFrame:
     return each.join(several, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list("anchor").alias("anchors"))
 
 
-class _Suffixes:
-    """The suffixes of a chunk whose anchors repeat: where they start, and the distinct ones."""
+class _Windows:
+    """The windows of a chunk whose anchors repeat: where they start, the distinct ones, and the word before
+    each of these: its hash, or 0 if there are several or a text begins."""
 
-    def __init__(self, texts: list[bytes], anchors: list[np.ndarray], ids: np.ndarray, window: int):
-        self.words = words = Words(texts, lower=False, keep=True)
+    def __init__(self, texts: list[bytes], anchors: list[np.ndarray], window: int):
+        self.words = words = Words(texts, lower=False)
         tag = mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
         wanted = np.concatenate([a ^ t for a, t in zip(anchors, tag)]) if len(texts) else np.zeros(0, np.uint64)
         own = _anchors(words, window, max(1, window // 2)) ^ tag[words.doc]
         self.at = at = np.flatnonzero(words.room(window) & np.isin(own, wanted))
-        deep = words.ngrams(window)[at]
-        prefix = words.ngrams(min(PREFIX, window))[at]
-        order = np.lexsort((deep, prefix))
-        p, d = prefix[order], deep[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-        first = np.flatnonzero(new)
-        self.prefix, self.deep = p[new], d[new]
-        self.least = np.minimum.reduceat(ids[words.doc[at][order]], first) if len(first) else np.zeros(0, np.int64)
-        self.node = np.empty(len(at), np.int64)
-        self.node[order] = np.cumsum(new) - 1
+        self.keys, first, self.key, count = np.unique(words.ngrams(window)[at], return_index=True, return_inverse=True, return_counts=True)
+        self.several = count > 1
+        self.before = before = np.where(at > words.starts[words.doc[at]], words.hash[at - 1] | np.uint64(1), np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
+        self.common = before[first] if len(at) else before
+        self.common[self.key[before != self.common[self.key]]] = 0
 
 
 class _Chunk:
@@ -123,8 +129,8 @@ class _Chunk:
         keys, cuts = packing.unpack(row["anchors"], "<u8"), [0, *row["cuts"]]
         self.anchors = [keys[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def suffixes(self, window: int) -> _Suffixes:
-        return _Suffixes(self.texts, self.anchors, self.doc_id, window)
+    def windows(self, window: int) -> _Windows:
+        return _Windows(self.texts, self.anchors, window)
 
 
 def _gather(rows: DataFrame) -> DataFrame:
@@ -146,118 +152,344 @@ def _gather(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _Chunk.schema)
 
 
-def _shard_sizes(gathered: DataFrame, window: int, shards: int) -> dict[int, int]:
-    """The number of suffixes of each shard by the short prefix; as many numbers as shards."""
+def _ask(gathered: DataFrame, window: int, shards: int) -> DataFrame:
+    """For each chunk and shard its distinct windows."""
+    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "common": pa.binary(), "several": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shards, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                total += np.bincount(packing.sharded(_Chunk(row).suffixes(window).prefix, shards), minlength=shards)
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"shard": has, "n": total[has]})
+                w = _Chunk(row).windows(window)
+                rows = [{"chunk": row["chunk"], "shard": s, "keys": packing.pack_sorted(w.keys[a]), "common": packing.pack(w.common[a]), "several": packing.pack_bits(w.several[a])} for s, a in packing.by_shard(w.keys, shards)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    sums = gathered.mapInArrow(run, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
-    return {r["shard"]: r["n"] for r in sums.collect()}
+    return gathered.mapInArrow(run, "chunk long, shard long, keys binary, common binary, several binary")
 
 
-def _place(s: _Suffixes, shards: int, split: dict[int, int]) -> np.ndarray:
-    """The group of each distinct suffix: its shard, and within a split one the part that its longer prefix chooses."""
-    shard = packing.sharded(s.prefix, shards)
-    group = shard << 32
-    for k, parts in split.items():
-        of = shard == k
-        group[of] += packing.sharded(s.deep[of], parts)
-    return group
+def _repeats(group: pa.Table) -> pa.Table:
+    """For each chunk, two bits for each of its windows: it repeats; it also has different words before it."""
+    rows = group.to_pylist()
+    keys = [packing.unpack_sorted(r["keys"]) for r in rows]
+    common = np.concatenate([packing.unpack(r["common"], "<u8") for r in rows])
+    several = np.concatenate([packing.unpack_bits(r["several"], len(k)) for r, k in zip(rows, keys)])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    first, node = np.flatnonzero(new), np.cumsum(new) - 1
+    least, most = np.minimum.reduceat(common[order], first), np.maximum.reduceat(common[order], first)
+    again = (np.bincount(node) > 1) | np.logical_or.reduceat(several[order], first)
+    bits = np.empty((len(flat), 2), bool)
+    bits[order] = np.stack([again, again & ((least == 0) | (least != most))], 1)[node]
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "bits": pa.array([packing.pack_bits(x.ravel()) for x in np.split(bits, cut)], pa.binary())})
+
+
+SUFFIXES = "chunk long, place long, n_words long, words binary, index binary, lengths binary, common binary, times binary, doc binary, start binary, id binary"
+_ARROW = pa.schema({k: pa.binary() if t == "binary" else pa.int64() for k, t in (c.split() for c in SUFFIXES.split(", "))})
+
+
+class Suffixes:
+    """Distinct suffixes, as word hashes in a row, and where they occur: document (its place in the chunk),
+    first word, and id, those of a suffix in a row."""
+
+    def __init__(self, words, lengths, common, times, doc, start, id):
+        self.words, self.lengths, self.common, self.times, self.doc, self.start, self.id = words, lengths, common, times, doc, start, id
+
+    @staticmethod
+    def unpacked(row: dict) -> Suffixes:
+        words = packing.unpack_sorted(row["words"])[packing.unpack_ints(row["index"]).astype(np.int64)]
+        lengths, times, doc, start = (packing.unpack_ints(row[k]).astype(np.int64) for k in ("lengths", "times", "doc", "start"))
+        return Suffixes(words, lengths, packing.unpack(row["common"], "<u8"), times, doc, start, packing.unpack(row["id"], "<i8"))
+
+    def some(self, at: np.ndarray) -> Suffixes:
+        """The suffixes at these places."""
+        return Suffixes(self.words[_spans(self.lengths, at)], self.lengths[at], self.common[at], self.times[at], *(x[_spans(self.times, at)] for x in (self.doc, self.start, self.id)))
+
+    def packed(self, chunk: int, place: int) -> dict:
+        words, index = np.unique(self.words, return_inverse=True)
+        numbers = {k: packing.pack_ints(getattr(self, k)) for k in ("lengths", "times", "doc", "start")}
+        return {"chunk": chunk, "place": place, "n_words": len(index), "words": packing.pack_sorted(words), "index": packing.pack_ints(index), "common": packing.pack(self.common), "id": packing.pack(self.id), **numbers}
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """The hash of the first n words of each suffix."""
+        return packing.ngram_hashes(self.words, n)[np.cumsum(self.lengths) - self.lengths]
+
+    def placed(self, chunk: int, prefix: int, place: int, parts: int) -> list[dict]:
+        """Rows by the place that the prefix chooses, of ``parts`` below ``place``."""
+        own = packing.sharded(mix(self.prefixes(prefix) + np.uint64(prefix)), parts)
+        order = np.argsort(own, kind="stable")
+        cut = [0, *(np.flatnonzero(np.diff(own[order])) + 1).tolist(), len(order)]
+        name = lambda k: int(mix(np.array([place], np.int64).view(np.uint64) * np.uint64(3) + np.uint64(k + 1)).view(np.int64)[0])
+        return [self.some(order[a:b]).packed(chunk, name(int(own[order[a]]))) for a, b in zip(cut, cut[1:]) if b > a]
+
+
+def _spans(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of the spans ``at`` of an array that is made up of spans of these lengths."""
+    first, n = (np.cumsum(lengths) - lengths)[at], lengths[at]
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _chosen(window: int, most: int, shards: int, groups: int):
+    """The suffixes of a chunk, given which of its windows repeat."""
 
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        chunk = _Chunk(next(r for r in rows if r["texts"] is not None))
+        w = chunk.windows(window)
+        bits, place = np.zeros((len(w.keys), 2), bool), dict(packing.by_shard(w.keys, shards))
+        for r in rows:
+            if r["texts"] is None:
+                at = place[r["shard"]]
+                bits[at] = packing.unpack_bits(r["bits"], 2 * (at.stop - at.start)).reshape(-1, 2)
+        found = suffixes_of(w, bits[:, 0], bits[:, 1], np.array(chunk.doc_id), window, most)
+        return pa.Table.from_pylist(found.placed(rows[0]["chunk"], max(1, window // 4), 0, groups) if len(found.lengths) else [], schema=_ARROW)
 
-def _send(gathered: DataFrame, window: int, shards: int, split: dict[int, int]) -> DataFrame:
-    """For each chunk and group its distinct suffixes, with the least id that the chunk has for each."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _Chunk(row).suffixes(window)
-                group = _place(s, shards, split)
-                order = np.argsort(group, kind="stable")
-                cut = [0, *(np.flatnonzero(np.diff(group[order])) + 1).tolist(), len(order)]
-                rows = []
-                for a, b in zip(cut, cut[1:]):
-                    if b > a:
-                        at = order[a:b]
-                        rows.append({"chunk": row["chunk"], "place": int(group[at[0]]), "prefix": packing.pack_sorted(s.prefix[at]), "deep": packing.pack(s.deep[at]), "least": packing.pack(s.least[at])})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"chunk": pa.int64(), "place": pa.int64(), "prefix": pa.binary(), "deep": pa.binary(), "least": pa.binary()}))
-
-    return gathered.mapInArrow(run, "chunk long, place long, prefix binary, deep binary, least binary")
-
-
-def _tree_values(group: pa.Table) -> pa.Table:
-    """The suffix tree of a group: sort, find the nodes at full depth, answer with each node's least id."""
-    rows = group.to_pylist()
-    prefix = [packing.unpack_sorted(r["prefix"]) for r in rows]
-    p, d = np.concatenate(prefix), np.concatenate([packing.unpack(r["deep"], "<u8") for r in rows])
-    least = np.concatenate([packing.unpack(r["least"], "<i8") for r in rows])
-    order = np.lexsort((d, p))
-    ps, ds = p[order], d[order]
-    # Depth of the branching between neighbours: full, the prefix, or less; full depth: one node.
-    branch = np.ones(len(order), bool)
-    branch[1:] = (ps[1:] != ps[:-1]) | (ds[1:] != ds[:-1])
-    value = np.minimum.reduceat(least[order], np.flatnonzero(branch))
-    back = np.empty(len(order), np.int64)
-    back[order] = value[np.cumsum(branch) - 1]
-    ends = np.cumsum([len(x) for x in prefix])
-    answers = [packing.pack(x) for x in np.split(back, ends[:-1])]
-    return pa.table({"chunk": group["chunk"], "place": group["place"], "least": pa.array(answers, pa.binary())})
 
+def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, ids: np.ndarray, window: int, most: int) -> Suffixes:
+    words, at = w.words, w.at[again[w.key]]
+    key = w.key[again[w.key]]
+    n = len(words.hash)
+    before = np.zeros(n, np.uint64)
+    before[w.at] = w.before
+    value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    value[at] = mix(w.keys[key]) >> np.uint64(1)
+    begins = np.zeros(n, bool)
+    begins[at] = branching[key]
+    # The least of some ``window`` windows in a row: wherever these repeat elsewhere, it is so there too.
+    low = _slide(value, window, np.minimum)
+    low = _slide(np.concatenate([np.zeros(window - 1, np.uint64), low]), window, np.maximum)[:n]
+    repeats = np.zeros(n + 1, bool)
+    repeats[at] = True
+    begins |= repeats[:n] & (value == low)
+    start = np.flatnonzero(begins)
+    ends = np.flatnonzero(repeats[:n] & ~(repeats[1:] & np.append(words.doc[1:] == words.doc[:-1], False)))
+    length = np.minimum(ends[np.searchsorted(ends, start)] - start + window, most) if len(start) else start
+    # Equal suffixes by a polynomial of their words' hashes.
+    r = np.uint64(0x9E3779B97F4A7C15)
+    up, down = np.full(n + 1, r, np.uint64), np.full(n + 1, np.uint64(pow(int(r), -1, 1 << 64)), np.uint64)
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash) * np.cumprod(up)[:n], dtype=np.uint64)])
+    content = mix((sums[start + length] - sums[start]) * np.cumprod(down)[start]) ^ mix(length.astype(np.uint64))
+    order = np.lexsort((start, content))
+    start, length, content = start[order], length[order], content[order]
+    new = np.ones(len(start), bool)
+    new[1:] = content[1:] != content[:-1]
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(start)))
+    common = before[start[first]] if len(first) else np.zeros(0, np.uint64)
+    common[(np.cumsum(new) - 1)[before[start] != np.repeat(common, times)]] = 0
+    flat = np.arange(length[first].sum()) + np.repeat(start[first] - (np.cumsum(length[first]) - length[first]), length[first])
+    doc = words.doc[start]
+    return Suffixes(words.hash[flat], length[first], common, times, doc.astype(np.int64), start - words.starts[doc] if len(start) else start, ids[doc] if len(start) else start)
+
+
+class SuffixTree:
+    """The suffix tree of a group below ``window`` words: nodes by depth, interval of suffixes in the order of
+    their words, parent (-1: none), least and greatest id, times, and the word before, 0 if it differs."""
+
+    def __init__(self, s: Suffixes, window: int):
+        self.suffixes, n = s, len(s.lengths)
+        _, rank = np.unique(s.words, return_inverse=True)
+        width = int(s.lengths.max())
+        rows = np.zeros((n, width), ">u4")
+        begin = np.cumsum(s.lengths) - s.lengths
+        row = np.repeat(np.arange(n), s.lengths)
+        rows[row, np.arange(len(row)) - begin[row]] = rank + 1
+        self.order = order = np.argsort(rows.view(f"S{4 * width}").ravel(), kind="stable")
+        rows = rows[order]
+        same = (rows[1:] == rows[:-1]) & (rows[1:] != 0)
+        common = np.where(same.all(1), width, same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
+        common[common < window] = 0
+        self._build(common.tolist(), n)
+        first = np.cumsum(s.times) - s.times
+        least, most = np.minimum.reduceat(s.id, first)[order], np.maximum.reduceat(s.id, first)[order]
+        self.row_least, self.row_most = least, most
+        m = len(self.depth)
+        self.least, self.most, self.times = np.full(m, np.iinfo(np.int64).max), np.full(m, np.iinfo(np.int64).min), np.zeros(m, np.int64)
+        low, high = np.full(m, np.iinfo(np.uint64).max, np.uint64), np.zeros(m, np.uint64)
+        has = np.flatnonzero(self.leaf >= 0)
+        for mine, of, rows_ in ((self.least, np.minimum, least), (self.most, np.maximum, most), (self.times, np.add, s.times[order]), (low, np.minimum, s.common[order]), (high, np.maximum, s.common[order])):
+            of.at(mine, self.leaf[has], rows_[has])
+        # Children end before their parents.
+        for k in self.ended:
+            up = self.parent[k]
+            if up >= 0:
+                self.least[up], self.most[up] = min(self.least[up], self.least[k]), max(self.most[up], self.most[k])
+                self.times[up] += self.times[k]
+                low[up], high[up] = min(low[up], low[k]), max(high[up], high[k])
+        self.common = np.where(low == high, low, 0)
+
+    def _build(self, common: list[int], n: int) -> None:
+        """Nodes from the common prefixes of neighbours, by a stack of those that are still open."""
+        depth, left, right, parent, ended, leaf, stack = [], [], [], [], [], [-1] * n, []
+        for i in range(1, n + 1):
+            now = common[i - 1] if i < n else 0
+            top = depth[stack[-1]] if stack else 0
+            if now <= top and stack:
+                leaf[i - 1] = stack[-1]
+            begin, last = i - 1, -1
+            while stack and depth[stack[-1]] > now:
+                last = stack.pop()
+                right[last], begin = i - 1, left[last]
+                ended.append(last)
+                if stack and depth[stack[-1]] >= now:
+                    parent[last], last = stack[-1], -1
+            if now > (depth[stack[-1]] if stack else 0):
+                depth.append(now), left.append(begin), right.append(0), parent.append(-1)
+                stack.append(len(depth) - 1)
+                if last >= 0:
+                    parent[last] = stack[-1]
+                if now > top:
+                    leaf[i - 1] = stack[-1]
+        self.depth, self.left, self.right, self.parent, self.leaf, self.ended = (np.array(x, np.int64) for x in (depth, left, right, parent, leaf, ended))
+
+    def reach(self) -> np.ndarray:
+        """For each occurrence how many of its words a smaller id has too: the depth of the deepest node above it."""
+        s = self.suffixes
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        row = np.repeat(back, s.times)
+        own = s.id > self.row_least[row]
+        out = np.where(own, np.repeat(s.lengths, s.times), 0)
+        at = np.where(own, -1, self.leaf[row])
+        while (open_ := np.flatnonzero(at >= 0)).size:
+            node = at[open_]
+            hit = self.least[node] < s.id[open_]
+            out[open_[hit]] = self.depth[node[hit]]
+            at[open_] = np.where(hit, -1, self.parent[node])
+        return out
+
+    def maximal(self, most: int) -> Iterator[dict]:
+        """Nodes of several documents that different words precede."""
+        s = self.suffixes
+        first = np.cumsum(s.times) - s.times
+
+        def found(rows: np.ndarray, depth: int, times: int) -> dict:
+            row = self.order[rows[self.row_least[rows].argmin()]]
+            at = first[row] + s.id[first[row] : first[row] + s.times[row]].argmin()
+            return {"n_words": int(depth), "n_times": int(times), "doc_id": int(s.id[at]), "start": int(s.start[at]), "cut": bool(depth == most)}
+
+        for k in np.flatnonzero((self.least < self.most) & (self.common == 0)):
+            yield found(np.arange(self.left[k], self.right[k] + 1), self.depth[k], self.times[k])
+        # A suffix that several documents of one chunk share, and no other chunk has whole.
+        whole = np.zeros(len(self.order), np.int64)
+        whole[self.leaf >= 0] = self.depth[self.leaf[self.leaf >= 0]]
+        length = s.lengths[self.order]
+        for i in np.flatnonzero((whole < length) & (self.row_least < self.row_most) & (s.common[self.order] == 0)):
+            yield found(np.array([i]), length[i], s.times[self.order[i]])
+
+
+def _joined(rows: list[dict]) -> tuple[Suffixes, list[int]]:
+    """The suffixes of several chunks, and how many occurrences each has."""
+    each = [Suffixes.unpacked(r) for r in rows]
+    return Suffixes(*(np.concatenate([getattr(x, k) for x in each]) for k in ("words", "lengths", "common", "times", "doc", "start", "id"))), [len(x.id) for x in each]
+
+
+def _cuts(window: int):
+    """The tree of a group; for each chunk the spans of words that it loses."""
+    schema = pa.schema({"chunk": pa.int64(), "doc": pa.binary(), "start": pa.binary(), "length": pa.binary()})
 
-REWRITTEN = "doc_id long, text_hash long, n_removed long, kept string"
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        s, sizes = _joined(rows)
+        length, out, first = SuffixTree(s, window).reach(), [], 0
+        for r, n in zip(rows, sizes):
+            at = first + np.flatnonzero(length[first : first + n])
+            first += n
+            if len(at):
+                out.append({"chunk": r["chunk"], "doc": packing.pack_ints(s.doc[at]), "start": packing.pack_ints(s.start[at]), "length": packing.pack_ints(length[at])})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return run
+
+
+REPEATS = "n_words long, n_times long, doc_id long, start long, cut boolean"
 
 
-def _cut(window: int, shards: int, split: dict[int, int]):
-    arrow = pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()})
+def _nodes(window: int, most: int):
+    schema = pa.schema({"n_words": pa.int64(), "n_times": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "cut": pa.bool_()})
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        chunk = _Chunk(next(r for r in rows if r["texts"] is not None))
-        s = chunk.suffixes(window)
-        place = _place(s, shards, split)
-        order = np.argsort(place, kind="stable")
-        least = np.empty(len(order), np.int64)
-        for r in rows:
-            if r["texts"] is None:
-                a, b = np.searchsorted(place[order], [r["place"], r["place"] + 1])
-                least[order[a:b]] = packing.unpack(r["least"], "<i8")
-        words = s.words
-        hit = s.at[least[s.node] < chunk.doc_id[words.doc[s.at]]]
-        edge = np.zeros(len(words.hash) + 1, np.int32)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + window, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        removed = np.add.reduceat(np.append(gone, False), words.starts) * (words.counts > 0) if len(words.starts) else []
-        out = []
-        for i in np.flatnonzero(removed):
-            drop = gone[words.starts[i] : words.ends[i]].tolist()
-            kept = b" ".join(w for w, x in zip(words.lists[i], drop) if not x)
-            out.append({"doc_id": int(chunk.doc_id[i]), "text_hash": chunk.text_hash[i], "n_removed": int(removed[i]), "kept": kept.decode("utf-8", "replace")})
-        return pa.Table.from_pylist(out, schema=arrow)
+        return pa.Table.from_pylist(list(SuffixTree(_joined(group.to_pylist())[0], window).maximal(most)), schema=schema)
 
     return run
 
 
-def rewritten(docs: DataFrame, scanned: DataFrame, work: Workspace, window: int = 50) -> DataFrame:
-    """The documents that lose words: number of words lost, and the words kept, joined by spaces."""
+REWRITTEN = "doc_id long, text_hash long, n_removed long, kept string"
+
+
+def _rewrite(group: pa.Table) -> pa.Table:
+    """The texts of a chunk that lose words."""
+    rows = group.to_pylist()
+    chunk = _Chunk(next(r for r in rows if r["texts"] is not None))
+    lists = [packing.words_of(t, False) for t in chunk.texts]
+    counts = np.array([len(x) for x in lists], np.int64)
+    starts = np.cumsum(counts) - counts
+    edge = np.zeros(int(counts.sum()) + 1, np.int64)
+    for r in rows:
+        if r["texts"] is None:
+            doc, start, length = (packing.unpack_ints(r[k]).astype(np.int64) for k in ("doc", "start", "length"))
+            np.add.at(edge, starts[doc] + start, 1)
+            np.add.at(edge, starts[doc] + start + length, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    out = []
+    for i, (words, a, n) in enumerate(zip(lists, starts.tolist(), counts.tolist())):
+        drop = gone[a : a + n]
+        if drop.any():
+            kept = b" ".join(w for w, x in zip(words, drop.tolist()) if not x)
+            out.append({"doc_id": int(chunk.doc_id[i]), "text_hash": chunk.text_hash[i], "n_removed": int(drop.sum()), "kept": kept.decode("utf-8", "replace")})
+    return pa.Table.from_pylist(out, schema=pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}))
+
+
+def _split(suffixes: DataFrame, work: Workspace, window: int) -> DataFrame:
+    """Groups of more than twice ``GROUP_WORDS`` are split by longer prefixes."""
+    for step, prefix in enumerate((max(1, window // 2), window)):
+        parts = F.ceil(F.sum("n_words") / GROUP_WORDS).alias("parts")
+        large = suffixes.groupBy("place").agg(parts).filter("parts > 2")
+        if not large.take(1):
+            break
+
+        def run(batches: Iterator[pa.RecordBatch], prefix=prefix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield pa.RecordBatch.from_pylist(Suffixes.unpacked(r).placed(r["chunk"], prefix, r["place"], int(r["parts"])) if r["parts"] else [{k: r[k] for k in _ARROW.names}], schema=_ARROW)
+
+        suffixes = work.save(suffixes.join(large, "place", "left").mapInArrow(run, SUFFIXES), f"suffixes{step + 1}")
+    return suffixes
+
+
+def _trees(docs: DataFrame, scanned: DataFrame, work: Workspace, window: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the documents in which windows may repeat, and their suffixes by group."""
     repeated = work.save(repeated_anchors(scanned), "repeated")
     total = repeated.agg(F.sum(F.size("anchors"))).first()[0] or 0
     # An anchor stands for some windows: for as many as half the anchors' span in the mean.
-    shards = max(1, round(total * (window / 4) / SHARD_SUFFIXES))
+    windows = total * (window / 4)
+    shards, groups = max(1, round(windows / SHARD_WINDOWS)), max(1, round(windows * 8 / GROUP_WORDS))
     wanted = _keyed(docs).join(repeated, ["doc_id", "text_hash"])
     gathered = work.save(_gather(wanted.select("doc_id", "text_hash", "text", "anchors")), "chunks")
-    sizes = _shard_sizes(gathered, window, shards)
-    split = {k: -(-n // SHARD_SUFFIXES) for k, n in sizes.items() if n > 2 * SHARD_SUFFIXES}
-    sent = _send(gathered, window, shards, split)
-    values = sent.groupBy("place").applyInArrow(_tree_values, "chunk long, place long, least binary")
-    both = gathered.unionByName(values, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(_cut(window, shards, split), REWRITTEN)
+    bits = _ask(gathered, window, shards).groupBy("shard").applyInArrow(_repeats, "chunk long, shard long, bits binary")
+    both = gathered.unionByName(bits, allowMissingColumns=True)
+    suffixes = work.save(both.groupBy("chunk").applyInArrow(_chosen(window, most, shards, groups), SUFFIXES), "suffixes0")
+    return gathered, _split(suffixes, work, window)
+
+
+def rewritten(docs: DataFrame, scanned: DataFrame, work: Workspace, window: int = 50, most: int | None = None) -> DataFrame:
+    """The documents that lose words: number of words lost, and the words kept, joined by spaces."""
+    gathered, suffixes = _trees(docs, scanned, work, window, max(most or 0, 3 * window))
+    cuts = suffixes.groupBy("place").applyInArrow(_cuts(window), "chunk long, doc binary, start binary, length binary")
+    return gathered.unionByName(cuts, allowMissingColumns=True).groupBy("chunk").applyInArrow(_rewrite, REWRITTEN)
+
+
+def maximal_repeats(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
+    """Word sequences of ``window`` or more words in several documents that occur fewer times with any word
+    more before or behind: n_words, n_times (occurrences), doc_id and start (the first word's place) of one in
+    the document with the least id. Depths end at ``most`` words (three windows at least); such rows are ``cut``."""
+    work, most = Workspace(docs.sparkSession, "repeats"), max(most or 0, 3 * window)
+    _, suffixes = _trees(docs, work.save(scan(docs, window), "scanned"), work, window, most)
+    return suffixes.groupBy("place").applyInArrow(_nodes(window, most), REPEATS)
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
