@@ -28,13 +28,13 @@ EDGES_A_TASK = 8_000_000
 BATCH = 1 << 20
 
 
-def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
+def open_path(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 def _locate(path: str, name: str) -> str | None:
     """The file ``name`` in a folder, with or without the suffix."""
-    fs, base = _open(path)
+    fs, base = open_path(path)
     for full in (f"{base}/{name}.bin", f"{base}/{name}"):
         if fs.get_file_info(full).type == pa.fs.FileType.File:
             return full
@@ -48,7 +48,7 @@ class Numbers:
         full = _locate(path, name)
         if full is None:
             raise FileNotFoundError(f"{path}/{name}.bin")
-        fs, _ = _open(path)
+        fs, _ = open_path(path)
         self.dtype = np.dtype(dtype)
         self.file = fs.open_input_file(full)
         self.n = self.file.size() // self.dtype.itemsize
@@ -185,7 +185,7 @@ class NumbersWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        fs, base = _open(self._part(number))
+        fs, base = open_path(self._part(number))
         fs.create_dir(base.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(base) as out:
             for b in batches:
@@ -193,17 +193,17 @@ class NumbersWriter(DataSourceArrowWriter):
         return _Part(number)
 
     def commit(self, messages: list[_Part | None]) -> None:
-        fs, base = _open(self.path)
+        fs, base = open_path(self.path)
         fs.create_dir(base.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(base) as out:
             for m in sorted(m.number for m in messages if m):
-                with fs.open_input_stream(_open(self._part(m))[1]) as part:
+                with fs.open_input_stream(open_path(self._part(m))[1]) as part:
                     while block := part.read(1 << 24):
                         out.write(block)
         self.abort(messages)
 
     def abort(self, messages: list[_Part | None]) -> None:
-        fs, base = _open(f"{self.path}.parts")
+        fs, base = open_path(f"{self.path}.parts")
         if fs.get_file_info(base).type == pa.fs.FileType.Directory:
             fs.delete_dir(base)
 
