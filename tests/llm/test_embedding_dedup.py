@@ -47,8 +47,7 @@ key = lambda t: tuple(map(str, t))
 def test_equals_brute_force(spark, monkeypatch, chunked):
     rows = made()
     if chunked:
-        monkeypatch.setattr(embedding_dedup, "RESIDENTS", 40)
-        monkeypatch.setattr(embedding_dedup, "VISITORS", 100)
+        monkeypatch.setattr(embedding_dedup, "TASK_BYTES", 100 * 16 * 8)
     monkeypatch.setattr(embedding_dedup, "CELL_VECTORS", 30)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS rep", "2 AS cell", "3 AS x").repartition(3)
     got = embedding_dedup.dedup(df).collect()

@@ -39,6 +39,15 @@ class Forest:
         self.parts -= 1
         return True
 
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join a[k] and b[k] for all k."""
+        while len(a):
+            root = self.roots()
+            a, b = root[a], root[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
     def roots(self) -> np.ndarray:
         while (self.up[self.up] != self.up).any():
             self.up = self.up[self.up]

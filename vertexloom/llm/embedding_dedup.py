@@ -7,14 +7,20 @@ multi-sequence order), as many as are needed to reach the target recall; that nu
 the sample, for partners that lie exactly at the threshold in random directions, which is the
 hardest case. What is met in a cell is verified by the cosine in double precision.
 
+Cells are grouped into blocks of the grid, of centroids that lie near each other, and a vector is sent
+once to each block that it visits a cell of, with the list of these cells; vectors of floats are sent as
+such. Blocks with more residents or visitors than a task should have are cut into chunks, and each pair of
+chunks is a task of its own.
+
 Equal vectors are one class with a weight. A pair counts for both its vectors, whichever of them
 visits the other, and no pairs leave a task: a task sends the number of partners of each vector and
-a spanning forest of its links. Cells with many residents or visitors are cut into chunks, and each
-pair of chunks is a task of its own.
+a spanning forest of its links.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do
 rows with a null id, whose component is null. Shorter vectors are padded by zeros. Rows that share an
-id are vectors of their own with the same id.
+id are vectors of their own with the same id. Cosines of exactly the threshold link. An empty table gives
+no rows. Columns other than vec_id and embedding are not looked at, whatever their names. Vectors are equal
+if two independent 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -23,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ from vertexloom.llm.workspace import Workspace
 
 #: Vectors that a codebook is fitted on at most; vectors that a cell should have; most centroids.
 SAMPLE, CELL_VECTORS, MAX_CENTROIDS = 16_384, 500, 512
-#: Residents and visitors of a cell that one task compares.
-RESIDENTS, VISITORS = 4096, 16_384
+#: Bytes of doubles of a task's residents; it has as many visitors. Bytes of costs that are held at once.
+TASK_BYTES, SLICE_BYTES = 16 << 20, 64 << 20
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -58,6 +63,22 @@ def _codebook(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def _in_order(centroids: np.ndarray) -> np.ndarray:
+    """A place for each centroid, such that neighbours lie near each other: halves by the main direction, again and again."""
+    place = np.empty(len(centroids), np.int64)
+    todo, first = [np.arange(len(centroids))], 0
+    while todo:
+        some = todo.pop()
+        if len(some) < 3:
+            place[some] = first + np.arange(len(some))
+            first += len(some)
+            continue
+        x = centroids[some] - centroids[some].mean(0)
+        order = some[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        todo += [order[len(some) // 2 :], order[: len(some) // 2]]
+    return place
+
+
 class MultiIndex:
     """Two codebooks and the number of cells that a query visits."""
 
@@ -68,6 +89,10 @@ class MultiIndex:
         self.k = k
         self.books = [_codebook(h, k, seed + i) for i, h in enumerate(self._halves(x))]
         self.visits = self._calibrate(x, threshold, recall, seed)
+        # Blocks of the grid, for about as many vectors as a task has.
+        side = max(1, int(np.sqrt(TASK_BYTES / (8 * x.shape[1]) / max(1, total / k**2))))
+        near = [_in_order(book) // side for book in self.books]
+        self.block = near[0][:, None] * (k + 1) + near[1]
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -81,10 +106,12 @@ class MultiIndex:
         partner = threshold * x + np.sqrt(1 - threshold**2) * noise
         home = self.home(partner)
         a, b = self._distances(x)
-        cost = a[:, :, None] + b[:, None, :]
-        own = cost.reshape(len(x), -1)[np.arange(len(x)), home]
-        place = (cost.reshape(len(x), -1) < own[:, None]).sum(1) + 1
-        return int(np.ceil(np.quantile(place, recall)))
+        rows, place = max(1, SLICE_BYTES // (9 * self.k**2)), []
+        for s in range(0, len(x), rows):
+            cost = (a[s : s + rows, :, None] + b[s : s + rows, None, :]).reshape(-1, self.k**2)
+            own = cost[np.arange(len(cost)), home[s : s + rows]]
+            place.append((cost < own[:, None]).sum(1) + 1)
+        return int(np.ceil(np.quantile(np.concatenate(place), recall)))
 
     def _distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [_squares(h, book) for h, book in zip(self._halves(x), self.books)]
@@ -114,64 +141,89 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _assign(classes: DataFrame, index: MultiIndex, width: int) -> DataFrame:
-    """For each class a row at home, with the cells that it visits, and one for each visit."""
-    schema = pa.schema({"cell": pa.int64(), "home": pa.int64(), "rep": pa.int64(), "weight": pa.int64(), "vector": pa.binary(), "visits": pa.binary()})
+ASSIGNED = "block long, rep long, weight long, vector binary, home int, lives boolean, cells array<int>, visits array<int>"
+
+
+def _assign(classes: DataFrame, index: MultiIndex, width: int, kind: str) -> DataFrame:
+    """For each class a row for each block that it visits: its cells there; in the block where it lives also all its cells."""
+    lists = pa.list_(pa.int32())
+    schema = pa.schema({"block": pa.int64(), "rep": pa.int64(), "weight": pa.int64(), "vector": pa.binary(), "home": pa.int32(), "lives": pa.bool_(), "cells": lists, "visits": lists})
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared.value
+        flat = x.block.ravel()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
                 raw = _vectors(part.column(2), width)
-                x = _unit(raw)
-                home, cells = shared.value.home(x), shared.value.nearest_cells(x)
-                rep, weight = part.column(0).to_numpy(), part.column(1).to_numpy()
-                packed = [r.tobytes() for r in raw.astype(np.float64)]
-                visits = [np.sort(c).tobytes() for c in cells]
-                yield pa.RecordBatch.from_pydict({"cell": home, "home": home, "rep": rep, "weight": weight, "vector": packed, "visits": visits}, schema=schema)
-                n = cells.shape[1]
-                yield pa.RecordBatch.from_pydict(
-                    {"cell": cells.ravel(), "home": np.repeat(home, n), "rep": np.repeat(rep, n), "weight": np.repeat(weight, n), "vector": [p for p in packed for _ in range(n)], "visits": [None] * (n * len(rep))}, schema=schema
-                )
-
-    return classes.mapInArrow(run, "cell long, home long, rep long, weight long, vector binary, visits binary")
-
-
-def _compare(threshold: float):
+                home, cells = x.home(_unit(raw)), np.sort(x.nearest_cells(_unit(raw)), 1)
+                n, v = cells.shape
+                block = flat[cells]
+                order = np.argsort(block, 1, kind="stable")
+                block, inside = np.take_along_axis(block, order, 1), np.take_along_axis(cells, order, 1).astype(np.int32).ravel()
+                new = np.ones((n, v), bool)
+                new[:, 1:] = block[:, 1:] != block[:, :-1]
+                start = np.flatnonzero(new)
+                row = start // v
+                lives = block.ravel()[start] == flat[home[row]]
+                whole = pa.ListArray.from_arrays(pa.array(np.arange(0, n * v + 1, v, dtype=np.int32)), pa.array(cells.astype(np.int32).ravel()))
+                own = pa.array(raw.astype(kind).view(f"V{raw.astype(kind).itemsize * width}").ravel().tolist(), pa.binary())
+                at = pa.array(row)
+                columns = [
+                    pa.array(block.ravel()[start]), part.column(0).take(at), part.column(1).take(at), own.take(at), pa.array(home[row].astype(np.int32)), pa.array(lives),
+                    pa.ListArray.from_arrays(pa.array(np.append(start, n * v).astype(np.int32)), pa.array(inside)), whole.take(pa.array(row, mask=~lives)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return classes.mapInArrow(run, ASSIGNED)
+
+
+def _compare(threshold: float, kind: str, n_cells: int):
     """Links between the residents and the visitors of a task: partners by vector, a spanning forest."""
+    schema = pa.schema({"id": pa.int64(), "n": pa.int64(), "other": pa.int64()})
 
     def run(group: pa.Table) -> pa.Table:
-        here = group["visits"].is_valid()
-        residents, visitors = group.filter(here), group.filter(pc.invert(here))
-        out = {"id": [], "n": [], "other": []}
-        if residents.num_rows and visitors.num_rows:
-            r, q = ({c: t[c].to_numpy() for c in ("home", "rep", "weight")} for t in (residents, visitors))
-            x, y = (_unit(np.frombuffer(b"".join(t["vector"].to_pylist()), np.float64).reshape(t.num_rows, -1)) for t in (visitors, residents))
-            goes = [np.frombuffer(v, np.int64) for v in residents["visits"].to_pylist()]
-            ids = np.unique(np.concatenate([r["rep"], q["rep"]]))
-            at_r, at_q = np.searchsorted(ids, r["rep"]), np.searchsorted(ids, q["rep"])
-            partners, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-            for s in range(0, len(x), 1024):
-                near = x[s : s + 1024] @ y.T >= threshold
-                i, j = np.nonzero(near)
-                i += s
-                apart = q["rep"][i] != r["rep"][j]
+        rep, weight, home = (group[c].to_numpy() for c in ("rep", "weight", "home"))
+        lives, asks = (np.flatnonzero(group[c].to_numpy()) for c in ("lives", "asks"))
+        if not len(lives) or not len(asks):
+            return schema.empty_table()
+        x = _unit(np.frombuffer(b"".join(group["vector"].to_pylist()), kind).reshape(len(rep), -1))
+        lives = lives[np.argsort(home[lives], kind="stable")]
+        here, first, count = np.unique(home[lives], return_index=True, return_counts=True)
+        lists = group["cells"].combine_chunks()
+        cell, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
+        asked = np.zeros(len(rep), bool)
+        asked[asks] = True
+        some = asked[of] & np.isin(cell, here)
+        cell, of = cell[some], of[some]
+        order = np.argsort(cell, kind="stable")
+        cell, of = cell[order], of[order]
+        begin, end = np.searchsorted(cell, here), np.searchsorted(cell, here, "right")
+        # The cells that residents visit, as numbers (row, cell) in ascending order.
+        visits = group["visits"].combine_chunks()
+        goes = np.repeat(np.flatnonzero(visits.is_valid().to_numpy(zero_copy_only=False)), visits.drop_null().value_lengths().to_numpy()) * n_cells + visits.flatten().to_numpy()
+        goes.sort()
+        ids, place = np.unique(rep, return_inverse=True)
+        partners, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        for k in range(len(here)):
+            residents = lives[first[k] : first[k] + count[k]]
+            for s in range(begin[k], end[k], 1024):
+                visitors = of[s : min(s + 1024, end[k])]
+                i, j = np.nonzero(x[visitors] @ x[residents].T >= threshold)
+                i, j = visitors[i], residents[j]
+                apart = rep[i] != rep[j]
                 i, j = i[apart], j[apart]
-                np.add.at(partners, at_q[i], r["weight"][j])
+                np.add.at(partners, place[i], weight[j])
                 # The resident counts the visitor here only if it does not visit the visitor's home.
-                homes = q["home"][i]
-                missed = np.array([h not in goes[k] for h, k in zip(homes.tolist(), j.tolist())], bool)
-                np.add.at(partners, at_r[j[missed]], q["weight"][i[missed]])
-                pair = np.unique(np.stack([at_q[i], at_r[j]]), axis=1)
-                for a, b in pair.T.tolist():
-                    if forest.union(a, b):
-                        out["id"].append(int(ids[a])), out["n"].append(0), out["other"].append(int(ids[b]))
-            some = np.flatnonzero(partners)
-            out["id"] += ids[some].tolist()
-            out["n"] += partners[some].tolist()
-            out["other"] += [None] * len(some)
-        return pa.table(out, schema=pa.schema({"id": pa.int64(), "n": pa.int64(), "other": pa.int64()}))
+                back = j * n_cells + home[i]
+                at = np.searchsorted(goes, back)
+                missed = goes[np.minimum(at, len(goes) - 1)] != back
+                np.add.at(partners, place[j[missed]], weight[i[missed]])
+                forest.unite(place[i], place[j])
+        root, known = forest.roots(), np.flatnonzero(partners)
+        apart = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"id": np.append(ids[known], ids[apart]), "n": np.append(partners[known], np.zeros(len(apart), np.int64)), "other": pa.array([None] * len(known) + ids[root[apart]].tolist(), pa.int64())}, schema=schema)
 
     return run
 
@@ -179,35 +231,37 @@ def _compare(threshold: float):
 def dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.995) -> DataFrame:
     """(vec_id, embedding) -> one row per row: vec_id, n_links, component_id, kept."""
     work = Workspace(vectors.sparkSession, "embeddings")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     sound = F.coalesce(~bad & F.exists("v", lambda c: c != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = rows.select("vec_id", F.when(sound, F.col("v")).alias("v")).withColumn("x", F.xxhash64("v")).withColumn("y", F.xxhash64("v", F.lit(1)))
+    rows = rows.select("vec_id", F.when(sound, F.col("v")).alias("v")).withColumn("x", F.xxhash64("v")).withColumn("y", F.xxhash64(F.lit(1), F.col("v")))
     valid = rows.filter("v is not null")
     width = valid.agg(F.max(F.size("v"))).first()[0] or 0
-    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
+    padded = F.concat("v", F.array_repeat(F.lit(0.0).cast("float" if kind == "<f4" else "double"), F.lit(width) - F.size("v")))
     classes = valid.groupBy("x", "y").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = work.save(classes.withColumn("v", padded), "classes")
     total = classes.count()
-    found = None
+    rows = rows.select("vec_id", F.when(F.col("v").isNotNull(), F.col("x")).alias("x"), F.when(F.col("v").isNotNull(), F.col("y")).alias("y"))
     if total:
         sample = classes.orderBy("x", "y").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
         index = MultiIndex(_vectors(sample, width), total, threshold, recall)
-        assigned = work.save(_assign(classes.select("rep", "weight", "v"), index, width), "assigned")
-        at_home = F.col("visits").isNotNull()
-        sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if(at_home) / RESIDENTS).alias("r"), F.ceil(F.count_if(~at_home) / VISITORS).alias("q"))
-        placed = assigned.join(sizes.filter("r > 0 and q > 0"), "cell")
-        own = F.when(at_home, F.pmod(F.xxhash64("rep"), F.col("r"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("q")))
-        placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(at_home, F.col("q")).otherwise(F.col("r")) - 1)))
-        placed = placed.withColumn("rc", F.when(at_home, F.col("own")).otherwise(F.col("other"))).withColumn("qc", F.when(at_home, F.col("other")).otherwise(F.col("own")))
-        met = placed.select("cell", "rc", "qc", "home", "rep", "weight", "vector", "visits").groupBy("cell", "rc", "qc")
-        found = work.save(met.applyInArrow(_compare(threshold), "id long, n long, other long"), "found")
+        assigned = work.save(_assign(classes.select("rep", "weight", "v"), index, width, kind), "assigned")
+        most = max(64, TASK_BYTES // (8 * width))
+        sizes = assigned.groupBy("block").agg(F.ceil(F.count_if("lives") / most).alias("r"), F.ceil(F.count("*") / most).alias("q")).filter("r > 0")
+        rc, qc = F.pmod(F.xxhash64("rep"), F.col("r")), F.pmod(F.xxhash64("rep"), F.col("q"))
+        one = lambda r, q, lives, asks: F.struct(r.alias("rc"), q.alias("qc"), lives.alias("lives"), asks.alias("asks"))
+        as_visitor = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda r: one(r, qc, F.col("lives") & (r == rc), F.lit(True)))
+        as_resident = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda q: one(rc, q, F.col("lives"), F.lit(False)))
+        tasks = F.concat(as_visitor, F.filter(as_resident, lambda t: t["lives"] & (t["qc"] != qc)))
+        placed = assigned.join(sizes, "block").withColumn("task", F.explode(tasks)).drop("lives").select("block", "rep", "weight", "vector", "home", "cells", "visits", "task.*")
+        found = work.save(placed.groupBy("block", "rc", "qc").applyInArrow(_compare(threshold, kind, index.k**2), "id long, n long, other long"), "found")
         work.drop("assigned")
         partners = found.filter("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("partners"))
         linked = work.save(components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "linked")
         known = classes.select("x", "y", "rep", "weight").join(partners, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
         known = known.select(F.col("x").alias("cx"), F.col("y").alias("cy"), (F.coalesce("partners", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-        both = rows.join(known, (F.col("v").isNotNull()) & (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), "left")
+        both = rows.join(known, (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), "left")
     else:
         both = rows.withColumn("n", F.lit(0).cast("long")).withColumn("c", F.lit(None).cast("long"))
     component = F.coalesce("c", "vec_id")
