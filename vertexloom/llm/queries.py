@@ -93,6 +93,58 @@ FROM documents d LEFT JOIN t USING (doc_id)
 """
 
 
+#: The words of a text, lower-cased (A-Z) or as they are.
+LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _components_sql(ids: str, links: str = "l") -> str:
+    """A recursive table r (id, l): the least id that links (x, y), both ways, reach."""
+    return f"""r(id, l) USING KEY (id) AS ({ids} UNION (SELECT {links}.y, min(r.l) FROM r JOIN {links} ON {links}.x = r.id JOIN recurring.r k ON k.id = {links}.y WHERE r.l < k.l GROUP BY 1))"""
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce({LOWER_WORDS}, []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+{_components_sql("SELECT doc_id, doc_id FROM d")}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.l AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id
+"""
+
+OP5_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + least(len(w), 5) - 1], ' ') for i in range(1, len(w) - least(len(w), 5) + 2)]) AS g FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+g AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM d, k WHERE len(w) >= k)
+SELECT doc_id, item_id, count(*) AS n_found, any_value(n.n) AS n_item_shingles, count(*)::DOUBLE / any_value(n.n) AS containment
+FROM g JOIN i USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 5 * count(*) >= 4 * any_value(n.n)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+{_components_sql("SELECT vec_id, vec_id FROM embeddings")}
+SELECT vec_id, coalesce(n.n, 0) AS n_links, r.l AS component_id, r.l = vec_id AS kept FROM embeddings JOIN r ON r.id = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+OP9_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+g AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest([md5(array_to_string(w[i:i + 49], ' ')) for i in range(1, len(w) - 48)]) AS g FROM d WHERE len(w) >= 50),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id),
+x AS (SELECT p.doc_id, p.i, p.word, coalesce(max(f.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) > p.i - 50, false) AS gone FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM x GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), shingle=3, num=9, den=10)
 
@@ -166,7 +218,7 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     layout = token_shards.write_shards(docs, f"{folder}/tokens", public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     read = token_shards.read_shards(spark, layout)
-    return read.select("slot", "shard", "record", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return read.select("position", "slot", "shard", "record", "doc_id", "part", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +242,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _op1_sql(),
     "op2_lm_scoring": OP2_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op5_benchmark_decontamination": OP5_SQL,
     "op6_license_notices": _op6_notices_sql(),
     "op6_license_scan": _op6_sql(),
+    "op7_embedding_near_dedup": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
