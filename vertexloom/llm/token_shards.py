@@ -3,26 +3,31 @@
 Texts are encoded and cut into sequences of ``length`` tokens, the last one of a text padded. Sequence
 p of a document has the number (doc_id - least id) * parts + p, where parts is how many the longest
 text can have; it depends on the data alone, so a task that is run again deals its sequences to the
-same places. A Feistel network over the least even number of bits that holds all numbers permutes
-them under a key; results that are too large go through it again until they fit (cycle-walking),
-which permutes exactly the numbers of the domain. Equal ranges of the permuted numbers are the
-shards. Within a shard sequences stand in the order of their permuted numbers, as records of one
-stride; a sequence's global slot is its place in this order over all shards. A reader finds slot n by
-the shards' counts and arithmetic, so one that stopped goes on at any slot.
-
-A record is doc_id (int64, little endian), part (int32), number of tokens (int32), a flag byte (1: the
-row has an id), the tokens (uint16, padded with ``PAD``) and a line feed, which lets Spark's own
-writer commit the files to any store it can write to. Shards are written as ``shard=<s>/part-*``.
-
-Null and empty texts give no sequence. Rows with a null id are numbered by their text's hash; these and
-rows that share an id may have equal numbers, and then stand side by side, ordered by their records. Ids
-so far apart that their numbers need more than 62 bits are hashed first. An empty table gives no shard.
+same places, and no pass over the texts only counts. A Feistel network over the least even number of
+bits that holds all numbers permutes them under a key; results that are too large go through it again
+until they fit (cycle-walking), which permutes exactly the numbers of the domain. The permuted number
+is the sequence's global slot; key and number alone give it. Equal ranges of slots are the shards: a task
+gets one range, sorts it and writes it as one file of records of one stride. Numbers that short
+documents don't use leave slots empty; these have no record, so a sequence also has a position, its place
+among the records of all shards, which the files' sizes and arithmetic give.
+
+A record is the slot and doc_id (int64, little endian), part (int32), number of tokens (int32), a flag
+byte (1: the row has an id), the tokens (uint16, padded with ``PAD``) and a line feed, which lets Spark's
+own writer commit the files to any store it can write to. Shards are written as ``shard=<s>/part-*``.
+A reader's tasks seek to ranges of positions; nothing before the first wanted one is read.
+
+Null and empty texts give no sequence; a text of any length is encoded whole. Rows with a null id are
+numbered by their text's hash; these and rows that share an id may have equal slots, and then stand side by
+side, ordered by their records. Ids so far apart that their numbers need more than 62 bits are hashed first.
+An empty table gives no shard. Columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,15 +36,20 @@ import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vertexloom.llm import packing
 from vertexloom.llm.bpe import load_vocabulary
+from vertexloom.llm.workspace import ship
+from vertexloom.sources.csrbin import open_path
 
-HEAD, PAD, ROUNDS = 17, 50256, 6
+HEAD, PAD, ROUNDS = 25, 50256, 6
+#: Records of a reading task, and of a batch of it.
+TASK_RECORDS, BATCH_RECORDS = 200_000, 20_000
 
 
 def permute(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
-    """The slots of some numbers below ``total``."""
+    """The slots of some numbers below ``total``; numbers below it have slots below it, each its own."""
     half = max(1, (max(total - 1, 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     with np.errstate(over="ignore"):
@@ -76,9 +86,9 @@ def _numbers(docs: DataFrame, length: int) -> tuple[DataFrame, int, int]:
 
 
 def sequences(rows: DataFrame, path: str, pattern: str, length: int, domain: int, shards: int, key: int) -> DataFrame:
-    """The sequences of each text, with their shard and permuted number, compressed."""
+    """The sequences of each text, with their shard and slot (``number``, permuted), compressed."""
     content = load_vocabulary(rows, path)
-    schema = pa.schema({"shard": pa.int64(), "number": pa.int64(), "doc_id": pa.int64(), "part": pa.int32(), "n_tokens": pa.int32(), "tokens": pa.binary()})
+    schema = pa.schema({"shard": pa.int32(), "number": pa.int64(), "doc_id": pa.int64(), "part": pa.int32(), "n_tokens": pa.int32(), "tokens": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(content.value, pattern)
@@ -96,18 +106,19 @@ def sequences(rows: DataFrame, path: str, pattern: str, length: int, domain: int
             rest = {k: [o[i] for o in out] for i, k in enumerate(("doc_id", "part", "n_tokens", "tokens"), 1)}
             yield pa.RecordBatch.from_pydict({"shard": shard, "number": number, **rest}, schema=schema)
 
-    return rows.mapInArrow(run, "shard long, number long, doc_id long, part int, n_tokens int, tokens binary")
+    return rows.mapInArrow(run, "shard int, number long, doc_id long, part int, n_tokens int, tokens binary")
 
 
 def _records(length: int):
     """Rows of ``sequences`` to (shard, number, value): the records without their line feed."""
     stride = HEAD + 2 * length + 1
-    kind = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("tokens", "<u2", (length,)), ("end", "u1")])
+    kind = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("tokens", "<u2", (length,)), ("end", "u1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = np.zeros(b.num_rows, kind)
+            out["slot"] = b.column(1).to_numpy()
             out["doc_id"], out["known"] = b.column(2).fill_null(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
             out["part"], out["n"], out["tokens"] = b.column(3).to_numpy(), b.column(4).to_numpy(), PAD
             for i, packed in enumerate(b.column(5).to_pylist()):
@@ -126,50 +137,79 @@ def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, length:
     rows, domain, size = _numbers(docs, length)
     stride = HEAD + 2 * length + 1
     shards = max(1, -(-size // shard_bytes))  # about a byte of record for a byte of text
-    layout = {"folder": folder, "length": length, "stride": stride, "total": 0, "shards": [], "starts": []}
+    layout = {"folder": folder, "length": length, "stride": stride, "total": 0, "shards": [], "files": [], "starts": []}
     if not size:
         return layout
-    dealt = sequences(rows, path, pattern, length, domain, shards, key).repartition(shards, "shard")
-    made = dealt.mapInArrow(_records(length), "shard long, number long, value binary").sortWithinPartitions("shard", "number", "value")
+    dealt = sequences(rows, path, pattern, length, domain, shards, key).repartitionById(shards, "shard")
+    made = dealt.mapInArrow(_records(length), "shard int, number long, value binary").sortWithinPartitions("shard", "number", "value")
     made.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(folder)
     return read_layout(docs.sparkSession, folder, length)
 
 
 def read_layout(spark: SparkSession, folder: str, length: int) -> dict:
-    """What a reader needs to know of written shards: a count for each, from the files' sizes."""
+    """What a reader needs to know of written shards: each file, and the position of its first record."""
     stride = HEAD + 2 * length + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "length").collect()
-    sizes = sorted((int(f["path"].rpartition("shard=")[2].partition("/")[0]), f["length"] // stride) for f in files)
-    starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
-    return {"folder": folder, "length": length, "stride": stride, "total": starts[-1], "shards": [s for s, _ in sizes], "starts": starts[:-1]}
+    found = sorted((int(f["path"].rpartition("shard=")[2].partition("/")[0]), f["path"], f["length"] // stride) for f in files)
+    starts = np.cumsum([0] + [n for *_, n in found]).tolist()
+    return {"folder": folder, "length": length, "stride": stride, "total": starts[-1], "shards": [s for s, *_ in found], "files": [p for _, p, _ in found], "starts": starts[:-1]}
 
 
-READ = "slot long, shard long, record long, doc_id long, part int, n_tokens int, tokens binary"
+READ = "position long, slot long, shard long, record long, doc_id long, part int, n_tokens int, tokens binary"
+
+
+@dataclass
+class _Range(InputPartition):
+    shard: int
+    file: str
+    start: int
+    first: int
+    stop: int
+
+
+class ShardReader(DataSourceReader):
+    """Tasks read ranges of positions of one shard each."""
+
+    def __init__(self, options: dict):
+        self.ranges, self.stride = [_Range(*r) for r in json.loads(options["ranges"])], int(options["stride"])
+
+    def partitions(self) -> list[_Range]:
+        return self.ranges or [_Range(0, "", 0, 0, 0)]
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("rest", "u1", (self.stride - HEAD,))])
+        if part.stop <= part.first:
+            return
+        fs, path = open_path(part.file)
+        with fs.open_input_file(path) as file:
+            for first in range(part.first, part.stop, BATCH_RECORDS):
+                stop = min(first + BATCH_RECORDS, part.stop)
+                file.seek((first - part.start) * self.stride)
+                r = np.frombuffer(file.read((stop - first) * self.stride), kind)
+                position = np.arange(first, stop)
+                tokens = [x[: 2 * n].tobytes() for x, n in zip(r["rest"], r["n"].tolist())]
+                columns = [pa.array(position), pa.array(r["slot"].copy()), pa.array(np.full(len(r), part.shard)), pa.array(position - part.start), pa.array(r["doc_id"].copy(), mask=r["known"] == 0), pa.array(r["part"].copy()), pa.array(r["n"].copy()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["position", "slot", "shard", "record", "doc_id", "part", "n_tokens", "tokens"])
+
+
+class ShardSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tokenshards"
+
+    def schema(self) -> str:
+        return READ
+
+    def reader(self, schema) -> DataSourceReader:
+        return ShardReader(self.options)
 
 
 def read_shards(spark: SparkSession, layout: dict, first: int = 0, count: int | None = None) -> DataFrame:
-    """The sequences of slots ``first`` to ``first + count - 1``; only their shards are opened."""
-    stride, total = layout["stride"], layout["total"]
-    stop = total if count is None else min(total, first + count)
-    ends = [*layout["starts"][1:], total]
-    begins = {k: a for k, a, b in zip(layout["shards"], layout["starts"], ends) if a < stop and b > first}
-    if not begins:
-        return spark.createDataFrame([], READ)
-    wanted = [f"{layout['folder']}/shard={k}" for k in begins]
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("known", "u1"), ("rest", "u1", (stride - HEAD,))])
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                shard = int(path.rpartition("shard=")[2].partition("/")[0])
-                rows = np.frombuffer(content.as_buffer(), kind)
-                slots = begins[shard] + np.arange(len(rows))
-                at = np.flatnonzero((slots >= first) & (slots < stop))
-                for some in np.array_split(at, len(at) // 20_000 + 1):
-                    r = rows[some]
-                    tokens = [x[: 2 * n].tobytes() for x, n in zip(r["rest"], r["n"].tolist())]
-                    columns = [pa.array(slots[some]), pa.array(np.full(len(some), shard)), pa.array(some), pa.array(r["doc_id"].copy(), mask=r["known"] == 0), pa.array(r["part"].copy()), pa.array(r["n"].copy()), pa.array(tokens, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "record", "doc_id", "part", "n_tokens", "tokens"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(wanted).select("path", "content")
-    return files.mapInArrow(parse, READ)
+    """The sequences at positions ``first`` to ``first + count - 1``; tasks seek to them by the stride."""
+    stop, ranges = layout["total"] if count is None else min(layout["total"], first + count), []
+    for shard, file, start, end in zip(layout["shards"], layout["files"], layout["starts"], [*layout["starts"][1:], layout["total"]]):
+        for a in range(max(start, first), min(end, stop), TASK_RECORDS):
+            ranges.append((shard, file, start, a, min(a + TASK_RECORDS, end, stop)))
+    ship(spark)
+    spark.dataSource.register(ShardSource)
+    return spark.read.format("tokenshards").options(ranges=json.dumps(ranges), stride=str(layout["stride"])).load()
