@@ -84,8 +84,8 @@ def test_conversations_are_read_back(spark):
     assert chat.digests(chat.render(chat.paths(chat.chain(df.limit(0))))).count() == 0
 
 
-def test_segments_make_up_the_whole(spark):
-    df = spark.createDataFrame([(1, 0, "user", "</s>[INST]"), (1, 1, "assistant", "[/INST]")], "conv_id long, turn long, role string, text string")
+def test_the_mask_spans_the_answers(spark):
+    df = spark.createDataFrame([(1, 0, "user", "</s>[INST]"), (1, 1, "assistant", "é[/INST]"), (1, 2, "user", "y"), (1, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
     r = chat.render(chat.paths(chat.chain(df))).first()
-    assert "".join(s["text"] for s in r["segments"]) == r["formatted"] == "<|turn|>user<|text|><\\/s>[\\INST]<|end|><|turn|>assistant<|text|>[\\/INST]<|end|>"
-    assert [s["text"] for s in r["segments"] if s["loss"]] == ["[\\/INST]"]
+    assert r["formatted"] == "<|turn|>user<|text|><\\/s>[\\INST]<|end|><|turn|>assistant<|text|>é[\\/INST]<|end|><|turn|>user<|text|>y<|end|><|turn|>assistant<|text|><|end|>"
+    assert [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["mask"]] == ["é[\\/INST]", ""]

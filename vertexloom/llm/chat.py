@@ -10,7 +10,11 @@ texts get a backslash after their first character, after backslashes were double
 of each pair "backslash, any character" restores them. No control string can arise at a seam, as each
 starts with ``<`` or ``[`` and has neither bracket inside.
 
-Null texts and roles are empty. A message without a parent in its tree is a root. Messages whose
+Only the first and the last step move texts: messages are numbered with them and written, the walks
+between are over ids alone, and at the end each message of a path meets its text.
+
+Null texts and roles are empty; an empty table gives no rows. A text of any length is taken whole, and a path
+is one row, however long. Columns other than those named below are not looked at. A message without a parent in its tree is a root. Messages whose
 chain of parents runs in a circle reach no root and form no path. Rows that repeat a message id are
 different messages with the same parent; replies to it belong to the first of them in the order of
 role and text. A null tree id is a tree like any other. Branches of equal score rank by leaf id.
@@ -54,11 +58,12 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     ``branches``: how many paths of a tree to choose; None: all."""
     work = Workspace(messages.sparkSession, "chat")
     same = Window.partitionBy("tree_id", "message_id").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    nodes = messages.select("tree_id", "message_id", "parent_id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    nodes = nodes.withColumn("copy", F.row_number().over(same).cast("long"))
+    said = messages.select("tree_id", "message_id", "parent_id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    said = work.save(said.withColumn("copy", F.row_number().over(same).cast("long")), "said")
+    nodes = said.select("tree_id", "message_id", "copy", "parent_id", "score")
     first = nodes.filter("copy = 1").select(F.col("tree_id").alias("t"), F.col("message_id").alias("p"), F.lit(1).cast("long").alias("up_copy"))
     hit = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p"))
-    nodes = nodes.join(first, hit, "left").drop("t").withColumn("up", F.col("p")).drop("p")
+    nodes = nodes.join(first, hit, "left").select("tree_id", "message_id", "copy", F.col("p").alias("up"), "up_copy", "score")
     nodes = work.save(nodes, "nodes")
     at_root = F.col("up").isNull()
     jumps = nodes.select("tree_id", "message_id", "copy", "up", "up_copy", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
@@ -94,23 +99,21 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")) & (F.col("copy") == F.col("c"))
         above = members.join(jump, on).select("tree_id", "rank", "leaf", F.col("up").alias("message_id"), F.col("up_copy").alias("copy"), (F.col("depth") - (1 << k)).alias("depth"))
         members = members.unionByName(above)
-    said = nodes.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), "role", "text")
+    said = said.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("copy").alias("c"), "role", "text")
     on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")) & (F.col("copy") == F.col("c"))
     return members.join(said, on).select("tree_id", "leaf", "rank", "depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def render(rows: DataFrame, trained: str = "assistant") -> DataFrame:
-    """One row per path: tree_id, rank, formatted, and segments, which make up ``formatted`` in order and
-    say which of it is under the loss mask: the texts of role ``trained``, without the marks around them."""
-    text = escape(F.col("text"))
-    masked = F.col("role") == trained
-    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
-    turn = F.struct(F.col("depth"), head.alias("head"), text.alias("text"), masked.alias("loss"))
-    whole = rows.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    part = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
-    segments = F.flatten(F.transform("turns", lambda t: F.array(part(t["head"], F.lit(False)), part(t["text"], t["loss"]), part(F.lit(END), F.lit(False)))))
-    whole = whole.select("tree_id", "rank", segments.alias("segments"))
-    return whole.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
+    """One row per path: tree_id, rank, formatted, and mask, the spans (start, length, in characters) of
+    ``formatted`` under the loss mask: the texts of role ``trained``, without the marks around them."""
+    turns = rows.select("tree_id", "rank", "depth", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("text"), (F.col("role") == trained).alias("loss"))
+    before = F.sum(F.length("head") + F.length("text") + len(END)).over(Window.partitionBy("tree_id", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.withColumn("start", F.coalesce(before, F.lit(0)) + F.length("head"))
+    whole = turns.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "head", "text", "loss"))).alias("turns"))
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
+    mask = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].cast("int").alias("start"), F.length(t["text"]).alias("length")))
+    return whole.select("tree_id", "rank", formatted.alias("formatted"), mask.alias("mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -124,9 +127,9 @@ def digests(rendered: DataFrame) -> DataFrame:
     """What was formatted, read back: conv_id, number and digest of the turns, length and digest of
     the text under the loss mask, length of the whole."""
     nl = F.lit("\n")
-    turns = rendered.select("tree_id", "formatted", "segments", read_back(F.col("formatted")).alias("turns"))
+    turns = rendered.select("tree_id", "formatted", "mask", read_back(F.col("formatted")).alias("turns"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], nl, t["text"], nl)), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    loss = F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))), "")
     return turns.select(
         F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
