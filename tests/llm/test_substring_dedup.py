@@ -84,15 +84,16 @@ def test_nodes_are_the_maximal_repeats(docs, monkeypatch, groups):
 def test_tree_of_a_few_suffixes():
     import numpy as np
 
-    texts = [b"a b c d x", b"a b c d y", b"a b c z z", b"q a b c d x"]
-    s = substring_dedup
-    anchors = [np.unique(s._anchors(s.Words([t], False), 2, 1)) for t in texts]
-    w = s._Windows(texts, anchors, 2)
-    found = s.suffixes_of(w, np.ones(len(w.keys), bool), np.ones(len(w.keys), bool), np.arange(4) + 10, 2, 100)
-    tree = s.SuffixTree(found, 2)
-    assert sorted(tree.depth.tolist()) == [2, 3, 3, 4, 4, 5] or len(tree.depth) >= 4
-    assert all(tree.depth[p] < tree.depth[k] for k, p in enumerate(tree.parent) if p >= 0)
-    assert all(tree.least[p] <= tree.least[k] for k, p in enumerate(tree.parent) if p >= 0)
+    texts = ["a b c d x", "a b c d y", "a b c z z", "q a b c d x"]
+    name = {c: i for i, c in enumerate("abcdqxyz")}
+    each = [[name[c] for c in t.split()] for t in texts]
+    flat, length = np.array(sum(each, [])), np.array([len(x) for x in each])
+    none = np.zeros(4, np.uint64)
+    s = substring_dedup.Suffixes(np.arange(8, dtype=np.uint64), flat, length, none, np.ones(4, np.int64), np.arange(4), np.zeros(4, np.int64), np.array([10, 11, 12, 13]))
+    tree = substring_dedup.SuffixTree(s, 2)
+    nodes = sorted(zip(tree.depth.tolist(), tree.least.tolist(), tree.most.tolist(), tree.times.tolist(), [tree.depth[p] if p >= 0 else 0 for p in tree.parent]))
+    assert nodes == [(3, 10, 12, 3, 0), (4, 10, 11, 2, 3)]
+    assert tree.reach().tolist() == [0, 4, 3, 0]
 
 
 def test_texts_of_all_rows(docs, nothing):

@@ -42,12 +42,11 @@ from pyspark.sql import functions as F
 from vertexloom.llm import packing
 from vertexloom.llm.components import Forest, components
 from vertexloom.llm.packing import Words, mix
+from vertexloom.llm.prefilter import maybe
 from vertexloom.llm.workspace import Workspace
 
 #: Keys of a shard, signature bytes and shingles of sets that are compared in one task.
 SHARD_KEYS, TASK_BYTES, CLUSTER_SHINGLES = 1_000_000, 4 << 20, 256_000
-#: Words of 64 bits that the Bloom filter of documents in blocks has at most; bits for each document.
-FILTER_WORDS, FILTER_BITS = 1 << 20, 16
 #: Children of a tree's node; bytes of bitmaps that are compared at once.
 FANOUT, SLICE_BYTES = 16, 1 << 20
 
@@ -386,18 +385,6 @@ def _spanning_links(work: Workspace, name: str, rows: DataFrame, sets: DataFrame
     return links.unionByName(met(placed, "rest"))
 
 
-def _filtered(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) of the ``n`` documents whose ids ``wanted`` has, and a few more, without a shuffle
-    of texts: a Bloom filter, a table of at most FILTER_WORDS words, is broadcast. With more ids
-    than it has room for it lets more through, which later joins drop."""
-    words = min(FILTER_WORDS, 1 << max(0, n * FILTER_BITS // 64).bit_length())
-    word, bit = (lambda c: F.pmod(F.xxhash64(c), F.lit(words))), (lambda c: F.pmod(F.xxhash64(F.lit("bit"), F.col(c)), F.lit(64)).cast("int"))
-    bits = wanted.select(word("doc_id").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit("doc_id")).alias("_bit"))
-    table = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    rows = docs.select("doc_id", "text", word("doc_id").alias("_word"))
-    return rows.join(F.broadcast(table), "_word").filter(F.getbit("_bits", bit("doc_id")) == 1).select("doc_id", "text")
-
-
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """The set and the bitmap of each document."""
     arrow = pa.schema({"id": pa.int64(), "n_shingles": pa.int64(), "bitmap": pa.binary(), "tokens": pa.binary()})
@@ -434,7 +421,8 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataF
     owners = work.save(owners.join(chosen, "key", "left_semi"), "blocks")
 
     wanted = work.save(owners.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = work.save(_sets(_filtered(docs, wanted, wanted.count()), shingle), "sets")
+    near = maybe(docs.select("doc_id", "text"), "doc_id", wanted, wanted.count(), "wanted").filter("wanted")
+    sets = work.save(_sets(near, shingle), "sets")
     in_blocks = owners.select(F.col("key").alias("block"), F.col("rep").alias("id"), (F.col("n_shingles") / 8 + 64).alias("weight"))
     plausible = _spanning_links(work, "plausible", in_blocks, sets.select("id", "n_shingles", "bitmap"), _plausible_links(rule), TASK_BYTES)
     clusters = work.save(components(plausible), "clusters")

@@ -6,9 +6,9 @@ of the n-gram's hash. A shard is one partition of the count tables: its task add
 all chunks and joins them to the n-grams that each chunk asks for. Chunks then sum the logarithms of
 each document's backoff scores.
 
-Most n-grams occur in one chunk only, whose own count is then the whole one. So the shards are first
-sent short hashes, as long as the corpus needs for one in 4096 to coincide by chance, and answer which
-of them another chunk has too. Only these n-grams are sent by their whole hash and counted.
+A hash has as many bits as the corpus needs for one n-gram in 2^24 to share its own by chance, 64 at
+most. Many n-grams occur in one chunk only, whose own count is then the whole one: shards answer which
+n-grams other chunks have too, and the counts of these.
 
 The score of a word after its n-1 words before is count(n-gram) / count(context) for the longest
 n-gram with a count, times ``alpha`` for each order that was skipped; that of a single word is
@@ -19,7 +19,7 @@ Words are lower-cased (A-Z). N-grams don't cross documents.
 Null and empty texts have no words and score null. Every row is scored for itself, also rows with
 null or repeated ids; a repeated row counts as another document. An empty table gives no rows. A text
 of any length is scored whole, a long one as a chunk of its own. Columns other than doc_id and text are
-not looked at, whatever their names. Equality of n-grams is that of 64-bit hashes.
+not looked at, whatever their names. N-grams are equal if their hashes are.
 """
 
 from __future__ import annotations
@@ -37,146 +37,99 @@ from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.workspace import Workspace
 
 #: N-grams of a shard, about; bytes of text of a chunk, whose repeated n-grams are sent once.
-SHARD_NGRAMS, CHUNK_BYTES = 2_000_000, 4 << 20
-#: Bits by which short hashes are longer than the number of n-grams needs.
-SPARE_BITS = 12
+SHARD_NGRAMS, CHUNK_BYTES = 2_000_000, 6 << 20
+#: Bits that a hash has beyond the logarithm of the number of n-grams.
+SPARE_BITS = 24
 
 CHUNK = pa.schema({"chunk": pa.int64(), "n_words": pa.int64(), "doc_id": pa.list_(pa.int64()), "texts": pa.binary(), "ends": pa.list_(pa.int64())})
 
 
 class _Ngrams:
-    """The n-grams of a chunk: for each order where they end, the distinct ones and their counts."""
-
-    def __init__(self, texts: list[bytes], order: int):
-        self.words = words = Words(texts, lower=True)
-        self.at, keys = [], []
+    """The n-grams of a chunk: for each order where they end, the distinct ones (hashes whose first ``bits``
+    bits count, in ascending order) and their counts."""
+
+    def __init__(self, row: dict, order: int, bits: int):
+        data, ends = packing.unpack(row["texts"], "u1").tobytes(), [0, *row["ends"]]
+        self.words = words = Words([data[a:b] for a, b in zip(ends, ends[1:])], lower=True)
+        del data
+        drop = np.uint64(64 - bits)
+        self.at, self.node, keys, counts = [], [], [], []
         for n in range(1, order + 1):
             start = np.flatnonzero(words.room(n))
             self.at.append(start + n - 1)
-            keys.append(mix(words.ngrams(n)[start] + np.uint64(n)))
-        flat = np.concatenate(keys)
-        self.keys, node, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        self.node = np.split(node, cuts)
-        self._flat, self._cuts = flat, cuts
+            k, node, c = np.unique(mix(words.ngrams(n)[start] + np.uint64(n)) >> drop << drop, return_inverse=True, return_counts=True)
+            self.node.append(node + sum(map(len, keys)))
+            keys.append(k)
+            counts.append(c)
+        # Of all orders together; equal hashes of different orders are one.
+        self.keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.counts = np.bincount(place, np.concatenate(counts), minlength=len(self.keys)).astype(np.int64)
+        self.node = [place[node] for node in self.node]
 
     def own(self) -> list[np.ndarray]:
         """How often each n-gram occurs in its own document, by order."""
-        tag = mix(np.arange(len(self.words.counts), dtype=np.uint64) + np.uint64(1))
-        doc = np.concatenate([self.words.doc[a] for a in self.at])
-        _, back, count = np.unique(mix(self._flat ^ tag[doc]), return_inverse=True, return_counts=True)
-        return np.split(count[back], self._cuts)
-
-
-def _texts(row: dict) -> list[bytes]:
-    data, ends = packing.unpack(row["texts"], "u1").tobytes(), [0, *row["ends"]]
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
-class _Short:
-    """The distinct short hashes of a chunk's n-grams: the first ``bits`` bits, 32 at least."""
-
-    def __init__(self, keys: np.ndarray, bits: int):
-        short = keys >> np.uint64(64 - bits) << np.uint64(64 - bits)
-        new = np.ones(len(keys), bool)
-        new[1:] = short[1:] != short[:-1]
-        self.keys, self.of = short[new], np.cumsum(new) - 1
+        out, docs = [], len(self.words.counts)
+        for at, node in zip(self.at, self.node):
+            _, back, count = np.unique(node * docs + self.words.doc[at], return_inverse=True, return_counts=True)
+            out.append(count[back])
+        return out
 
 
 def _gather(docs: DataFrame, first: int = 0) -> DataFrame:
-    """Chunks, numbered from ``first``."""
+    """Chunks of texts, numbered from ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = first + (TaskContext.get().partitionId() << 32)
         for chunk in packing.chunks(batches, 1, CHUNK_BYTES):
             texts = [t or b"" for t in packing.text_bytes(chunk.column(1))]
-            ends = np.cumsum([len(t) for t in texts]).tolist()
-            row = {"chunk": number, "n_words": sum(len(t.split()) for t in texts), "doc_id": chunk.column(0).to_pylist(), "texts": packing.pack(np.frombuffer(b"".join(texts), "u1"), 3), "ends": ends}
+            row = {
+                "chunk": number, "n_words": sum(len(t.split()) for t in texts), "doc_id": chunk.column(0).to_pylist(),
+                "texts": packing.pack(np.frombuffer(b"".join(texts), "u1"), 3), "ends": np.cumsum([len(t) for t in texts]).tolist(),
+            }
             yield pa.RecordBatch.from_pylist([row], schema=CHUNK)
             number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long, n_words long, doc_id array<long>, texts binary, ends array<long>")
 
 
-def _short_keys(gathered: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
-    """For each chunk and shard its distinct short hashes."""
-    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary()})
+def _send(gathered: DataFrame, order: int, shards: int, bits: int, first_train: int) -> DataFrame:
+    """For each chunk and shard its distinct n-grams and their counts, 0 where other texts are counted."""
+    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _Short(_Ngrams(_texts(row), order).keys, bits).keys
-                each = [(s, packing.pack_sorted(keys[a] >> np.uint64(64 - bits))) for s, a in packing.by_shard(keys, shards)]
-                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]] * len(each), "shard": [e[0] for e in each], "keys": [e[1] for e in each]}, schema=schema)
+                x = _Ngrams(row, order, bits)
+                counts = x.counts if not first_train or row["chunk"] >= first_train else np.zeros_like(x.counts)
+                each = [(s, packing.pack_sorted(x.keys[a] >> np.uint64(64 - bits)), packing.pack_ints(counts[a])) for s, a in packing.by_shard(x.keys, shards)]
+                yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]] * len(each), "shard": [e[0] for e in each], "keys": [e[1] for e in each], "counts": [e[2] for e in each]}, schema=schema)
 
-    return gathered.mapInArrow(run, "chunk long, shard long, keys binary")
+    return gathered.mapInArrow(run, "chunk long, shard long, keys binary, counts binary")
 
 
-def _met(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the keys of all chunks in a row: which place each has in their order, and where a new one begins there."""
-    flat = np.concatenate(keys)
+def _answer(group: pa.Table) -> pa.Table:
+    """The counts of a shard, joined to what each chunk asks for: which of its n-grams other chunks have
+    too, and the counts of these."""
+    keys = [packing.unpack_sorted(k) for k in group["keys"].to_pylist()]
+    flat, count = np.concatenate(keys), np.concatenate([packing.unpack_ints(c) for c in group["counts"].to_pylist()])
     order = np.argsort(flat, kind="stable")
     new = np.ones(len(flat), bool)
     new[1:] = flat[order][1:] != flat[order][:-1]
-    return order, new
-
-
-def _shared(group: pa.Table) -> pa.Table:
-    """For each chunk a bit for each of its short hashes: whether another chunk has it."""
-    keys = [packing.unpack_sorted(k) for k in group["keys"].to_pylist()]
-    order, new = _met(keys)
-    several = np.empty(len(order), bool)
+    several, total = np.empty(len(flat), bool), np.empty(len(flat), np.uint64)
     several[order] = ~(new & np.append(new[1:], True))
-    bits = [packing.pack_bits(x) for x in np.split(several, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "shared": pa.array(bits, pa.binary())})
-
-
-def _asked(order: int, shards: int, bits: int, first_train: int):
-    """What a chunk sends of the n-grams that it shares: their hashes and counts, and which they are."""
-    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "which": pa.binary(), "keys": pa.binary(), "counts": pa.binary()})
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        chunk = next(r for r in rows if r["texts"] is not None)
-        x = _Ngrams(_texts(chunk), order)
-        short = _Short(x.keys, bits)
-        shared, place = np.zeros(len(short.keys), bool), dict(packing.by_shard(short.keys, shards))
-        for r in rows:
-            if r["texts"] is None:
-                at = place[r["shard"]]
-                shared[at] = packing.unpack_bits(r["shared"], at.stop - at.start)
-        which = shared[short.of]
-        # Where other texts are to be counted, these are not.
-        counts = x.counts if not first_train or chunk["chunk"] >= first_train else np.zeros_like(x.counts)
-        out = []
-        for s, a in packing.by_shard(x.keys, shards):
-            own = which[a]
-            if own.any():
-                out.append({"chunk": chunk["chunk"], "shard": s, "which": packing.pack_bits(own), "keys": packing.pack_sorted(x.keys[a][own]), "counts": packing.pack_ints(counts[a][own])})
-        return pa.Table.from_pylist(out, schema=schema)
-
-    return run
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """The counts of a shard, joined to what each chunk asks for."""
-    keys = [packing.unpack_sorted(k) for k in group["keys"].to_pylist()]
-    order, new = _met(keys)
-    count = np.concatenate([packing.unpack_ints(c) for c in group["counts"].to_pylist()])
-    total = np.add.reduceat(count[order], np.flatnonzero(new))
-    back = np.empty(len(count), np.uint64)
-    back[order] = total[np.cumsum(new) - 1]
-    answers = [packing.pack_ints(a) for a in np.split(back, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "which": group["which"], "counts": pa.array(answers, pa.binary())})
+    total[order] = np.add.reduceat(count[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    answers = [(packing.pack_bits(w), packing.pack_ints(t[w])) for w, t in zip(np.split(several, cut), np.split(total, cut))]
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "which": pa.array([a[0] for a in answers], pa.binary()), "counts": pa.array([a[1] for a in answers], pa.binary())})
 
 
-def _score(order: int, shards: int, total: int, alpha: float, leave_out: bool):
+def _score(order: int, shards: int, bits: int, total: int, alpha: float, leave_out: bool):
     schema = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "log_score": pa.float64(), "n_backed_off": pa.int64()})
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         chunk = next(r for r in rows if r["texts"] is not None)
-        x = _Ngrams(_texts(chunk), order)
+        x = _Ngrams(chunk, order, bits)
         # What no other chunk has occurs here only, or not at all in texts that are counted.
         counts = x.counts.astype(np.int64) if leave_out else np.zeros(len(x.keys), np.int64)
         place = dict(packing.by_shard(x.keys, shards))
@@ -219,10 +172,9 @@ def scores(docs: DataFrame, train: DataFrame | None = None, order: int = 3, alph
     shards = max(1, round(total * order / SHARD_NGRAMS))
     bits = min(64, max(32, (total * order).bit_length() + SPARE_BITS))
     every = asking if train is None else asking.unionByName(telling)
-    shared = _short_keys(every, order, shards, bits).groupBy("shard").applyInArrow(_shared, "chunk long, shard long, shared binary")
-    sent = every.unionByName(shared, allowMissingColumns=True).groupBy("chunk").applyInArrow(_asked(order, shards, bits, first_train), "chunk long, shard long, which binary, keys binary, counts binary")
+    sent = _send(every, order, shards, bits, first_train)
     answers = sent.groupBy("shard").applyInArrow(_answer, "chunk long, shard long, which binary, counts binary")
     if train is not None:
         answers = answers.filter(F.col("chunk") < first_train)
     both = asking.unionByName(answers, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(_score(order, shards, total, alpha, train is None), "doc_id long, n_words long, log_score double, n_backed_off long")
+    return both.groupBy("chunk").applyInArrow(_score(order, shards, bits, total, alpha, train is None), "doc_id long, n_words long, log_score double, n_backed_off long")

@@ -41,13 +41,23 @@ class Words:
 
     def __init__(self, texts: list[bytes | None], lower: bool, keep: bool = False):
         lists = [words_of(t, lower) for t in texts]
-        self.counts = np.array([len(x) for x in lists], np.int64)
-        self.ends = np.cumsum(self.counts)
-        self.starts = self.ends - self.counts
-        self.doc = np.repeat(np.arange(len(lists), dtype=np.int32), self.counts)
-        self.hash = hashes([w for x in lists for w in x])
+        self._place(hashes([w for x in lists for w in x]), np.array([len(x) for x in lists], np.int64))
         self.lists = lists if keep else None
 
+    def _place(self, hash: np.ndarray, counts: np.ndarray) -> None:
+        self.hash, self.counts = hash, counts
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+
+    @classmethod
+    def of(cls, hash: np.ndarray, counts: np.ndarray) -> Words:
+        """From the hashes of all words in a row, and how many each document has."""
+        out = cls.__new__(cls)
+        out._place(hash, counts)
+        out.lists = None
+        return out
+
     def room(self, n: int) -> np.ndarray:
         """Whether n words of one document start at each position."""
         return np.arange(len(self.hash)) + n <= self.ends[self.doc]

@@ -2,26 +2,28 @@
 
 Suffixes (word positions of documents) are put into suffix trees that are partitioned by prefix.
 
-1. Suffixes that can't repeat are left out: of the word sequences of half a window's length in a window
-   the one with the least hash is its anchor; equal windows have equal anchors, so only windows whose
-   anchor occurs in several documents are looked at further. For each of their windows a shard of the
-   windows' hashes finds out whether it repeats, and whether it is preceded by different words.
+1. Documents are taken up in chunks, their words as places in the chunk's vocabulary of hashes. Suffixes that
+   can't repeat are left out: of the word sequences of half a window's length in a window the one with the
+   least hash is its anchor; equal windows have equal anchors, so only windows whose anchor occurs in several
+   documents are looked at further. Shards of the anchors' hashes find these out, and then shards of
+   the windows' hashes whether a window repeats, and whether different words precede it.
 2. A suffix begins where a repeated window has different words before it (a maximal repeat begins there),
-   and at content-chosen places in between, one at least among as many windows as a window has words. It
-   ends where its windows stop to repeat, or after ``most`` words, three windows; what is longer goes
-   on at the next such place, which all its copies share.
+   and at content-chosen places in between, one at least in half a window. It ends where its windows stop
+   to repeat, or after ``most`` words, one and a half windows; what is longer goes on at the next such
+   place, which all its copies share.
 3. Suffixes are grouped by their first words; a group that is too large for a task is split by longer
    prefixes, up to a window's length. A chunk of documents sends equal suffixes once, so that a passage of
    a third of all documents is one suffix a chunk. Each group builds its suffix tree: suffixes in the order
    of their words, depths of common prefixes, nodes. A node has its depth and the least id below it.
 4. A document loses, from each of its suffixes, as many words as the deepest node above it has that has a
-   smaller id below. Nodes preceded by different words are the maximal repeats (``maximal_repeats``).
+   smaller id below. Nodes preceded by different words are the maximal repeats (``maximal_repeats``). Only
+   texts that lose words are read again.
 
 Texts with fewer words than a window, null and empty texts lose nothing; an empty table gives no rows.
 Texts of any length are taken whole, a long one as a chunk of its own. Rows with a null id neither lose
 words nor take any from others. Rows that share an id take nothing from each other, and each has its
-own result. Columns other than doc_id and text are only passed through, whatever their names. Words and
-windows are equal if their 64-bit hashes are.
+own result. Columns other than doc_id and text are only passed through, whatever their names. Windows
+are equal if their 64-bit hashes are; these are made of words' hashes of 48 bits, of which the trees compare 40.
 """
 
 from __future__ import annotations
@@ -38,10 +40,13 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm import packing
 from vertexloom.llm.packing import Words, mix
+from vertexloom.llm.prefilter import maybe
 from vertexloom.llm.workspace import Workspace
 
 #: Windows of a shard, and words of a group's suffixes, about.
-SHARD_WINDOWS, GROUP_WORDS = 2_000_000, 4_000_000
+SHARD_WINDOWS, GROUP_WORDS = 2_000_000, 8_000_000
+#: Bytes of text of a chunk, whose equal windows and suffixes are sent once; bits of words' hashes that chunks and trees drop.
+CHUNK_BYTES, CHUNK_DROPS, TREE_DROPS = 4 << 20, 16, 8
 
 
 def _anchors(words: Words, window: int, anchor: int) -> np.ndarray:
@@ -68,22 +73,36 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-SCANNED = pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "n_words": pa.int64(), "kept_sha256": pa.string(), "anchors": pa.list_(pa.int64())})
+SCANNED = "doc_id long, text_hash long, n_words long, kept_sha256 string, chunk long, ids binary, hashes binary, vocabulary binary, words binary, lengths binary"
+CHUNK = ("chunk", "ids", "hashes", "vocabulary", "words", "lengths")
 
 
-def scan(docs: DataFrame, window: int = 50) -> DataFrame:
-    """For each row: number of words, digest of all words, and its windows' distinct anchors."""
-    anchor = max(1, window // 2)
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema({name: kinds[kind] for name, kind in (c.split() for c in ddl.split(", "))})
 
-    def run(chunk: pa.RecordBatch) -> Iterator[dict]:
-        words = Words(packing.text_bytes(chunk.column(2)), lower=False, keep=True)
-        ok = words.room(window)
-        keys, ends = packing.distinct_sets(_anchors(words, window, anchor)[ok], words.doc[ok], chunk.num_rows)
-        anchors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packing.signed(keys)))
-        yield {"doc_id": chunk.column(0), "text_hash": chunk.column(1), "n_words": words.counts, "kept_sha256": [_digest(x) for x in words.lists], "anchors": anchors}
 
-    schema = "doc_id long, text_hash long, n_words long, kept_sha256 string, anchors array<long>"
-    return _keyed(docs).mapInArrow(packing.map_chunks(run, 2, SCANNED), schema)
+def scan(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: for each row of ``docs`` the number and the digest of its words; and chunks of them,
+    in which rows with a null id have no words."""
+    schema = _schema(SCANNED)
+
+    def out(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for chunk in packing.chunks(batches, 2, CHUNK_BYTES):
+            lists = [packing.words_of(t, False) for t in packing.text_bytes(chunk.column(2))]
+            yield out(len(lists), doc_id=chunk.column(0), text_hash=chunk.column(1), n_words=[len(x) for x in lists], kept_sha256=[_digest(x) for x in lists])
+            ids, hashes = chunk.column(0).fill_null(0).to_numpy(), chunk.column(1).to_numpy()
+            lists = [x if ok else [] for x, ok in zip(lists, chunk.column(0).is_valid().to_pylist())]
+            vocabulary, words = np.unique(packing.hashes([w for x in lists for w in x]) >> np.uint64(CHUNK_DROPS), return_inverse=True)
+            lengths = np.array([len(x) for x in lists], np.int64)
+            yield out(1, chunk=[number], ids=[packing.pack(ids)], hashes=[packing.pack(hashes)], vocabulary=[packing.pack_sorted(vocabulary)], words=[packing.pack_ints(words)], lengths=[packing.pack_ints(lengths)])
+            number += 1
+
+    return _keyed(docs).mapInArrow(run, SCANNED)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -91,24 +110,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), "text")
 
 
-def repeated_anchors(scanned: DataFrame) -> DataFrame:
-    """The anchors of each row that occur under several ids."""
-    each = scanned.filter("doc_id is not null").select("doc_id", "text_hash", F.explode("anchors").alias("anchor"))
-    ends = each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    several = ends.filter("least < most").select("anchor")
-    return each.join(several, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list("anchor").alias("anchors"))
+class _Anchors:
+    """The words of a chunk, and its windows' anchors: the distinct ones, and whether several of its ids have them."""
+
+    def __init__(self, row: dict, window: int):
+        self.vocabulary, self.place = packing.unpack_sorted(row["vocabulary"]), packing.unpack_ints(row["words"]).astype(np.int64)
+        self.words = words = Words.of(mix(self.vocabulary)[self.place], packing.unpack_ints(row["lengths"]).astype(np.int64))
+        self.ids = packing.unpack(row["ids"], "<i8")
+        self.at = np.flatnonzero(words.room(window))
+        self.keys, self.key = np.unique(_anchors(words, window, max(1, window // 2))[self.at], return_inverse=True)
+        least, most = np.full(len(self.keys), np.iinfo(np.int64).max), np.full(len(self.keys), np.iinfo(np.int64).min)
+        own = self.ids[words.doc[self.at]] if len(self.at) else self.at
+        np.minimum.at(least, self.key, own)
+        np.maximum.at(most, self.key, own)
+        self.several = least < most
 
 
 class _Windows:
     """The windows of a chunk whose anchors repeat: where they start, the distinct ones, and the word before
     each of these: its hash, or 0 if there are several or a text begins."""
 
-    def __init__(self, texts: list[bytes], anchors: list[np.ndarray], window: int):
-        self.words = words = Words(texts, lower=False)
-        tag = mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
-        wanted = np.concatenate([a ^ t for a, t in zip(anchors, tag)]) if len(texts) else np.zeros(0, np.uint64)
-        own = _anchors(words, window, max(1, window // 2)) ^ tag[words.doc]
-        self.at = at = np.flatnonzero(words.room(window) & np.isin(own, wanted))
+    def __init__(self, a: _Anchors, repeats: np.ndarray, window: int):
+        self.chunk, self.words = a, a.words
+        words, self.at = a.words, a.at[repeats[a.key]]
+        at = self.at
         self.keys, first, self.key, count = np.unique(words.ngrams(window)[at], return_index=True, return_inverse=True, return_counts=True)
         self.several = count > 1
         self.before = before = np.where(at > words.starts[words.doc[at]], words.hash[at - 1] | np.uint64(1), np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
@@ -116,104 +141,111 @@ class _Windows:
         self.common[self.key[before != self.common[self.key]]] = 0
 
 
-class _Chunk:
-    """Rows of documents that stay together from one stage to the next, packed as one row."""
-
-    schema = "chunk bigint, doc_id array<bigint>, text_hash array<bigint>, texts binary, ends array<bigint>, anchors binary, cuts array<bigint>"
-    arrow = pa.schema({"chunk": pa.int64(), "doc_id": pa.list_(pa.int64()), "text_hash": pa.list_(pa.int64()), "texts": pa.binary(), "ends": pa.list_(pa.int64()), "anchors": pa.binary(), "cuts": pa.list_(pa.int64())})
-
-    def __init__(self, row: dict):
-        self.doc_id, self.text_hash = np.array(row["doc_id"], np.int64), row["text_hash"]
-        data, ends = packing.unpack(row["texts"], "u1").tobytes(), [0, *row["ends"]]
-        self.texts = [data[a:b] for a, b in zip(ends, ends[1:])]
-        keys, cuts = packing.unpack(row["anchors"], "<u8"), [0, *row["cuts"]]
-        self.anchors = [keys[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def windows(self, window: int) -> _Windows:
-        return _Windows(self.texts, self.anchors, window)
-
-
-def _gather(rows: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text_hash, text, anchors)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for chunk in packing.chunks(batches, 2):
-            texts = packing.text_bytes(chunk.column(2))
-            anchors = chunk.column(3)
-            row = {
-                "chunk": number, "doc_id": chunk.column(0).to_pylist(), "text_hash": chunk.column(1).to_pylist(),
-                "texts": packing.pack(np.frombuffer(b"".join(texts), "u1"), 3), "ends": np.cumsum([len(t) for t in texts]).tolist(),
-                "anchors": packing.pack(anchors.flatten().to_numpy()), "cuts": np.cumsum(anchors.value_lengths().to_numpy()).tolist(),
-            }
-            yield pa.RecordBatch.from_pylist([row], schema=_Chunk.arrow)
-            number += 1
-
-    return rows.mapInArrow(run, _Chunk.schema)
+def _bits(rows: list[dict], column: str, keys: np.ndarray, shards: int, width: int = 1) -> np.ndarray:
+    """``width`` bits for each of ascending keys, from the answers of the shards."""
+    bits, place = np.zeros((len(keys), width), bool), dict(packing.by_shard(keys, shards))
+    for r in rows:
+        if r[column] is not None:
+            at = place[r["shard"]]
+            bits[at] = packing.unpack_bits(r[column], width * (at.stop - at.start)).reshape(-1, width)
+    return bits
 
 
-def _ask(gathered: DataFrame, window: int, shards: int) -> DataFrame:
-    """For each chunk and shard its distinct windows."""
-    schema = pa.schema({"chunk": pa.int64(), "shard": pa.int64(), "keys": pa.binary(), "common": pa.binary(), "several": pa.binary()})
+def _ask_anchors(chunks: DataFrame, window: int, shards: int) -> DataFrame:
+    """For each chunk and shard its distinct anchors."""
+    schema = _schema("chunk long, shard long, keys binary, several binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                w = _Chunk(row).windows(window)
-                rows = [{"chunk": row["chunk"], "shard": s, "keys": packing.pack_sorted(w.keys[a]), "common": packing.pack(w.common[a]), "several": packing.pack_bits(w.several[a])} for s, a in packing.by_shard(w.keys, shards)]
+                a = _Anchors(row, window)
+                rows = [{"chunk": row["chunk"], "shard": s, "keys": packing.pack_sorted(a.keys[k]), "several": packing.pack_bits(a.several[k])} for s, k in packing.by_shard(a.keys, shards)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return gathered.mapInArrow(run, "chunk long, shard long, keys binary, common binary, several binary")
+    return chunks.mapInArrow(run, "chunk long, shard long, keys binary, several binary")
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """For each chunk, two bits for each of its windows: it repeats; it also has different words before it."""
-    rows = group.to_pylist()
+def _grouped(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The packed keys of all rows: their order, where each new one begins in it, how many rows have it or
+    whether one has it several times, and the cuts between rows."""
     keys = [packing.unpack_sorted(r["keys"]) for r in rows]
-    common = np.concatenate([packing.unpack(r["common"], "<u8") for r in rows])
-    several = np.concatenate([packing.unpack_bits(r["several"], len(k)) for r, k in zip(rows, keys)])
-    flat = np.concatenate(keys)
+    flat, several = np.concatenate(keys), np.concatenate([packing.unpack_bits(r["several"], len(k)) for r, k in zip(rows, keys)])
     order = np.argsort(flat, kind="stable")
     new = np.ones(len(flat), bool)
     new[1:] = flat[order][1:] != flat[order][:-1]
     first, node = np.flatnonzero(new), np.cumsum(new) - 1
-    least, most = np.minimum.reduceat(common[order], first), np.maximum.reduceat(common[order], first)
     again = (np.bincount(node) > 1) | np.logical_or.reduceat(several[order], first)
-    bits = np.empty((len(flat), 2), bool)
+    return order, first, node, again, np.cumsum([len(k) for k in keys])[:-1]
+
+
+def _repeated_anchors(group: pa.Table) -> pa.Table:
+    """For each chunk, a bit for each of its anchors: it occurs elsewhere too."""
+    order, _, node, again, cut = _grouped(group.to_pylist())
+    bits = np.empty(len(order), bool)
+    bits[order] = again[node]
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "anchors": pa.array([packing.pack_bits(x) for x in np.split(bits, cut)], pa.binary())})
+
+
+WINDOWS = "chunk long, shard long, keys binary, common binary, several binary"
+
+
+def _ask_windows(window: int, anchor_shards: int, shards: int):
+    """For each chunk and shard the distinct windows whose anchors repeat."""
+    schema = _schema(WINDOWS)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        a = _Anchors(row, window)
+        w = _Windows(a, _bits(answers.to_pylist(), "anchors", a.keys, anchor_shards)[:, 0], window)
+        out = [{"chunk": row["chunk"], "shard": s, "keys": packing.pack_sorted(w.keys[k]), "common": packing.pack(w.common[k]), "several": packing.pack_bits(w.several[k])} for s, k in packing.by_shard(w.keys, shards)]
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _repeats(group: pa.Table) -> pa.Table:
+    """For each chunk, two bits for each of its windows: it repeats; it also has different words before it."""
+    rows = group.to_pylist()
+    order, first, node, again, cut = _grouped(rows)
+    common = np.concatenate([packing.unpack(r["common"], "<u8") for r in rows])[order]
+    least, most = np.minimum.reduceat(common, first), np.maximum.reduceat(common, first)
+    bits = np.empty((len(order), 2), bool)
     bits[order] = np.stack([again, again & ((least == 0) | (least != most))], 1)[node]
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "bits": pa.array([packing.pack_bits(x.ravel()) for x in np.split(bits, cut)], pa.binary())})
+    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "windows": pa.array([packing.pack_bits(x.ravel()) for x in np.split(bits, cut)], pa.binary())})
 
 
-SUFFIXES = "chunk long, place long, n_words long, words binary, index binary, lengths binary, common binary, times binary, doc binary, start binary, id binary"
-_ARROW = pa.schema({k: pa.binary() if t == "binary" else pa.int64() for k, t in (c.split() for c in SUFFIXES.split(", "))})
+SUFFIXES = "chunk long, place long, n_words long, vocabulary binary, words binary, lengths binary, common binary, times binary, doc binary, start binary, id binary"
+_ARROW = _schema(SUFFIXES)
 
 
 class Suffixes:
-    """Distinct suffixes, as word hashes in a row, and where they occur: document (its place in the chunk),
-    first word, and id, those of a suffix in a row."""
+    """Distinct suffixes, their words in a row, as places in the ascending ``vocabulary`` of hashes, and where
+    they occur: document (its place in the chunk), first word, and id, those of a suffix in a row."""
 
-    def __init__(self, words, lengths, common, times, doc, start, id):
-        self.words, self.lengths, self.common, self.times, self.doc, self.start, self.id = words, lengths, common, times, doc, start, id
+    def __init__(self, vocabulary, words, lengths, common, times, doc, start, id):
+        self.vocabulary, self.words, self.lengths, self.common, self.times, self.doc, self.start, self.id = vocabulary, words, lengths, common, times, doc, start, id
 
     @staticmethod
     def unpacked(row: dict) -> Suffixes:
-        words = packing.unpack_sorted(row["words"])[packing.unpack_ints(row["index"]).astype(np.int64)]
-        lengths, times, doc, start = (packing.unpack_ints(row[k]).astype(np.int64) for k in ("lengths", "times", "doc", "start"))
-        return Suffixes(words, lengths, packing.unpack(row["common"], "<u8"), times, doc, start, packing.unpack(row["id"], "<i8"))
+        words, lengths, times, doc, start = (packing.unpack_ints(row[k]).astype(np.int64) for k in ("words", "lengths", "times", "doc", "start"))
+        return Suffixes(packing.unpack_sorted(row["vocabulary"]), words, lengths, packing.unpack(row["common"], "<u8"), times, doc, start, packing.unpack(row["id"], "<i8"))
 
     def some(self, at: np.ndarray) -> Suffixes:
-        """The suffixes at these places."""
-        return Suffixes(self.words[_spans(self.lengths, at)], self.lengths[at], self.common[at], self.times[at], *(x[_spans(self.times, at)] for x in (self.doc, self.start, self.id)))
+        """The suffixes at these places, with the words that they have."""
+        words = self.words[_spans(self.lengths, at)]
+        used = np.zeros(len(self.vocabulary), bool)
+        used[words] = True
+        words = (np.cumsum(used, dtype=np.int32) - 1)[words]
+        return Suffixes(self.vocabulary[used], words, self.lengths[at], self.common[at], self.times[at], *(x[_spans(self.times, at)] for x in (self.doc, self.start, self.id)))
 
     def packed(self, chunk: int, place: int) -> dict:
-        words, index = np.unique(self.words, return_inverse=True)
-        numbers = {k: packing.pack_ints(getattr(self, k)) for k in ("lengths", "times", "doc", "start")}
-        return {"chunk": chunk, "place": place, "n_words": len(index), "words": packing.pack_sorted(words), "index": packing.pack_ints(index), "common": packing.pack(self.common), "id": packing.pack(self.id), **numbers}
+        numbers = {k: packing.pack_ints(getattr(self, k)) for k in ("words", "lengths", "times", "doc", "start")}
+        return {"chunk": chunk, "place": place, "n_words": len(self.words), "vocabulary": packing.pack_sorted(self.vocabulary), "common": packing.pack(self.common), "id": packing.pack(self.id), **numbers}
 
     def prefixes(self, n: int) -> np.ndarray:
         """The hash of the first n words of each suffix."""
-        return packing.ngram_hashes(self.words, n)[np.cumsum(self.lengths) - self.lengths]
+        begin = np.cumsum(self.lengths) - self.lengths
+        return packing.ngram_hashes(self.vocabulary[self.words[begin[:, None] + np.arange(n)]].ravel(), n)[::n]
 
     def placed(self, chunk: int, prefix: int, place: int, parts: int) -> list[dict]:
         """Rows by the place that the prefix chooses, of ``parts`` below ``place``."""
@@ -230,25 +262,26 @@ def _spans(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
-def _chosen(window: int, most: int, shards: int, groups: int):
+def _chosen(window: int, most: int, anchor_shards: int, shards: int, groups: int):
     """The suffixes of a chunk, given which of its windows repeat."""
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        chunk = _Chunk(next(r for r in rows if r["texts"] is not None))
-        w = chunk.windows(window)
-        bits, place = np.zeros((len(w.keys), 2), bool), dict(packing.by_shard(w.keys, shards))
-        for r in rows:
-            if r["texts"] is None:
-                at = place[r["shard"]]
-                bits[at] = packing.unpack_bits(r["bits"], 2 * (at.stop - at.start)).reshape(-1, 2)
-        found = suffixes_of(w, bits[:, 0], bits[:, 1], np.array(chunk.doc_id), window, most)
-        return pa.Table.from_pylist(found.placed(rows[0]["chunk"], max(1, window // 4), 0, groups) if len(found.lengths) else [], schema=_ARROW)
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, rows = chunk.to_pylist()[0], answers.to_pylist()
+        a = _Anchors(row, window)
+        w = _Windows(a, _bits(rows, "anchors", a.keys, anchor_shards)[:, 0], window)
+        again, branching = _bits(rows, "windows", w.keys, shards, 2).T
+        found = suffixes_of(w, again, branching, window, most)
+        return pa.Table.from_pylist(found.placed(row["chunk"], max(1, window // 4), 0, groups) if len(found.lengths) else [], schema=_ARROW)
 
     return run
 
 
-def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, ids: np.ndarray, window: int, most: int) -> Suffixes:
+def _span(window: int) -> int:
+    """Windows in a row of which one at least begins a suffix."""
+    return max(1, window // 2)
+
+
+def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, window: int, most: int) -> Suffixes:
     words, at = w.words, w.at[again[w.key]]
     key = w.key[again[w.key]]
     n = len(words.hash)
@@ -258,9 +291,10 @@ def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, ids: np.n
     value[at] = mix(w.keys[key]) >> np.uint64(1)
     begins = np.zeros(n, bool)
     begins[at] = branching[key]
-    # The least of some ``window`` windows in a row: wherever these repeat elsewhere, it is so there too.
-    low = _slide(value, window, np.minimum)
-    low = _slide(np.concatenate([np.zeros(window - 1, np.uint64), low]), window, np.maximum)[:n]
+    # The least of some ``span`` windows in a row: wherever these repeat elsewhere, it is so there too.
+    span = _span(window)
+    low = _slide(value, span, np.minimum)
+    low = _slide(np.concatenate([np.zeros(span - 1, np.uint64), low]), span, np.maximum)[:n]
     repeats = np.zeros(n + 1, bool)
     repeats[at] = True
     begins |= repeats[:n] & (value == low)
@@ -283,7 +317,9 @@ def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, ids: np.n
     common[(np.cumsum(new) - 1)[before[start] != np.repeat(common, times)]] = 0
     flat = np.arange(length[first].sum()) + np.repeat(start[first] - (np.cumsum(length[first]) - length[first]), length[first])
     doc = words.doc[start]
-    return Suffixes(words.hash[flat], length[first], common, times, doc.astype(np.int64), start - words.starts[doc] if len(start) else start, ids[doc] if len(start) else start)
+    vocabulary, word = np.unique(w.chunk.vocabulary >> np.uint64(TREE_DROPS), return_inverse=True)
+    ids = w.chunk.ids
+    return Suffixes(vocabulary, word.astype(np.int32)[w.chunk.place][flat], length[first], common, times, doc.astype(np.int64), start - words.starts[doc] if len(start) else start, ids[doc] if len(start) else start)
 
 
 class SuffixTree:
@@ -292,12 +328,11 @@ class SuffixTree:
 
     def __init__(self, s: Suffixes, window: int):
         self.suffixes, n = s, len(s.lengths)
-        _, rank = np.unique(s.words, return_inverse=True)
         width = int(s.lengths.max())
         rows = np.zeros((n, width), ">u4")
         begin = np.cumsum(s.lengths) - s.lengths
         row = np.repeat(np.arange(n), s.lengths)
-        rows[row, np.arange(len(row)) - begin[row]] = rank + 1
+        rows[row, np.arange(len(row)) - begin[row]] = s.words + 1
         self.order = order = np.argsort(rows.view(f"S{4 * width}").ravel(), kind="stable")
         rows = rows[order]
         same = (rows[1:] == rows[:-1]) & (rows[1:] != 0)
@@ -385,7 +420,10 @@ class SuffixTree:
 def _joined(rows: list[dict]) -> tuple[Suffixes, list[int]]:
     """The suffixes of several chunks, and how many occurrences each has."""
     each = [Suffixes.unpacked(r) for r in rows]
-    return Suffixes(*(np.concatenate([getattr(x, k) for x in each]) for k in ("words", "lengths", "common", "times", "doc", "start", "id"))), [len(x.id) for x in each]
+    vocabulary, place = np.unique(np.concatenate([x.vocabulary for x in each]), return_inverse=True)
+    first = np.cumsum([0] + [len(x.vocabulary) for x in each])
+    words = np.concatenate([place[x.words + a] for x, a in zip(each, first)])
+    return Suffixes(vocabulary, words, *(np.concatenate([getattr(x, k) for x in each]) for k in ("lengths", "common", "times", "doc", "start", "id"))), [len(x.id) for x in each]
 
 
 def _cuts(window: int):
@@ -418,30 +456,44 @@ def _nodes(window: int, most: int):
     return run
 
 
-REWRITTEN = "doc_id long, text_hash long, n_removed long, kept string"
+LOST = "doc_id long, text_hash long, n_removed long, spans binary"
 
 
-def _rewrite(group: pa.Table) -> pa.Table:
-    """The texts of a chunk that lose words."""
+def _lost(group: pa.Table) -> pa.Table:
+    """The documents of a chunk that lose words, and which: first word and end of each span, in a row."""
     rows = group.to_pylist()
-    chunk = _Chunk(next(r for r in rows if r["texts"] is not None))
-    lists = [packing.words_of(t, False) for t in chunk.texts]
-    counts = np.array([len(x) for x in lists], np.int64)
+    row = next(r for r in rows if r["ids"] is not None)
+    ids, hashes, counts = packing.unpack(row["ids"], "<i8"), packing.unpack(row["hashes"], "<i8"), packing.unpack_ints(row["lengths"]).astype(np.int64)
     starts = np.cumsum(counts) - counts
     edge = np.zeros(int(counts.sum()) + 1, np.int64)
     for r in rows:
-        if r["texts"] is None:
+        if r["ids"] is None:
             doc, start, length = (packing.unpack_ints(r[k]).astype(np.int64) for k in ("doc", "start", "length"))
             np.add.at(edge, starts[doc] + start, 1)
             np.add.at(edge, starts[doc] + start + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
     out = []
-    for i, (words, a, n) in enumerate(zip(lists, starts.tolist(), counts.tolist())):
-        drop = gone[a : a + n]
-        if drop.any():
-            kept = b" ".join(w for w, x in zip(words, drop.tolist()) if not x)
-            out.append({"doc_id": int(chunk.doc_id[i]), "text_hash": chunk.text_hash[i], "n_removed": int(drop.sum()), "kept": kept.decode("utf-8", "replace")})
-    return pa.Table.from_pylist(out, schema=pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}))
+    for i, (a, n) in enumerate(zip(starts.tolist(), counts.tolist())):
+        spans = np.flatnonzero(np.diff(gone[a : a + n], prepend=False, append=False))
+        if len(spans):
+            out.append({"doc_id": int(ids[i]), "text_hash": int(hashes[i]), "n_removed": int((spans[1::2] - spans[::2]).sum()), "spans": packing.pack_ints(spans)})
+    return pa.Table.from_pylist(out, schema=_schema(LOST))
+
+
+def _rewritten(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_removed, spans, text) -> the words kept, joined by spaces, instead of the spans and the text."""
+    schema = _schema("doc_id long, text_hash long, n_removed long, kept string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in packing.chunks(batches, 4):
+            kept = []
+            for packed, text in zip(chunk.column(3).to_pylist(), packing.text_bytes(chunk.column(4))):
+                words, cut = packing.words_of(text, False), [0, *packing.unpack_ints(packed).tolist()]
+                rest = [w for a, b in zip(cut[::2], [*cut[1::2], len(words)]) for w in words[a:b]]
+                kept.append(b" ".join(rest).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*chunk.columns[:3], pa.array(kept, pa.string())], schema=schema)
+
+    return rows.select("doc_id", "text_hash", "n_removed", "spans", "text").mapInArrow(run, "doc_id long, text_hash long, n_removed long, kept string")
 
 
 def _split(suffixes: DataFrame, work: Workspace, window: int) -> DataFrame:
@@ -461,55 +513,73 @@ def _split(suffixes: DataFrame, work: Workspace, window: int) -> DataFrame:
     return suffixes
 
 
-def _trees(docs: DataFrame, scanned: DataFrame, work: Workspace, window: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the documents in which windows may repeat, and their suffixes by group."""
-    repeated = work.save(repeated_anchors(scanned), "repeated")
-    total = repeated.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    # An anchor stands for some windows: for as many as half the anchors' span in the mean.
-    windows = total * (window / 4)
-    shards, groups = max(1, round(windows / SHARD_WINDOWS)), max(1, round(windows * 8 / GROUP_WORDS))
-    wanted = _keyed(docs).join(repeated, ["doc_id", "text_hash"])
-    gathered = work.save(_gather(wanted.select("doc_id", "text_hash", "text", "anchors")), "chunks")
-    bits = _ask(gathered, window, shards).groupBy("shard").applyInArrow(_repeats, "chunk long, shard long, bits binary")
-    both = gathered.unionByName(bits, allowMissingColumns=True)
-    suffixes = work.save(both.groupBy("chunk").applyInArrow(_chosen(window, most, shards, groups), SUFFIXES), "suffixes0")
-    return gathered, _split(suffixes, work, window)
-
-
-def rewritten(docs: DataFrame, scanned: DataFrame, work: Workspace, window: int = 50, most: int | None = None) -> DataFrame:
-    """The documents that lose words: number of words lost, and the words kept, joined by spaces."""
-    gathered, suffixes = _trees(docs, scanned, work, window, max(most or 0, 3 * window))
+def _scanned(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written: the rows of documents, the chunks without their words, and, until the suffixes are known, with them."""
+    both = work.save(scan(docs), "scanned")
+    rows = work.save(both.filter("words is null").select("doc_id", "text_hash", "n_words", "kept_sha256"), "rows")
+    chunks = both.filter("words is not null")
+    return rows, work.save(chunks.select("chunk", "ids", "hashes", "lengths"), "slim"), chunks.select(*CHUNK)
+
+
+def _suffixes(rows: DataFrame, chunks: DataFrame, work: Workspace, window: int, most: int) -> DataFrame:
+    """The suffixes of all chunks, by group."""
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    # Of the words one in a quarter of a window begins an anchor.
+    anchor_shards = max(1, round(total / max(1, window // 4) / SHARD_WINDOWS))
+    shards, groups = max(1, round(total / 2 / SHARD_WINDOWS)), max(1, round(total * 2 / GROUP_WORDS))
+    anchors = _ask_anchors(chunks, window, anchor_shards).groupBy("shard").applyInArrow(_repeated_anchors, "chunk long, shard long, anchors binary")
+    anchors = work.save(anchors, "anchors")
+    # Both times the chunks are shuffled alike, so that Spark does it once.
+    by_chunk = chunks.groupBy("chunk")
+    windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(window, anchor_shards, shards), WINDOWS)
+    bits = windows.groupBy("shard").applyInArrow(_repeats, "chunk long, shard long, windows binary")
+    answers = anchors.unionByName(bits, allowMissingColumns=True)
+    suffixes = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_chosen(window, most, anchor_shards, shards, groups), SUFFIXES)
+    suffixes = work.save(suffixes, "suffixes0")
+    work.drop("scanned")
+    return _split(suffixes, work, window)
+
+
+def _cut(docs: DataFrame, rows: DataFrame, slim: DataFrame, chunks: DataFrame, work: Workspace, window: int, most: int | None) -> DataFrame:
+    """The documents that lose words: doc_id, text_hash, n_removed, kept."""
+    suffixes = _suffixes(rows, chunks, work, window, max(most or 0, window + _span(window)))
     cuts = suffixes.groupBy("place").applyInArrow(_cuts(window), "chunk long, doc binary, start binary, length binary")
-    return gathered.unionByName(cuts, allowMissingColumns=True).groupBy("chunk").applyInArrow(_rewrite, REWRITTEN)
+    lost = work.save(slim.unionByName(cuts, allowMissingColumns=True).groupBy("chunk").applyInArrow(_lost, LOST), "lost")
+    lost = lost.dropDuplicates(["doc_id", "text_hash"])
+    texts = maybe(_keyed(docs), "text_hash", lost.select("text_hash").distinct(), lost.count(), "may").filter("may").drop("may")
+    return _rewritten(texts.join(lost, ["doc_id", "text_hash"])).dropDuplicates(["doc_id", "text_hash"])
 
 
 def maximal_repeats(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
     """Word sequences of ``window`` or more words in several documents that occur fewer times with any word
     more before or behind: n_words, n_times (occurrences), doc_id and start (the first word's place) of one in
-    the document with the least id. Depths end at ``most`` words (three windows at least); such rows are ``cut``."""
-    work, most = Workspace(docs.sparkSession, "repeats"), max(most or 0, 3 * window)
-    _, suffixes = _trees(docs, work.save(scan(docs, window), "scanned"), work, window, most)
+    the document with the least id. Depths end at ``most`` words (one and a half windows at least); such rows are ``cut``."""
+    work, most = Workspace(docs.sparkSession, "repeats"), max(most or 0, window + _span(window))
+    rows, _, chunks = _scanned(docs, work)
+    suffixes = _suffixes(rows, chunks, work, window, most)
     return suffixes.groupBy("place").applyInArrow(_nodes(window, most), REPEATS)
 
 
-def digests(docs: DataFrame, window: int = 50) -> DataFrame:
+def digests(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     work = Workspace(docs.sparkSession, "substrings")
-    scanned = work.save(scan(docs, window), "scanned")
-    cut = rewritten(docs, scanned, work, window).select("doc_id", "text_hash", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
-    cut = cut.dropDuplicates(["doc_id", "text_hash"])
-    return scanned.drop("anchors").join(cut, ["doc_id", "text_hash"], "left").select(
+    rows, slim, chunks = _scanned(docs, work)
+    cut = _cut(docs, rows, slim, chunks, work, window, most).select("doc_id", "text_hash", "n_removed", F.sha2("kept", 256).alias("cut_sha256"))
+    return rows.join(cut, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256")
     )
 
 
-def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
     """``docs`` with each text that loses words replaced by the words kept; all columns and rows stay."""
     work = Workspace(docs.sparkSession, "substrings")
-    scanned = work.save(scan(docs, window), "scanned")
-    cut = work.save(rewritten(docs, scanned, work, window).select("doc_id", "text_hash", "kept").dropDuplicates(["doc_id", "text_hash"]), "cut")
-    own = uuid.uuid4().hex  # no column of docs has this name
-    cut = cut.select(F.struct("doc_id", "text_hash", "kept").alias(own))
-    hit = (F.col("doc_id") == F.col(f"{own}.doc_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(f"{own}.text_hash"))
-    joined = docs.join(cut, hit, "left")
-    return joined.select(*[F.coalesce(f"{own}.kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cut = work.save(_cut(docs, *_scanned(docs, work), work, window, most), "cut")
+    own, hashed = uuid.uuid4().hex, uuid.uuid4().hex  # no columns of docs have these names
+    rows = docs.withColumn(hashed, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    rows = maybe(rows, hashed, cut.select("text_hash").distinct(), cut.count(), own)
+    found = cut.select(F.struct("doc_id", "text_hash", "kept").alias("_cut"))
+    # Only rows that may lose words are shuffled.
+    hit = (F.col("doc_id") == F.col("_cut.doc_id")) & (F.col(hashed) == F.col("_cut.text_hash"))
+    changed = rows.filter(own).select(F.struct("*").alias("_row"), "doc_id", hashed).join(found, hit, "left")
+    changed = changed.select(*[F.coalesce("_cut.kept", "_row.text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return rows.filter(~F.col(own)).select(*docs.columns).unionByName(changed)
