@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -67,8 +68,42 @@ def test_label_model_finds_voters_worth():
     slips = y ^ (rng.random(4000) < 0.03)
     m = LabelModel(votes, slips)
     assert m.fires_toxic[0] > 0.7 and m.fires_clean[0] < 0.05 and abs(m.fires_toxic[2] - m.fires_clean[2]) < 0.1
-    assert m.share[0] < 0.6 < m.share[2]
-    assert ((m.labels > 0.5) != y).mean() < 0.03
+    # The first two say the same: one depends on the other and adds nothing of its own.
+    assert sorted(m.parent[:2].tolist()) in ([-1, 0], [-1, 1]) and m.parent[2] == -1
+    alone = LabelModel(votes[:, [0, 2, 3]], slips)
+    assert abs(m.posterior(votes) - alone.posterior(votes[:, [0, 2, 3]])).max() < 0.02
+    assert 0.95 < m.given_right[0] < 0.99 and ((m.labels > 0.5) != y).mean() < 0.03
+
+
+def test_label_model_is_the_product_of_its_rates():
+    rng = np.random.default_rng(5)
+    y = rng.random(600) < 0.3
+    a = rng.random(600) < np.where(y, 0.7, 0.1)
+    votes = np.stack([a, np.where(rng.random(600) < 0.8, a, rng.random(600) < 0.2), rng.random(600) < np.where(y, 0.5, 0.05)], 1).astype(float)
+    m = LabelModel(votes, y)
+    for v, p in zip(votes[:40], m.posterior(votes[:40])):
+        like = [1 - m.prior, m.prior]
+        for label in (0, 1):
+            j = m.joint[label]
+            for i in range(3):
+                up = m.parent[i]
+                if up < 0:
+                    rate = j[i, i]
+                else:
+                    both, other = min(j[i, up], j[i, i], j[up, up]), j[up, up]
+                    rate = both / other if v[up] else (j[i, i] - both) / (1 - other)
+                like[label] *= rate if v[i] else 1 - rate
+        assert abs(p - like[1] / sum(like)) < 1e-6
+
+
+def test_scores_equal_a_plain_sum():
+    rng = random.Random(3)
+    weights = {"idi-": 1.5, "idiot": 0.5, "wor-": -0.3, "zz": 2.0}
+    model = toxicity.Model(weights, -1.0)
+    texts = ["", "idiot idiots worm zz zz", "w0rd idi", "x " * 50] + [" ".join(rng.choice(["idiot", "idiom", "word", "zz", "a"]) for _ in range(9)) for _ in range(30)]
+    for t, got in zip(texts, model.scores(texts)):
+        hits = {f for w in toxicity.WORD.findall(t) for f in toxicity.features_of_word(w) if f in weights}
+        assert abs(got - 1 / (1 + math.exp(1.0 - sum(weights[f] for f in hits)))) < 1e-9
 
 
 def test_linear_fit_separates():

@@ -3,16 +3,20 @@
 Voters look at the words of a text: lexicon voters at fixed words, pattern voters at beginnings of
 words and whole words that occur more often in the labelled toxic texts. A voter fires or not. The
 label model has a hidden label for each text and, given the label, a firing rate for each voter (its
-accuracy) and correlations between voters; it is fitted by expectation maximisation over the
-votes. Correlated voters share their weight. A logistic classifier over word features, with a
-quadratic penalty, is then trained on the posterior labels and scores every text.
+accuracy). Correlations are parameters too: voters that depend on each other beyond the label are joined in
+a forest, and a voter's rate is then given by the label and its parent's vote, so that two voters that say
+the same count once. Rates, forest and the accuracy of the labels that were given, which are one more
+vote, are fitted by expectation maximisation. A logistic classifier over word features, with a quadratic
+penalty, is then trained on the posterior labels and scores every text.
 
 Voters and models are fitted on at most ``max_rows`` labelled rows, those with the least hash of
-their id; labels serve to choose voters and to start the fit. All else covers every row and the
-whole of its text. Texts that are null or empty have the score of a text without features. With
-labelled rows of one kind only no voter is chosen, and every text has the share of toxic rows as its
-score; without any labelled row the lexicon alone scores, each of its words alike. Labels that are null
-are left out; of several for one id the largest counts.
+their id, with at most ``max_candidates`` features looked at, ``max_voters`` pattern voters and
+``max_features`` features of the classifier; labels serve to choose voters and to start the fit. All else
+covers every row and the whole of its text. Texts that are null or empty have the score of a text without
+features; rows that repeat are scored each for itself; an empty table gives no rows. With labelled rows of
+one kind only no voter is chosen, and every text has the share of toxic rows as its score; without any
+labelled row the lexicon alone scores, each of its words alike. Labels that are null are left out; of
+several for one id the largest counts. Features of equal ratio are ranked by name.
 """
 
 from __future__ import annotations
@@ -42,9 +46,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
 #: Bytes of text taken up at once; words whose features a worker remembers before it starts anew.
 CHUNK_BYTES, KNOWN_WORDS = 1 << 20, 100_000
-#: Bounds of the model: labelled rows, candidates, voters, features of the classifier. Features
-#: need a log-likelihood ratio that chance gives one in 100,000.
-MAX_ROWS, CANDIDATES, MAX_VOTERS, MAX_FEATURES, MIN_RATIO = 20_000, 4096, 128, 256, 20
+#: The log-likelihood ratio that a feature needs; chance gives it to one in 100,000.
+MIN_RATIO = 20
 
 
 def features_of_word(word: str) -> list[str]:
@@ -74,36 +77,98 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 class LabelModel:
-    """Rates of voters given the hidden label, and what part of its evidence each voter has for itself.
+    """Voters' rates given the hidden label, a forest of their correlations (``parent``, -1: none), and rates
+    given the label and the parent's vote.
 
-    The annotator who gave the labels is a voter too, of fixed accuracy ``trust``; that ties the
-    hidden label to toxicity and lets the other votes overrule a slip.
+    The labels that were given are a vote too. Its accuracy begins at ``trust``, which counts as much as
+    ``trust_rows`` rows; that ties the hidden label to toxicity and lets the other votes overrule a slip.
     """
 
-    def __init__(self, votes: np.ndarray, given: np.ndarray, trust: float = 0.97, rounds: int = 20):
-        annotator = np.where(given > 0, 1, -1) * np.log(trust / (1 - trust))
-        q = np.where(given > 0, trust, 1 - trust)
-        for _ in range(rounds):
-            self.prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-            self.fires_toxic = (votes.T @ q + 0.5 * self.prior) / (q.sum() + 1)
-            self.fires_clean = (votes.T @ (1 - q) + 0.01) / ((1 - q).sum() + 1)
-            self.share = 1 / (1 + self._correlation(votes, q))
+    def __init__(self, votes: np.ndarray, given: np.ndarray, trust: float = 0.97, trust_rows: int = 200, rounds: int = 20):
+        given = np.asarray(given) > 0
+        q = np.where(given, trust, 1 - trust)
+        for k in range(rounds):
+            self.prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
+            # Of each label: the joint rate of all pairs of voters; a voter's own is on the diagonal.
+            self.joint = [self._joint(votes, w, a) for w, a in ((1 - q, 0.01), (q, 0.5 * self.prior))]
+            self.fires_clean, self.fires_toxic = (np.diag(j).copy() for j in self.joint)
+            if k % 5 == 0:
+                self.parent = self._forest(len(given))
+            self._set_weights()
+            right = [((q if label else 1 - q)[given == bool(label)].sum() + trust * trust_rows) / ((q if label else 1 - q).sum() + trust_rows) for label in (0, 1)]
+            self.given_right = right
+            annotator = np.where(given, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
             q = self.posterior(votes, annotator)
         self.labels = q
 
-    def _correlation(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """For each voter the sum of its clear positive correlations with others among toxic rows."""
-        centred = (votes - self.fires_toxic) * np.sqrt(q)[:, None]
-        cov = centred.T @ centred / max(q.sum(), 1)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = cov / scale[:, None] / scale
-        np.fill_diagonal(rho, 0)
-        return np.where(rho > 0.3, rho, 0).sum(1)
+    @staticmethod
+    def _joint(votes: np.ndarray, weight: np.ndarray, add: float) -> np.ndarray:
+        out = (votes * weight[:, None]).T @ votes
+        out[np.diag_indices(len(out))] += add
+        return np.clip(out / (weight.sum() + 1), 1e-9, 1 - 1e-9).astype(float)
+
+    def _cells(self, label: int) -> list[np.ndarray]:
+        """The rates of (both, only the row's, only the column's, none) for all pairs, given the label."""
+        both, own = self.joint[label], np.diag(self.joint[label])
+        both = np.minimum(both, np.minimum(own[:, None], own))
+        return [np.clip(x, 1e-9, 1) for x in (both, own[:, None] - both, own - both, 1 - own[:, None] - own + both)]
+
+    def _forest(self, n: int) -> np.ndarray:
+        """The forest of the largest mutual information given the label; links that chance gives to fewer than one in 100,000."""
+        info = 0
+        for label, share in ((0, 1 - self.prior), (1, self.prior)):
+            own = np.diag(self.joint[label])
+            alone = (own[:, None] * own, own[:, None] * (1 - own), (1 - own[:, None]) * own, (1 - own[:, None]) * (1 - own))
+            info = info + share * sum(c * np.log(c / np.clip(a, 1e-9, 1)) for c, a in zip(self._cells(label), alone))
+        links = np.argwhere(np.triu(2 * n * info > MIN_RATIO, 1))
+        links = links[np.argsort(-info[tuple(links.T)], kind="stable")]
+        tree, near = list(range(len(info))), [[] for _ in info]
+
+        def root(i: int) -> int:
+            while tree[i] != i:
+                i = tree[i]
+            return i
+
+        for i, j in links.tolist():
+            if (a := root(i)) != (b := root(j)):
+                tree[a] = b
+                near[i].append(j), near[j].append(i)
+        parent, seen = np.full(len(info), -1), set()
+        for first in range(len(info)):
+            todo = [] if first in seen else [first]
+            seen.add(first)
+            while todo:
+                i = todo.pop()
+                for j in near[i]:
+                    if j not in seen:
+                        seen.add(j), todo.append(j)
+                        parent[j] = i
+        return parent
+
+    def _set_weights(self) -> None:
+        """The evidence for toxicity as bias + linear in the votes + for each voter with a parent one for both firing."""
+        logs = []
+        for label in (0, 1):
+            own = np.diag(self.joint[label])
+            has = np.flatnonzero(self.parent >= 0)
+            up = self.parent[has]
+            both, alone, other, none = (c[has, up] for c in self._cells(label))
+            fired = np.stack([own, own], 1)  # given that the parent did not fire, that it did
+            fired[has, 1], fired[has, 0] = both / (both + other), alone / (alone + none)
+            logs.append(np.log(np.stack([1 - fired, fired], 2).clip(1e-6, 1)))
+        ratio = logs[1] - logs[0]  # [voter, parent's vote, own vote]
+        m = len(ratio)
+        self.bias = float(ratio[:, 0, 0].sum())
+        self.linear = ratio[:, 0, 1] - ratio[:, 0, 0]
+        has = np.flatnonzero(self.parent >= 0)
+        np.add.at(self.linear, self.parent[has], (ratio[:, 1, 0] - ratio[:, 0, 0])[has])
+        self.pair = np.zeros(m)
+        self.pair[has] = (ratio[:, 1, 1] - ratio[:, 1, 0] - ratio[:, 0, 1] + ratio[:, 0, 0])[has]
 
     def posterior(self, votes: np.ndarray, annotator: np.ndarray | float = 0.0) -> np.ndarray:
-        fired = np.log(self.fires_toxic / self.fires_clean) * self.share
-        quiet = np.log((1 - self.fires_toxic) / (1 - self.fires_clean)) * self.share
-        z = np.log(self.prior / (1 - self.prior)) + annotator + votes @ (fired - quiet) + quiet.sum()
+        z = np.log(self.prior / (1 - self.prior)) + annotator + self.bias + votes @ self.linear
+        has = np.flatnonzero(self.parent >= 0)
+        z = z + (votes[:, has] * votes[:, self.parent[has]]) @ self.pair[has]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -137,26 +202,42 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 2
 class Model:
     def __init__(self, weights: dict[str, float], bias: float, label_model: LabelModel | None = None, voters: list[str] = ()):
         self.weights, self.bias, self.label_model, self.voters = weights, bias, label_model, voters
-        self._known: dict[str, tuple[str, ...]] = {}
+        self._known: dict[str, list[int]] = {}
+        self._place = self._weight = None
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "label_model": None, "voters": [], "_known": {}}
-
-    def score(self, text: str) -> float:
-        known, hits = self._known, set()
-        for w in set(WORD.findall(text)):
-            f = known.get(w)
-            if f is None:
-                f = known[w] = tuple(x for x in features_of_word(w) if x in self.weights)
-            if f:
-                hits.update(f)
+        return self.__dict__ | {"label_model": None, "voters": [], "_known": {}, "_place": None, "_weight": None}
+
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted features of some words in a row, as places among the weights, and how many each word has."""
+        known = self._known
         if len(known) > KNOWN_WORDS:
             known.clear()
-        z = self.bias + sum(map(self.weights.__getitem__, sorted(hits)))
-        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+        for w in words:
+            if w not in known:
+                known[w] = [self._place[x] for x in features_of_word(w) if x in self._place]
+        each = [known[w] for w in words]
+        return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The score of each text; each feature counts once a text."""
+        if self._place is None:
+            self._place, self._weight = {f: i for i, f in enumerate(self.weights)}, np.array([*self.weights.values(), 0.0])
+        found = [WORD.findall(t) for t in texts]
+        coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        size = max(1, len(coded.dictionary))
+        doc, word = np.divmod(np.unique(doc * size + coded.indices.to_numpy()), size)
+        feature, count = self._features(coded.dictionary.to_pylist())
+        first, n = (np.cumsum(count) - count)[word], count[word]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        hit = np.unique(np.repeat(doc, n) * len(self._weight) + feature[at])
+        doc, feature = np.divmod(hit, len(self._weight))
+        z = self.bias + np.bincount(doc, self._weight[feature], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_candidates: int = 4096, max_voters: int = 128, max_features: int = 256) -> Model:
     """Fit voters, label model and classifier on labelled rows that are not held out."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id"))
@@ -179,10 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         cells.append(F.expr(f"CASE WHEN {a} > 0 THEN ({a}) * ln(({a}) / (({of}) * {share!r}D)) ELSE 0D END"))
     ratio = 2 * (cells[0] + cells[1] + cells[2] + cells[3])
     clear = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
-    top = clear.orderBy(F.desc("ratio"), "feature").limit(CANDIDATES).collect()
-    features = _apart([r["feature"] for r in top])[:MAX_FEATURES]
+    top = clear.orderBy(F.desc("ratio"), "feature").limit(max_candidates).collect()
+    features = _apart([r["feature"] for r in top])[:max_features]
     firm = {r["feature"] for r in top if r["t"] * (n - toxic) > 3 * (r["f"] - r["t"]) * toxic}
-    voters = list(dict.fromkeys([*LEXICON, *[f for f in features if f in firm][:MAX_VOTERS]]))
+    voters = list(dict.fromkeys([*LEXICON, *[f for f in features if f in firm][:max_voters]]))
     wanted = spark.sparkContext.broadcast({f: i for i, f in enumerate(dict.fromkeys([*voters, *features]))})
 
     arrow = pa.schema({"toxic": pa.int32(), "at": pa.list_(pa.int32())})
@@ -232,7 +313,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in packing.chunks(batches, text, CHUNK_BYTES):
-            scores = [shared.value.score(_text(t)) for t in packing.text_bytes(chunk.column(text))]
+            scores = shared.value.scores([_text(t) for t in packing.text_bytes(chunk.column(text))])
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
