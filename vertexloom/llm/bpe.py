@@ -8,8 +8,9 @@ then run from its own first state. No regular expression is involved. The pieces
 UTF-8 bytes; each distinct piece is merged once and cached.
 
 Null texts count as empty: no ids, no offsets, empty bytes. Bytes that are not UTF-8 are replaced
-by U+FFFD before encoding. Repeated rows are encoded each for itself. All other columns pass
-through; a column that clashes with an output name is dropped in favour of the output.
+by U+FFFD before encoding. Repeated rows are encoded each for itself. Of equal merges the leftmost
+comes first. A text of any length is encoded whole, in slices that end where a piece ends; an empty table
+gives no rows. All other columns pass through; a column that clashes with an output name is dropped in favour of the output.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ Words are lower-cased (A-Z). An item with fewer words than a shingle is one shin
 sequence of k words. With ``inside`` it is looked up among the k-word sequences of all texts; without,
 it is only found in texts with just this sequence. Null and empty items are found
 nowhere; null and empty texts contain nothing. Rows with null or repeated ids are treated each for
-itself.
+itself. An item is found from exactly the wanted share on. An empty table of items finds nothing and
+cleans nothing away; an empty table of documents gives no rows. Texts of any length are searched whole, a
+long one as a batch of its own. ``search`` looks at doc_id and text only; ``clean`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
