@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vertexloom import algorithms
 from vertexloom.algorithms import bfs as bfs_function
+from vertexloom.algorithms.bfs import bfs_in_blocks
 from vertexloom.algorithms import get_program, hits, pagerank, sssp, wcc
 from vertexloom.model import Graph
 from vertexloom.operators import partition
@@ -21,10 +22,13 @@ def case(spark, request):
     return g, e, synthetic.PRESETS[request.param][0]
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
+@pytest.fixture(params=["broadcast", "shuffle", "hubs", "hubs shuffle"])
 def placement(request, monkeypatch):
-    if request.param == "shuffle":
+    if "shuffle" in request.param:
         monkeypatch.setattr(engine, "BROADCAST_BYTES", 0)
+    if "hubs" in request.param:
+        monkeypatch.setattr(engine, "HUB_EDGES", 3)
+        monkeypatch.setattr(engine, "HUB_SHARE", 0.05)
 
 
 def column(df, name):
@@ -179,3 +183,21 @@ def test_sums_hear_each_message_once(spark):
         changed=F.col("walks").isNotNull(), start=F.col("id") == 0, max_iter=2,
     )
     assert column(p.run(g).vertices, "walks") == [None, None, None, 2.0]
+
+
+def test_hubs_are_kept_apart(spark, monkeypatch):
+    monkeypatch.setattr(engine, "HUB_EDGES", 3)
+    monkeypatch.setattr(engine, "HUB_SHARE", 0.5)
+    g = graph(spark, 30, [(i, 0) for i in range(1, 30)] + [(0, i) for i in range(1, 4)])
+    placed = engine.Placed(engine.directed_edges(g.edges, "out"), True)
+    assert [r["to"] for r in placed.hubs.collect()] == [0] and [p.count() for p in placed.parts] == [3, 29] and placed.count == 32
+    spread = placed.parts[1].groupBy(F.spark_partition_id()).count().count()
+    assert spread > 1
+    placed.unpersist()
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_bfs_in_blocks_equals_bfs(case, blocks):
+    g, _, _ = case
+    assert column(bfs_in_blocks(g, [0, 7], blocks), "dist") == column(bfs_function(g, [0, 7]), "dist")
+    assert column(bfs_in_blocks(g, [10**6], blocks), "dist") == column(bfs_function(g, [10**6]), "dist")

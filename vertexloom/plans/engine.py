@@ -27,8 +27,12 @@ from vertexloom.plans.workspace import checkpointed
 
 #: A state of at most so many bytes (rows times columns times 16) is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: A level that no search reaches.
+FAR = 1 << 30
 #: A vertex with fewer edges is no hub, however few edges there are in all.
 HUB_EDGES = 100_000
+#: Partitions' shares of all edges that a hub has more than.
+HUB_SHARE = 4.0
 
 
 def directed_edges(edges: DataFrame, direction: str) -> DataFrame:
@@ -50,17 +54,17 @@ def is_small(rows: int, columns: int) -> bool:
 class Placed:
     """Cached edges (frm, to, ...), hashed by receiver if senders can be broadcast, else by sender; those of hubs apart."""
 
-    def __init__(self, edges: DataFrame, small: bool, hub_share: float = 4.0):
+    def __init__(self, edges: DataFrame, small: bool):
         self.small, n = small, partitions(edges.sparkSession)
         end = "to" if small else "frm"
         rows = edges.persist(StorageLevel.MEMORY_AND_DISK)
         degree = rows.groupBy(end).agg(F.count("*").alias("_n"))
         self.count = degree.agg(F.sum("_n")).first()[0] or 0
-        self.hubs = degree.filter(F.col("_n") > max(HUB_EDGES, hub_share * self.count / n)).select(end)
+        self.hubs = degree.filter(F.col("_n") > max(HUB_EDGES, HUB_SHARE * self.count / n)).select(end)
         self.hubs = checkpointed(self.hubs) if self.hubs.take(1) else None
         if self.hubs is None:
             parts = [rows.repartition(n, end)]
-        else:  # at most partitions / hub_share ids
+        else:  # fewer than partitions
             few = F.broadcast(self.hubs)
             parts = [rows.join(few, end, "left_anti").repartition(n, end), rows.join(few, end, "left_semi").repartition(n, "frm", "to")]
         self.parts = [p.persist(StorageLevel.MEMORY_AND_DISK) for p in parts]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vertexloom import graphs
 from vertexloom.algorithms import bfs, hits, pagerank, sssp, wcc
 from vertexloom.algorithms import get_program
-from vertexloom.algorithms.bfs import summary
+from vertexloom.algorithms.bfs import bfs_in_blocks, summary
 from vertexloom.algorithms.pagerank import run as pagerank_run
 from vertexloom.functions import kernels, prefix
 from vertexloom.graphs import CUST_PART, GEO_TREE, PART_CHAIN, USER_NEXT, cust_part, geo_tree, part_chain, user_next
@@ -596,6 +596,11 @@ def bfs_levels(spark, sf):
     return _filled(bfs(part_chain(spark, sf), [0]), "dist")
 
 
+@query(_bfs_sql(PART_CHAIN, "0"))
+def bfs_blocks(spark, sf):
+    return _filled(bfs_in_blocks(part_chain(spark, sf), [0]), "dist")
+
+
 @query(_bfs_sql(PART_CHAIN, "0", "SELECT d::INTEGER AS dist, count(*) AS n FROM r GROUP BY d"))
 def bfs_level_histogram(spark, sf):
     return bfs(part_chain(spark, sf), [0]).filter("dist is not null").groupBy("dist").agg(F.count("*").alias("n"))
