@@ -159,7 +159,7 @@ def _lines(spark: SparkSession, vertices: DataFrame, *columns: str) -> DataFrame
     """(line, value): what a single file of results holds, line by line."""
     path = _folder(spark)
     text.write_values(vertices, list(columns), path, single_file=True)
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line", "value"))
     return whole.select(F.col("line").cast("long"), "value")
 
 
