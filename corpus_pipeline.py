@@ -10,7 +10,8 @@
 
 Rows with a null id are in no group and lose no words; rows that share an id stay or go together in
 stage 2, and each for itself in the others. Null texts are kept as they are and have no tokens. An
-empty table stays empty. Columns beyond those of documents are dropped by the first stage, and a
+empty table stays empty. Texts of any length go through each stage whole. Of equal or equally similar
+documents the least id stays, and scores and shares of exactly a threshold are over it. Columns beyond those of documents are dropped by the first stage, and a
 missing one is null.
 """
 
