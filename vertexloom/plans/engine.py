@@ -57,20 +57,20 @@ class Placed:
     def __init__(self, edges: DataFrame, small: bool):
         self.small, n = small, partitions(edges.sparkSession)
         end = "to" if small else "frm"
-        rows = edges.persist(StorageLevel.MEMORY_AND_DISK)
-        degree = rows.groupBy(end).agg(F.count("*").alias("_n"))
-        self.count = degree.agg(F.sum("_n")).first()[0] or 0
-        self.hubs = degree.filter(F.col("_n") > max(HUB_EDGES, HUB_SHARE * self.count / n)).select(end)
-        self.hubs = checkpointed(self.hubs) if self.hubs.take(1) else None
-        if self.hubs is None:
-            parts = [rows.repartition(n, end)]
-        else:  # fewer than partitions
+        rows = edges.repartition(n, end).persist(StorageLevel.MEMORY_AND_DISK)
+        self.count, self.parts, self.hubs = rows.count(), [rows], None
+        least = max(HUB_EDGES, HUB_SHARE * self.count / n)
+        if self.count <= least:
+            return
+        hubs = rows.groupBy(end).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(end)
+        if hubs.take(1):  # fewer than partitions
+            self.hubs = checkpointed(hubs)
             few = F.broadcast(self.hubs)
-            parts = [rows.join(few, end, "left_anti").repartition(n, end), rows.join(few, end, "left_semi").repartition(n, "frm", "to")]
-        self.parts = [p.persist(StorageLevel.MEMORY_AND_DISK) for p in parts]
-        for p in self.parts:
-            p.count()
-        rows.unpersist()
+            self.parts = [rows.join(few, end, "left_anti"), rows.join(few, end, "left_semi").repartition(n, "frm", "to")]
+            self.parts = [p.persist(StorageLevel.MEMORY_AND_DISK) for p in self.parts]
+            for p in self.parts:
+                p.count()
+            rows.unpersist()
 
     def sent(self, senders: DataFrame, message, receivers: DataFrame | None = None) -> DataFrame:
         """(to, message columns): the edges whose sender is in ``senders`` (frm, ...), whose receiver in ``receivers`` (to)."""
