@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from helpers import corpus, words
@@ -35,6 +36,28 @@ def test_equals_brute_force(docs, window):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("seed, window", [(1, 6), (3, 10)])
+def test_patchworks_of_shared_passages(spark, monkeypatch, seed, window):
+    """Documents put together from parts of the same passages, with edits; ids in no order, some repeated; small chunks."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 3000)
+    rng = random.Random(seed)
+    passages = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(30, 120))] for _ in range(6)]
+    rows = []
+    for _ in range(250):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(passages)
+            at = rng.randrange(len(p))
+            w += p[at : at + rng.randrange(60)]
+        for _ in range(rng.randrange(4) if w else 0):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y", f"z{rng.random()}"])
+        rows.append((rng.randrange(-50, 400), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [tuple(r) for r in substring_dedup.digests(docs, window).collect()]
+    want = [(*r[:3], hashlib.sha256(r[3]).hexdigest()) for r in brute(rows, window)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def split(monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 60)
     monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 150)

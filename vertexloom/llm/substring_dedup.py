@@ -7,10 +7,11 @@ Suffixes (word positions of documents) are put into suffix trees that are partit
    least hash is its anchor; equal windows have equal anchors, so only windows whose anchor occurs in several
    documents are looked at further. Shards of the anchors' hashes find these out, and then shards of
    the windows' hashes whether a window repeats, and whether different words precede it.
-2. A suffix begins where a repeated window has different words before it (a maximal repeat begins there),
-   and at content-chosen places in between, one at least in half a window. It ends where its windows stop
-   to repeat, or after ``most`` words, one and a half windows; what is longer goes on at the next such
-   place, which all its copies share.
+2. A suffix begins where a match with the document of the least id that has a window begins: where the word
+   before it is another one there, or where that document changes; and, in both alike, at content-chosen
+   places in between, one at least in as many windows as a window has words. (For maximal repeats: wherever a
+   repeated window has different words before it.) It ends where its windows stop to repeat, or after
+   ``most`` words, two windows; what is longer goes on at the next such place, which all its copies share.
 3. Suffixes are grouped by their first words; a group that is too large for a task is split by longer
    prefixes, up to a window's length. A chunk of documents sends equal suffixes once, so that a passage of
    a third of all documents is one suffix a chunk. Each group builds its suffix tree: suffixes in the order
@@ -46,7 +47,7 @@ from vertexloom.llm.workspace import Workspace
 #: Windows of a shard, and words of a group's suffixes, about.
 SHARD_WINDOWS, GROUP_WORDS = 2_000_000, 8_000_000
 #: Bytes of text of a chunk, whose equal windows and suffixes are sent once; bits of words' hashes that chunks and trees drop.
-CHUNK_BYTES, CHUNK_DROPS, TREE_DROPS = 4 << 20, 16, 8
+CHUNK_BYTES, CHUNK_DROPS, TREE_DROPS, BEFORE_DROPS = 4 << 20, 16, 8, 24
 
 
 def _anchors(words: Words, window: int, anchor: int) -> np.ndarray:
@@ -127,18 +128,28 @@ class _Anchors:
 
 
 class _Windows:
-    """The windows of a chunk whose anchors repeat: where they start, the distinct ones, and the word before
-    each of these: its hash, or 0 if there are several or a text begins."""
+    """The windows of a chunk whose anchors repeat: where they start, and the distinct ones; of each of these the
+    least id that has it, the word before it there (its hash, or 0 if there are several or a text
+    begins), and whether it has another one elsewhere in the chunk."""
 
     def __init__(self, a: _Anchors, repeats: np.ndarray, window: int):
         self.chunk, self.words = a, a.words
         words, self.at = a.words, a.at[repeats[a.key]]
         at = self.at
-        self.keys, first, self.key, count = np.unique(words.ngrams(window)[at], return_index=True, return_inverse=True, return_counts=True)
+        self.keys, self.key, count = np.unique(words.ngrams(window)[at], return_inverse=True, return_counts=True)
         self.several = count > 1
-        self.before = before = np.where(at > words.starts[words.doc[at]], words.hash[at - 1] | np.uint64(1), np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
-        self.common = before[first] if len(at) else before
-        self.common[self.key[before != self.common[self.key]]] = 0
+        self.before = before = np.where(at > words.starts[words.doc[at]], words.hash[at - 1] >> np.uint64(BEFORE_DROPS) | np.uint64(1), np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
+        self.least = np.full(len(self.keys), np.iinfo(np.int64).max)
+        self.id = a.ids[words.doc[at]] if len(at) else at
+        np.minimum.at(self.least, self.key, self.id)
+        self.base = int(self.least.min(initial=np.iinfo(np.int64).max))
+        there = np.flatnonzero(self.id == self.least[self.key])
+        low, self.common = np.full(len(self.keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(self.keys), np.uint64)
+        np.minimum.at(low, self.key[there], before[there])
+        np.maximum.at(self.common, self.key[there], before[there])
+        self.common[low != self.common] = 0
+        self.mixed = np.zeros(len(self.keys), bool)
+        self.mixed[self.key[before != self.common[self.key]]] = True
 
 
 def _bits(rows: list[dict], column: str, keys: np.ndarray, shards: int, width: int = 1) -> np.ndarray:
@@ -186,7 +197,7 @@ def _repeated_anchors(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group["chunk"], "shard": group["shard"], "anchors": pa.array([packing.pack_bits(x) for x in np.split(bits, cut)], pa.binary())})
 
 
-WINDOWS = "chunk long, shard long, keys binary, common binary, several binary"
+WINDOWS = "chunk long, shard long, base long, keys binary, common binary, least binary, several binary, mixed binary"
 
 
 def _ask_windows(window: int, anchor_shards: int, shards: int):
@@ -197,21 +208,41 @@ def _ask_windows(window: int, anchor_shards: int, shards: int):
         row = chunk.to_pylist()[0]
         a = _Anchors(row, window)
         w = _Windows(a, _bits(answers.to_pylist(), "anchors", a.keys, anchor_shards)[:, 0], window)
-        out = [{"chunk": row["chunk"], "shard": s, "keys": packing.pack_sorted(w.keys[k]), "common": packing.pack(w.common[k]), "several": packing.pack_bits(w.several[k])} for s, k in packing.by_shard(w.keys, shards)]
+        least = (w.least - w.base).view(np.uint64) if len(w.least) else w.least
+        out = [
+            {"chunk": row["chunk"], "shard": s, "base": w.base, "keys": packing.pack_sorted(w.keys[k]), "common": packing.pack_ints(w.common[k]), "least": packing.pack_ints(least[k]), "several": packing.pack_bits(w.several[k]), "mixed": packing.pack_bits(w.mixed[k])}
+            for s, k in packing.by_shard(w.keys, shards)
+        ]
         return pa.Table.from_pylist(out, schema=schema)
 
     return run
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """For each chunk, two bits for each of its windows: it repeats; it also has different words before it."""
-    rows = group.to_pylist()
-    order, first, node, again, cut = _grouped(rows)
-    common = np.concatenate([packing.unpack(r["common"], "<u8") for r in rows])[order]
-    least, most = np.minimum.reduceat(common, first), np.maximum.reduceat(common, first)
-    bits = np.empty((len(order), 2), bool)
-    bits[order] = np.stack([again, again & ((least == 0) | (least != most))], 1)[node]
-    return pa.table({"chunk": group["chunk"], "shard": group["shard"], "windows": pa.array([packing.pack_bits(x.ravel()) for x in np.split(bits, cut)], pa.binary())})
+def _repeats(every: bool):
+    """For each chunk, three bits for each of its windows: it repeats; the word before, in the chunk's least id, is that
+    in the least id of all; this one is in the chunk and the word before is another one somewhere. And how much
+    less than the chunk's the least id of all is. With ``every`` no words before are alike if any differ."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        order, first, node, again, cut = _grouped(rows)
+        common = np.concatenate([packing.unpack_ints(r["common"]) for r in rows])[order]
+        least = np.concatenate([packing.unpack_ints(r["least"]).view(np.int64) + r["base"] for r in rows])[order]
+        mixed = np.concatenate([packing.unpack_bits(r["mixed"], n) for r, n in zip(rows, np.diff([0, *cut, len(order)]))])[order]
+        lowest = np.minimum.reduceat(least, first)
+        mine = least == lowest[node]
+        low, there = np.minimum.reduceat(np.where(mine, common, np.uint64((1 << 64) - 1)), first), np.maximum.reduceat(np.where(mine, common, np.uint64(0)), first)
+        alike = (common == there[node]) & ((low == there) & (there > 0))[node]
+        differs = np.logical_or.reduceat(~alike | mixed, first)
+        if every:
+            alike = ~differs[node]
+        bits, back = np.empty((len(order), 3), bool), np.empty(len(order), np.uint64)
+        bits[order] = np.stack([again[node], alike, mine & differs[node]], 1)
+        back[order] = (least - lowest[node]).view(np.uint64)
+        answers = [(packing.pack_bits(x.ravel()), packing.pack_ints(y)) for x, y in zip(np.split(bits, cut), np.split(back, cut))]
+        return pa.table({"chunk": group["chunk"], "shard": group["shard"], "windows": pa.array([x for x, _ in answers], pa.binary()), "back": pa.array([y for _, y in answers], pa.binary())})
+
+    return run
 
 
 SUFFIXES = "chunk long, place long, n_words long, vocabulary binary, words binary, lengths binary, common binary, times binary, doc binary, start binary, id binary"
@@ -269,8 +300,12 @@ def _chosen(window: int, most: int, anchor_shards: int, shards: int, groups: int
         row, rows = chunk.to_pylist()[0], answers.to_pylist()
         a = _Anchors(row, window)
         w = _Windows(a, _bits(rows, "anchors", a.keys, anchor_shards)[:, 0], window)
-        again, branching = _bits(rows, "windows", w.keys, shards, 2).T
-        found = suffixes_of(w, again, branching, window, most)
+        again, alike, first = _bits(rows, "windows", w.keys, shards, 3).T
+        least, place = w.least.copy(), dict(packing.by_shard(w.keys, shards))
+        for r in rows:
+            if r["back"] is not None:
+                least[place[r["shard"]]] -= packing.unpack_ints(r["back"]).view(np.int64)
+        found = suffixes_of(w, again, alike, first, least, window, most)
         return pa.Table.from_pylist(found.placed(row["chunk"], max(1, window // 4), 0, groups) if len(found.lengths) else [], schema=_ARROW)
 
     return run
@@ -278,10 +313,12 @@ def _chosen(window: int, most: int, anchor_shards: int, shards: int, groups: int
 
 def _span(window: int) -> int:
     """Windows in a row of which one at least begins a suffix."""
-    return max(1, window // 2)
+    return max(1, window)
 
 
-def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, window: int, most: int) -> Suffixes:
+def suffixes_of(w: _Windows, again: np.ndarray, alike: np.ndarray, first: np.ndarray, least: np.ndarray, window: int, most: int) -> Suffixes:
+    """The suffixes of a chunk, given for each window whether it repeats, whether the word before it in the chunk's
+    least id is that in the least id of all, whether this is in the chunk and matches begin there, and this id."""
     words, at = w.words, w.at[again[w.key]]
     key = w.key[again[w.key]]
     n = len(words.hash)
@@ -290,7 +327,12 @@ def suffixes_of(w: _Windows, again: np.ndarray, branching: np.ndarray, window: i
     value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     value[at] = mix(w.keys[key]) >> np.uint64(1)
     begins = np.zeros(n, bool)
-    begins[at] = branching[key]
+    # Where the word before is not that of the least id, or may not be; and at the least id itself.
+    starts = ~alike[w.key] | (w.before != w.common[w.key]) | (first[w.key] & (w.id == least[w.key]))
+    begins[at] = starts[again[w.key]]
+    # Also where the document of the least id is another one than that of the window before.
+    if len(at):
+        begins[at[np.append(True, (np.diff(at) > 1) | (words.doc[at[1:]] != words.doc[at[:-1]]) | (least[key[1:]] != least[key[:-1]]))]] = True
     # The least of some ``span`` windows in a row: wherever these repeat elsewhere, it is so there too.
     span = _span(window)
     low = _slide(value, span, np.minimum)
@@ -521,7 +563,7 @@ def _scanned(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Da
     return rows, work.save(chunks.select("chunk", "ids", "hashes", "lengths"), "slim"), chunks.select(*CHUNK)
 
 
-def _suffixes(rows: DataFrame, chunks: DataFrame, work: Workspace, window: int, most: int) -> DataFrame:
+def _suffixes(rows: DataFrame, chunks: DataFrame, work: Workspace, window: int, most: int, every: bool = False) -> DataFrame:
     """The suffixes of all chunks, by group."""
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     # Of the words one in a quarter of a window begins an anchor.
@@ -532,7 +574,7 @@ def _suffixes(rows: DataFrame, chunks: DataFrame, work: Workspace, window: int,
     # Both times the chunks are shuffled alike, so that Spark does it once.
     by_chunk = chunks.groupBy("chunk")
     windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_ask_windows(window, anchor_shards, shards), WINDOWS)
-    bits = windows.groupBy("shard").applyInArrow(_repeats, "chunk long, shard long, windows binary")
+    bits = windows.groupBy("shard").applyInArrow(_repeats(every), "chunk long, shard long, windows binary, back binary")
     answers = anchors.unionByName(bits, allowMissingColumns=True)
     suffixes = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_chosen(window, most, anchor_shards, shards, groups), SUFFIXES)
     suffixes = work.save(suffixes, "suffixes0")
@@ -553,10 +595,10 @@ def _cut(docs: DataFrame, rows: DataFrame, slim: DataFrame, chunks: DataFrame, w
 def maximal_repeats(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
     """Word sequences of ``window`` or more words in several documents that occur fewer times with any word
     more before or behind: n_words, n_times (occurrences), doc_id and start (the first word's place) of one in
-    the document with the least id. Depths end at ``most`` words (one and a half windows at least); such rows are ``cut``."""
+    the document with the least id. Depths end at ``most`` words (two windows at least); such rows are ``cut``."""
     work, most = Workspace(docs.sparkSession, "repeats"), max(most or 0, window + _span(window))
     rows, _, chunks = _scanned(docs, work)
-    suffixes = _suffixes(rows, chunks, work, window, most)
+    suffixes = _suffixes(rows, chunks, work, window, most, every=True)
     return suffixes.groupBy("place").applyInArrow(_nodes(window, most), REPEATS)
 
 
