@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm import packing
 from vertexloom.llm.packing import Words, mix
 from vertexloom.llm.prefilter import maybe
-from vertexloom.llm.workspace import Workspace
+from vertexloom.llm.workspace import Workspace, tidy
 
 #: Windows of a shard, and words of a group's suffixes, about.
 SHARD_WINDOWS, GROUP_WORDS = 2_000_000, 8_000_000
@@ -579,6 +579,8 @@ def _suffixes(rows: DataFrame, chunks: DataFrame, work: Workspace, window: int,
     suffixes = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_chosen(window, most, anchor_shards, shards, groups), SUFFIXES)
     suffixes = work.save(suffixes, "suffixes0")
     work.drop("scanned")
+    del by_chunk, windows, bits, answers
+    tidy(rows.sparkSession)
     return _split(suffixes, work, window)
 
 
@@ -587,9 +589,14 @@ def _cut(docs: DataFrame, rows: DataFrame, slim: DataFrame, chunks: DataFrame, w
     suffixes = _suffixes(rows, chunks, work, window, max(most or 0, window + _span(window)))
     cuts = suffixes.groupBy("place").applyInArrow(_cuts(window), "chunk long, doc binary, start binary, length binary")
     lost = work.save(slim.unionByName(cuts, allowMissingColumns=True).groupBy("chunk").applyInArrow(_lost, LOST), "lost")
+    del suffixes, cuts
+    for k in range(3):
+        work.drop(f"suffixes{k}")
+    tidy(docs.sparkSession)
     lost = lost.dropDuplicates(["doc_id", "text_hash"])
     texts = maybe(_keyed(docs), "text_hash", lost.select("text_hash").distinct(), lost.count(), "may").filter("may").drop("may")
-    return _rewritten(texts.join(lost, ["doc_id", "text_hash"])).dropDuplicates(["doc_id", "text_hash"])
+    # What is lost grows with the input, so it is not broadcast at any size.
+    return _rewritten(texts.join(lost.hint("merge"), ["doc_id", "text_hash"])).dropDuplicates(["doc_id", "text_hash"])
 
 
 def maximal_repeats(docs: DataFrame, window: int = 50, most: int | None = None) -> DataFrame:
