@@ -45,7 +45,7 @@ weak whore worthless wretched
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
 #: Bytes of text taken up at once; words whose features a worker remembers before it starts anew.
-CHUNK_BYTES, KNOWN_WORDS = 1 << 20, 100_000
+CHUNK_BYTES, KNOWN_WORDS = 1 << 18, 100_000
 #: The log-likelihood ratio that a feature needs; chance gives it to one in 100,000.
 MIN_RATIO = 20
 
