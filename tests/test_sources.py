@@ -79,3 +79,44 @@ def test_streamed_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("degrees"), "id", "deg") == [(0, 2), (1, 1)]
+
+
+def test_csrc_text_in_parts(spark, tmp_path, monkeypatch):
+    """No task holds a line as one value, and the edges are made once; blocks part lines anywhere."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n, hub = 3000, 70_000
+    pairs = spark.range(n).selectExpr("id AS src", "(id * 7 + 1) % 3000 AS dst").union(spark.range(hub).selectExpr("5L AS src", "id % 3000 AS dst"))
+    g = Graph(spark.range(n + 2), pairs.mapInArrow(count, "src long, dst long"), True)
+    text.write_csrc(g, str(tmp_path / "t"))
+    assert seen.value == n + hub
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert all(x[0] != " " for x in lines)
+    lines = [x.split() for x in lines]
+    assert [len(x) for x in lines] == [2, n + 3, n + hub, n + 3, n + hub]
+    by_dst = sorted([(i * 7 + 1) % 3000 * n + i for i in range(n)] + [i % 3000 * n + 5 for i in range(hub)])
+    assert lines[0] == [str(n + 2), str(n + hub)] and list(map(int, lines[4])) == [x % n for x in by_dst]
+    want = sorted([(i, (i * 7 + 1) % 3000) for i in range(n)] + [(5, i % 3000) for i in range(hub)])
+    for size in ("20k", "128m"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert max(r[0] for r in text.packs(spark, str(tmp_path / "t")).selectExpr("size(numbers)").collect()) <= 10_000
+            for csr_only in (False, True):
+                v, e = text.read_csrc(spark, str(tmp_path / "t"), csr_only)
+                assert v.count() == n + 2 and rows(e, "eid", "src", "dst") == [(i, *x) for i, x in enumerate(want)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csrc_text_odd_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("3\t2\r\n0  1\t2 2 \r\n2 0\n")
+    assert rows(text.read_csrc(spark, str(tmp_path / "a.txt"))[1]) == [(0, 0, 2), (1, 1, 0)]
+    text.write_csrc(Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"), True), str(tmp_path / "t"))
+    v, e = text.read_csrc(spark, str(tmp_path / "t"))
+    assert v.count() == 0 and rows(e) == []
