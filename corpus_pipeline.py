@@ -55,8 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS))
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 

@@ -60,3 +60,16 @@ def test_columns_of_the_outputs_names_are_replaced(spark):
     df = spark.createDataFrame([(1, "a b", "old", 3)], "doc_id long, text string, ids string, decoded long")
     row = bpe.decode(bpe.encode(df, PATH), PATH).first()
     assert row["ids"] == REFERENCE.encode_ordinary("a b") and row["decoded"] == b"a b" and row["offsets"] == [0, 1]
+
+
+def test_round_trip_in_one_worker(spark, docs, nothing):
+    from corpus_pipeline import bpe_stage
+
+    key = lambda t: tuple(map(str, t))
+    want = bpe.decode(bpe.encode(docs, PATH), PATH)
+    got = bpe.round_trip(docs, PATH)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    df = spark.createDataFrame([(1, "a b", "old", 3)], "doc_id long, text string, ids string, decoded long")
+    assert bpe.round_trip(df, PATH).first().asDict() == bpe.decode(bpe.encode(df, PATH), PATH).first().asDict()
+    assert bpe.round_trip(nothing, PATH).count() == 0
+    assert bpe_stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

@@ -84,3 +84,27 @@ def test_bands_reach_the_next_one_at_most():
         rule = Rule(num, den)
         assert (rule.reach[:-1] <= rule.hi[1:]).all()
         assert (rule.parts >= rule.spare).all()
+
+
+def test_traversal_holds_few_pairs():
+    """A block of near copies has all node pairs plausible; they aren't expanded all at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(1), 2000
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(n):
+        s, k = base.copy(), rng.integers(5)
+        s[rng.choice(60, k, replace=False)] = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+        sets.append(s)
+    maps = [jaccard_join.bitmap(s).tobytes() for s in sets]
+    group = pa.table({"block": [1] * n, "id": range(n), "component": range(n), "n_shingles": [60] * n, "bitmap": maps})
+    tracemalloc.start()
+    links = jaccard_join._plausible_links(Rule(4, 5, 1 << 20))(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(links["a"].to_pylist()) == list(range(1, n)) and set(links["b"].to_pylist()) == {0}
+    assert peak < 16 << 20

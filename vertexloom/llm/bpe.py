@@ -289,12 +289,9 @@ def _others(df: DataFrame, *new: str) -> list[str]:
     return [c for c in df.columns if c not in new]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets") -> DataFrame:
-    """Add the token ids of ``text``, and for each the byte offset at which it starts."""
+def _encoder(content, keep: list[str], text: str, ids: str, offsets: str | None):
+    """For mapInArrow over the columns ``keep``: those that stay, the ids and the offsets."""
     new = [ids] + [offsets] * bool(offsets)
-    keep = [c for c in df.columns if c not in new or c == text]
-    src = df.select(*keep)
-    content = load_vocabulary(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
@@ -315,17 +312,25 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*names, *new])
             del batch, rows  # before the next one comes
 
+    return run
+
+
+def _encoded(src: DataFrame, ids: str, offsets: str | None) -> T.StructType:
+    new = [ids] + [offsets] * bool(offsets)
     fields = [f for f in src.schema.fields if f.name not in new]
-    fields += [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in new]
-    return src.mapInArrow(run, T.StructType(fields))
+    return T.StructType(fields + [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in new])
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for, each token's where its offset says; null ids: empty
-    bytes. An id without a rank raises."""
-    keep = [c for c in df.columns if c != decoded]
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets") -> DataFrame:
+    """Add the token ids of ``text``, and for each the byte offset at which it starts."""
+    keep = [c for c in df.columns if c not in (ids, offsets) or c == text]
     src = df.select(*keep)
-    content = load_vocabulary(df, path)
+    run = _encoder(load_vocabulary(df, path), keep, text, ids, offsets)
+    return src.mapInArrow(run, _encoded(src, ids, offsets))
+
+
+def _decoder(content, keep: list[str], ids: str, offsets: str, decoded: str):
+    """For mapInArrow over the columns ``keep``: these and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _parsed(content.value)
@@ -345,8 +350,33 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, decoded])
             del batch, rows, arrays  # before the next one comes
 
+    return run
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded") -> DataFrame:
+    """Add the bytes that the ids stand for, each token's where its offset says; null ids: empty
+    bytes. An id without a rank raises."""
+    keep = [c for c in df.columns if c != decoded]
+    src = df.select(*keep)
     fields = [*src.schema.fields, T.StructField(decoded, T.BinaryType(), False)]
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(_decoder(load_vocabulary(df, path), keep, ids, offsets, decoded), T.StructType(fields))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one Python worker of a task, with one vocabulary, and not in two."""
+    keep = [c for c in df.columns if c not in (ids, offsets, decoded) or c == text]
+    src = df.select(*keep)
+    content = load_vocabulary(df, path)
+    schema = _encoded(src, ids, offsets)
+    coded = [i for i, f in enumerate(schema.fields) if f.name != decoded]
+    schema = T.StructType([schema.fields[i] for i in coded])
+    there = _encoder(content, keep, text, ids, offsets)
+    back = _decoder(content, schema.names, ids, offsets, decoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(b.select(coded) for b in there(batches))
+
+    return src.mapInArrow(run, T.StructType([*schema.fields, T.StructField(decoded, T.BinaryType(), False)]))
 
 
 def digests(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -49,6 +49,8 @@ from vertexloom.llm.workspace import Workspace
 SHARD_KEYS, TASK_BYTES, CLUSTER_SHINGLES = 1_000_000, 4 << 20, 256_000
 #: Children of a tree's node; bytes of bitmaps that are compared at once.
 FANOUT, SLICE_BYTES = 16, 1 << 20
+#: Pairs of nodes that are compared, and entered, at once.
+PAIRS_AT_ONCE = 512
 
 
 class Rule:
@@ -214,12 +216,28 @@ class SignatureTree:
             ok &= bits[p] - common <= lack
         return ok
 
+    def _regroup(self, root: np.ndarray) -> None:
+        """The ranges of trees below nodes, when the members in order are in the trees ``root``."""
+        least = most = root
+        for level in range(len(self.levels)):
+            self.trees[level] = (least, most)
+            first = np.arange(0, len(least), FANOUT)
+            least, most = np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+
     def pairs(self, rule: Rule, forest: Forest) -> Iterator[tuple[int, int]]:
         """The plausible pairs of members that are still apart, by a dual traversal from the root;
-        node pairs whose members are all in one tree of ``forest`` already are not entered."""
+        node pairs whose members are all in one tree of ``forest`` by now are not entered. Node pairs
+        wait unexpanded, so that those in memory are as many as a few expansions give, not as there are."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        while stack:
+        parts = forest.parts
+        while stack and forest.parts > 1:
             level, a, b = stack.pop()
+            if len(a) > PAIRS_AT_ONCE:
+                stack.append((level, a[PAIRS_AT_ONCE:], b[PAIRS_AT_ONCE:]))
+                a, b = a[:PAIRS_AT_ONCE], b[:PAIRS_AT_ONCE]
+            if forest.parts < parts:
+                parts = forest.parts
+                self._regroup(forest.roots()[self.order])
             least, most = self.trees[level]
             apart = (least[a] != most[a]) | (least[b] != most[b]) | (least[a] != least[b])
             a, b = a[apart], b[apart]
@@ -231,12 +249,10 @@ class SignatureTree:
                         yield i, j
                 continue
             width = len(self.levels[level - 1][0])
-            for s in range(0, len(a), 512):
-                x = (a[s : s + 512, None] * FANOUT + np.arange(FANOUT)).repeat(FANOUT, 1).ravel()
-                y = np.tile(b[s : s + 512, None] * FANOUT + np.arange(FANOUT), FANOUT).ravel()
-                keep = (x < width) & (y < width) & (x <= y)
-                if forest.parts > 1:
-                    stack.append((level - 1, x[keep], y[keep]))
+            x = (a[:, None] * FANOUT + np.arange(FANOUT)).repeat(FANOUT, 1).ravel()
+            y = np.tile(b[:, None] * FANOUT + np.arange(FANOUT), FANOUT).ravel()
+            keep = (x < width) & (y < width) & (x <= y)
+            stack.append((level - 1, x[keep], y[keep]))
 
 
 class _Members:
@@ -252,6 +268,9 @@ class _Members:
     def union(self, i: int, j: int) -> None:
         self.parts -= self.forest.union(self.at[i], self.at[j])
 
+    def roots(self) -> np.ndarray:
+        return self.forest.roots()[self.at]
+
 
 def _known_trees(group: pa.Table, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
     """The ids of a task, the place of each row's among them, and the trees that they are in already."""
